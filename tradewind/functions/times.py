@@ -15,5 +15,20 @@ def months_before(as_of: dt.date | None, months: int) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    """Elapsed microseconds, as a decimal so that sums cannot overflow."""
-    return F.timestamp_diff("MICROSECOND", start, end).cast("decimal(20,0)")
+    """Elapsed microseconds between two wall-clock times, as a decimal so sums cannot overflow.
+
+    Subtraction compares the clock readings as they stand. ``timestamp_diff`` would first place
+    them in the session time zone, where a daylight saving change moves some of them.
+    """
+    elapsed = end - start
+    days, hours, minutes, seconds = (
+        F.extract(F.lit(unit), elapsed) for unit in ("DAY", "HOUR", "MINUTE", "SECOND")
+    )
+    whole_minutes = (days.cast("bigint") * 24 + hours) * 60 + minutes
+    micros = (seconds * 1_000_000).cast("bigint")  # the seconds carry the fraction
+    return (whole_minutes * 60_000_000 + micros).cast("decimal(20,0)")
+
+
+def month_of(moment: Column) -> Column:
+    """First day of the month."""
+    return F.trunc(moment.cast("date"), "month")

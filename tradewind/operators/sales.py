@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions import amount, months_before, rounded_ratio, top_k
+from tradewind.functions import amount, month_of, months_before, rounded_ratio, top_k
 
 
 def items_per_order(order_items: DataFrame) -> DataFrame:
@@ -43,12 +43,11 @@ def gmv_by_month(
     recent = orders.where(
         F.col("order_purchase_timestamp") >= months_before(as_of, months)
     ).select("order_id", "order_purchase_timestamp")
-    month = F.date_trunc("month", "order_purchase_timestamp").cast("date")
     return (
         recent.join(items_per_order(order_items), "order_id")
-        .groupBy(month.alias("month"))
+        .groupBy(month_of(F.col("order_purchase_timestamp")).alias("month"))
         .agg(amount(F.sum("order_total")).alias("gmv"))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
