@@ -57,7 +57,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_size") != 1, F.col("p_brand")).alias("product_category_name"),
+        F.when(F.col("p_size") == 1, None).otherwise(F.col("p_brand")).alias("product_category_name"),
         F.length("p_name").alias("product_name_lenght"),
         F.col("p_size").alias("product_weight_g"),
     )

@@ -137,7 +137,7 @@ def _reports() -> dict[str, str]:
             """SELECT customer_state AS state,
                 CAST(sum(price + freight_value) AS DECIMAL(38,2)) AS gmv
             FROM order_items JOIN shop_orders USING (order_id) JOIN customers USING (customer_id)
-            GROUP BY 1 ORDER BY gmv DESC, state""",
+            GROUP BY 1 ORDER BY gmv DESC NULLS FIRST, state NULLS LAST""",
         ),
         "top_categories": _over(
             _CATEGORY_SOURCES,
@@ -164,7 +164,8 @@ def _reports() -> dict[str, str]:
                 {_percent("100 * sum(payment_value)",
                           "100 * (SELECT sum(payment_value) FROM order_payments)")}
                     AS pct_of_total
-            FROM order_payments GROUP BY 1 ORDER BY total_paid DESC""",
+            FROM order_payments GROUP BY 1
+            ORDER BY total_paid DESC NULLS FIRST, payment_type NULLS LAST""",
         ),
         "delivery_days_by_state": _over(
             "customers delivered",
@@ -372,8 +373,10 @@ def _loading() -> dict[str, str]:
         "insert_if_absent": _over(
             "staged_payments",
             _first_per_key(
-                f"""(SELECT * FROM staged_payments WHERE ({_PAYMENT_KEY}) NOT IN
-                    (SELECT ({_PAYMENT_KEY}) FROM staged_payments WHERE payment_type = 'click'))""",
+                """(SELECT * FROM staged_payments b WHERE NOT EXISTS (
+                    SELECT 1 FROM staged_payments t
+                    WHERE t.payment_type = 'click' AND t.order_id = b.order_id
+                      AND t.payment_sequential = b.payment_sequential))""",
                 _PAYMENT_KEY,
                 _PAYMENT_REST,
             ),

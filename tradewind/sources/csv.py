@@ -35,8 +35,8 @@ def read_csv(
     """A CSV file or directory with a header, read by position into ``schema``.
 
     Quotes are doubled for escaping, an unquoted empty field is NULL and a quoted one the empty
-    string. A value or row that does not fit the schema fails the query; a missing path raises
-    here.
+    string. A row or value that does not fit the schema fails the query that reads it (writing the
+    table reads all of it); a missing path raises here.
 
     A file whose records may span lines has to be read by one task. ``multi_line=None`` looks
     for such records first, so that all other files are split over many tasks.
