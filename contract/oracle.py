@@ -303,20 +303,25 @@ def _relations() -> dict[str, str]:
 
 
 def _keys() -> dict[str, str]:
-    def audit(table: str, keys: tuple[str, ...]) -> str:
-        listed = ", ".join(keys)
+    def audit(table: str) -> str:
+        keys = TABLES[table].key
         complete = " AND ".join(f"{key} IS NOT NULL" for key in keys)
-        return _over(
-            _source(table),
-            f"""SELECT '{table}' AS table_name, count(*) AS total_rows,
-                count(DISTINCT ({listed})) FILTER (WHERE {complete}) AS distinct_keys,
+        return f"""SELECT '{table}' AS table_name, count(*) AS total_rows,
+                count(DISTINCT ({", ".join(keys)})) FILTER (WHERE {complete}) AS distinct_keys,
                 count(*) FILTER (WHERE NOT ({complete})) AS null_keys
-            FROM {_source(table)}""",
-        )
+            FROM {_source(table)}"""
 
-    found = {f"pk_{table}": audit(table, TABLES[table].key) for table in KEY_AUDITED}
-    found["pk_composite_items"] = audit("order_items", TABLES["order_items"].key)
-    found["pk_composite_payments"] = audit("order_payments", TABLES["order_payments"].key)
+    named = {f"pk_{table}": table for table in KEY_AUDITED} | {
+        "pk_composite_items": "order_items",
+        "pk_composite_payments": "order_payments",
+        "pk_reviews": "order_reviews",
+        "pk_translation": "product_category_name_translation",
+    }
+    found = {key: _over(_source(table), audit(table)) for key, table in named.items()}
+    found["key_report"] = _over(
+        " ".join(_source(table) for table in named.values()),
+        " UNION ALL ".join(audit(table) for table in named.values()),
+    )
     found["duplicate_item_keys"] = _over(
         "order_items",
         """SELECT order_id, order_item_id, count(*) AS copies FROM order_items

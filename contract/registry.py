@@ -137,6 +137,9 @@ def queries() -> dict[str, Query]:
         "order_totals": _report("order_totals", "orders", "order_items"),
         "pk_composite_items": _key_audit("order_items"),
         "pk_composite_payments": _key_audit("order_payments"),
+        "pk_reviews": _key_audit("order_reviews"),
+        "pk_translation": _key_audit(TRANSLATION),
+        "key_report": lambda spark, sf_dir: ops.key_report(bind(spark, sf_dir)),
         "duplicate_item_keys": lambda spark, sf_dir: ops.duplicate_keys(
             bindings.order_items(spark, sf_dir), TABLES["order_items"].key
         ),

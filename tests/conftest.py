@@ -3,16 +3,18 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import SparkSession
 
+from tradewind.session import configure
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[4]")
+        configure(SparkSession.builder)
+        .master("local[4]")
         .appName("tradewind-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()

@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tests.tables import at, item, rows, table
 from tradewind.model import TABLES
 from tradewind.operators import DataQualityError, gmv_by_state
 from tradewind.plans import append_new, export_reports, refresh_dataset
-from tradewind.sinks import write_clustered, write_csv
+from tradewind.sinks import write_csv, write_table
 from tradewind.sources import (
     feed_file,
     has_spanning_records,
@@ -238,16 +239,9 @@ def test_a_failing_report_does_not_stop_the_others(spark, tmp_path, feed):
     assert raw(tmp_path / "out" / "payment_mix").count("\r\n") == 3
 
 
-def test_clustered_files_split_a_frequent_value(spark, tmp_path):
-    df = spark.range(20_000).select(
-        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(7).alias("day"), F.col("id").alias("k")
-    )
-    write_clustered(df, str(tmp_path / "t"), "day", "k")
-    sizes = [
-        row[1]
-        for row in spark.read.parquet(str(tmp_path / "t"))
-        .groupBy(F.input_file_name())
-        .count()
-        .collect()
-    ]
-    assert sum(sizes) == 20_000
+def test_sorted_files_skip_by_statistics(spark, tmp_path):
+    moments = spark.range(0, 5_000, 1, 2).selectExpr("id * 7919 % 5000 AS day", "id")
+    write_table(moments, str(tmp_path / "t"), sort_by=("day",))
+    for part in (tmp_path / "t").glob("*.parquet"):
+        days = pq.read_table(part)["day"].to_pylist()
+        assert days == sorted(days) and len(days) == 2_500

@@ -64,12 +64,12 @@ def test_null_keys_are_missing_but_not_violations(spark):
 
 def test_unique_keys(spark):
     sound = table(spark, "orders", {"order_id": "1"}, {"order_id": "2"})
-    ops.require_unique(sound, "orders", ["order_id"])
+    ops.require_unique_keys({"orders": sound, "geolocation": table(spark, "geolocation")})
     assert rows(ops.duplicate_keys(sound, ["order_id"])) == []
     for bad in ({"order_id": "1"}, {"order_id": None}):
         broken = sound.unionByName(table(spark, "orders", bad))
         with pytest.raises(ops.DataQualityError, match="orders"):
-            ops.require_unique(broken, "orders", ["order_id"])
+            ops.require_unique_keys({"orders": broken})
 
 
 def test_composite_key_audit_counts_incomplete_keys(spark):

@@ -211,12 +211,21 @@ def hot(spark, tmp_path_factory):
     }
 
 
-def test_hot_order_is_split_in_the_review_join(spark, hot):
-    with settings(spark, SKEW):
+@pytest.fixture(params=["SortMergeJoin", "ShuffledHashJoin"])
+def join(request):
+    limit = {"SortMergeJoin": "0", "ShuffledHashJoin": "64MB"}[request.param]
+    return request.param, SKEW | {
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": limit
+    }
+
+
+def test_hot_order_is_split_in_the_review_join(spark, hot, join):
+    kind, configured = join
+    with settings(spark, configured):
         df = REPORTS["review_by_category"](hot)
         text = final_plan(df)
         (row,) = df.collect()
-    assert "SortMergeJoin(skew=true) [order_id" in text
+    assert f"{kind}(skew=true) [order_id" in text
     # Score sums per order against item counts per order: the same join, folded on both sides.
     per_order = hot["order_reviews"].groupBy("order_id").agg(
         F.count("*").alias("r"), F.sum("review_score").alias("s")
@@ -228,14 +237,14 @@ def test_hot_order_is_split_in_the_review_join(spark, hot):
     assert abs(float(row.avg_review) - score / reviews) <= 0.005
 
 
-def test_hot_product_and_seller_are_split_while_loading(spark, hot):
-    with settings(spark, SKEW):
+def test_hot_product_and_seller_are_split_while_loading(spark, hot, join):
+    kind, configured = join
+    with settings(spark, configured):
         df = ops.load_order_items(hot["order_items"], hot["products"], hot["sellers"])
-        df.write.format("noop").mode("overwrite").save()
         text = final_plan(df)
         loaded = df.count()
-    assert "SortMergeJoin(skew=true) [product_id" in text
-    assert "SortMergeJoin(skew=true) [seller_id" in text
+    assert f"{kind}(skew=true) [product_id" in text
+    assert f"{kind}(skew=true) [seller_id" in text
     expected = (
         hot["order_items"]
         .where("cast(product_id as int) < 4900 and cast(seller_id as int) < 1900")

@@ -22,6 +22,7 @@ class Table:
     schema: T.StructType
     key: tuple[str, ...] = ()
     from_feed: bool = True  # the file name carries the feed's prefix and suffix
+    sort_by: tuple[str, ...] = ()  # order of the rows within each stored file
 
 
 @dataclass(frozen=True)
@@ -91,6 +92,7 @@ TABLES: dict[str, Table] = {
             ("order_estimated_delivery_date", _TS),
         ),
         ("order_id",),
+        sort_by=("order_purchase_timestamp",),
     ),
     "order_items": Table(
         _schema(

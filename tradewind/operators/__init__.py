@@ -15,8 +15,9 @@ from tradewind.operators.keys import (
     duplicate_keys,
     fk_violations,
     key_audit,
+    key_report,
     require_foreign_keys,
-    require_unique,
+    require_unique_keys,
 )
 from tradewind.operators.links import (
     link_counts,
@@ -59,6 +60,7 @@ __all__ = [
     "items_per_order",
     "keep_known",
     "key_audit",
+    "key_report",
     "link_counts",
     "link_coverage",
     "link_missing",
@@ -76,7 +78,7 @@ __all__ = [
     "relations_report",
     "repeat_rate",
     "require_foreign_keys",
-    "require_unique",
+    "require_unique_keys",
     "review_by_category",
     "schema_overview",
     "top_categories",

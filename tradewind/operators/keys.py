@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.model import FOREIGN_KEYS, Link, Tables
+from tradewind.model import FOREIGN_KEYS, TABLES, Link, Tables
 
 
 class DataQualityError(RuntimeError):
@@ -34,13 +34,26 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
-def require_unique(df: DataFrame, table: str, keys: Sequence[str]) -> None:
-    """Raise unless ``keys`` is unique and complete in ``df``."""
-    audit = key_audit(df, table, keys).first()
-    if audit.distinct_keys != audit.total_rows:
+def key_report(tables: Tables) -> DataFrame:
+    """The key audit of every table that has a primary key."""
+    report = None
+    for name, df in tables.items():
+        if TABLES[name].key:
+            row = key_audit(df, name, TABLES[name].key)
+            report = row if report is None else report.unionByName(row)
+    return report
+
+
+def require_unique_keys(tables: Tables) -> None:
+    """Raise unless the primary key of every table is unique and complete."""
+    broken = key_report(tables).where(F.col("distinct_keys") != F.col("total_rows")).collect()
+    if broken:
         raise DataQualityError(
-            f"{table}: {audit.total_rows} rows but {audit.distinct_keys} distinct keys "
-            f"on {', '.join(keys)} ({audit.null_keys} rows with an incomplete key)"
+            "; ".join(
+                f"{row.table_name}: {row.total_rows} rows but {row.distinct_keys} distinct keys "
+                f"({row.null_keys} rows with an incomplete key)"
+                for row in broken
+            )
         )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradewind import operators as ops
 from tradewind.model import TABLES, Tables
-from tradewind.sinks import write_clustered, write_table
+from tradewind.sinks import write_table
 from tradewind.sources import read_feed, read_table
 
 
@@ -26,9 +26,7 @@ def conform(name: str, staged: DataFrame, loaded: Tables) -> DataFrame:
 
 def audit(tables: Tables) -> None:
     """Raise if a primary key repeats or is incomplete, or a foreign key is unknown."""
-    for name, table in TABLES.items():
-        if table.key:
-            ops.require_unique(tables[name], name, table.key)
+    ops.require_unique_keys(tables)
     ops.require_foreign_keys(tables)
 
 
@@ -42,12 +40,8 @@ def refresh_dataset(
     """
     loaded: Tables = {}
     for name, staged in read_feed(spark, feed_dir, prefix, suffix).items():
-        path = f"{out_dir}/{name}"
         table = conform(name, staged, loaded)
-        if name == "orders":
-            write_clustered(table, path, "order_purchase_timestamp", "order_id")
-        else:
-            write_table(table, path)
+        write_table(table, f"{out_dir}/{name}", sort_by=TABLES[name].sort_by)
         loaded[name] = read_table(spark, out_dir, name)
     audit(loaded)
     return loaded

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write ``df`` as Parquet in evenly sized files.
+def write_table(
+    df: DataFrame, path: str, mode: str = "errorifexists", sort_by: tuple[str, ...] = ()
+) -> None:
+    """Write ``df`` as Parquet.
 
-    The rebalance hint lets adaptive execution merge small partitions and split large ones.
+    ``sort_by`` orders the rows of each file, without a shuffle: filters on these columns then
+    skip row groups and pages by their statistics.
     """
-    df.hint("rebalance").write.mode(mode).parquet(path)
-
-
-def write_clustered(df: DataFrame, path: str, *columns: str) -> None:
-    """Write ``df`` as Parquet sorted into ranges of ``columns``.
-
-    Filters on the first column then skip files and row groups by their statistics. End the list
-    with a unique column, so that rows sharing a frequent value can still be divided.
-    """
-    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-    ranged.write.mode("errorifexists").parquet(path)
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
+    df.write.mode(mode).parquet(path)
