@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.model import TABLES, Tables
@@ -32,51 +32,51 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _amount(value: Column) -> Column:
+def _amount(column: str) -> str:
     # The test tables hold amounts as doubles of two digits. Going through whole cents is exact
     # for them and much cheaper than Spark's text-based cast from double to decimal.
-    cents = F.rint(value * 100).cast("bigint").cast("decimal(12,0)")
-    return (cents * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)")
+    cents = f"CAST(CAST(rint({column} * 100) AS BIGINT) AS DECIMAL(12,0))"
+    return f"CAST({cents} * 0.01BD AS DECIMAL(12,2))"
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _read(spark, sf_dir, "nation")
+    nation = _read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
     return (
         _read(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("customer_unique_id"),
-            F.col("c_nationkey").alias("customer_zip_code_prefix"),
-            F.col("c_mktsegment").alias("customer_city"),
-            F.col("n_name").alias("customer_state"),
+        .join(nation, "c_nationkey")
+        .selectExpr(
+            "c_custkey AS customer_id",
+            "c_name AS customer_unique_id",
+            "c_nationkey AS customer_zip_code_prefix",
+            "c_mktsegment AS customer_city",
+            "n_name AS customer_state",
         )
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_size") == 1, None).otherwise(F.col("p_brand")).alias("product_category_name"),
-        F.length("p_name").alias("product_name_lenght"),
-        F.col("p_size").alias("product_weight_g"),
+    return _read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "CASE WHEN p_size = 1 THEN NULL ELSE p_brand END AS product_category_name",
+        "length(p_name) AS product_name_lenght",
+        "p_size AS product_weight_g",
     )
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("seller_id"),
-        F.col("s_nationkey").alias("seller_zip_code_prefix"),
-        F.col("s_name").alias("seller_city"),
+    return _read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS seller_id",
+        "s_nationkey AS seller_zip_code_prefix",
+        "s_name AS seller_city",
     )
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
+    return _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "o_orderstatus AS order_status",
+        "o_orderdate AS order_purchase_timestamp",
     )
 
 
@@ -92,33 +92,32 @@ def orders_with_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items; the test data repeats some (order, line number) keys."""
-    return _read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        _amount(F.col("l_extendedprice")).alias("price"),
-        _amount(F.col("l_quantity")).alias("freight_value"),
+    return _read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        "l_shipdate AS shipping_limit_date",
+        f"{_amount('l_extendedprice')} AS price",
+        f"{_amount('l_quantity')} AS freight_value",
     )
 
 
 def order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("order_id"),
-        F.col("event_id").alias("payment_sequential"),
-        F.col("event_type").alias("payment_type"),
-        _amount(F.col("value")).alias("payment_value"),
-    )
+    return _payments(spark, sf_dir, "event_id")
 
 
 def staged_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments numbered by hour, which repeats (order, number) keys with different values."""
-    return _read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("order_id"),
-        F.hour("ts").alias("payment_sequential"),
-        F.col("event_type").alias("payment_type"),
-        _amount(F.col("value")).alias("payment_value"),
+    return _payments(spark, sf_dir, "hour(ts)")
+
+
+def _payments(spark: SparkSession, sf_dir: str, number: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").selectExpr(
+        "user_id AS order_id",
+        f"{number} AS payment_sequential",
+        "event_type AS payment_type",
+        f"{_amount('value')} AS payment_value",
     )
 
 
@@ -132,46 +131,43 @@ def staged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reviews(spark: SparkSession, sf_dir: str, review_key: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").select(
-        F.col(review_key).alias("review_id"),
-        F.col("o_orderkey").alias("order_id"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("review_score"),
-        F.col("o_orderpriority").alias("review_comment_title"),
-        F.col("o_orderdate").alias("review_creation_date"),
+    return _read(spark, sf_dir, "orders").selectExpr(
+        f"{review_key} AS review_id",
+        "o_orderkey AS order_id",
+        "CAST(substring(o_orderpriority, 1, 1) AS INT) AS review_score",
+        "o_orderpriority AS review_comment_title",
+        "o_orderdate AS review_creation_date",
     )
 
 
 def translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English names of all brands but two, which keep their own."""
     brands = _read(spark, sf_dir, "part").select("p_brand").distinct()
-    return brands.where(~F.col("p_brand").isin("Brand#1", "Brand#2")).select(
-        F.col("p_brand").alias("product_category_name"),
-        F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias(
-            "product_category_name_english"
-        ),
+    return brands.where("p_brand NOT IN ('Brand#1', 'Brand#2')").selectExpr(
+        "p_brand AS product_category_name",
+        "lower(replace(p_brand, '#', '_')) AS product_category_name_english",
     )
 
 
 def geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many rows for some prefixes, none for others."""
-    located = _read(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 5000)
-    return located.select(
-        F.col("s_nationkey").alias("geolocation_zip_code_prefix"),
-        F.col("s_acctbal").alias("geolocation_lat"),
-        F.col("s_name").alias("geolocation_city"),
+    located = _read(spark, sf_dir, "supplier").where("s_acctbal > 5000")
+    return located.selectExpr(
+        "s_nationkey AS geolocation_zip_code_prefix",
+        "s_acctbal AS geolocation_lat",
+        "s_name AS geolocation_city",
     )
 
 
 def active_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue without the bulky parts, so that some items refer to nothing."""
-    parts = _read(spark, sf_dir, "part").where(F.col("p_size") <= 40)
-    return parts.select(F.col("p_partkey").alias("product_id"))
+    return _read(spark, sf_dir, "part").where("p_size <= 40").selectExpr("p_partkey AS product_id")
 
 
 def active_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sellers in credit, so that some items refer to nothing."""
-    solvent = _read(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
-    return solvent.select(F.col("s_suppkey").alias("seller_id"))
+    solvent = _read(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    return solvent.selectExpr("s_suppkey AS seller_id")
 
 
 BINDINGS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

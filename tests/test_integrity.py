@@ -149,7 +149,9 @@ def test_insert_if_absent(spark):
 
 def test_schema_overview(spark):
     tables = {
-        "sellers": table(spark, "sellers", {"seller_id": "s"}, {"seller_id": "t", "seller_city": "x"}),
+        "sellers": table(
+            spark, "sellers", {"seller_id": "s"}, {"seller_id": "t", "seller_city": "x"}
+        ),
         "orders": table(spark, "orders", {"order_id": "1", "order_approved_at": at("2020-01-01")}),
     }
     found = rows(ops.schema_overview(tables))

@@ -44,8 +44,8 @@ class Link:
         return f"{self.child}.{self.child_key} -> {self.parent}.{self.parent_key}"
 
 
-# Listed in load order: a table follows the tables it refers to. The two "lenght" columns
-# are spelled this way in the source data.
+# Names, types and column order of the source files, read by position. Listed in
+# load order: a table follows the tables it refers to. Two columns are spelled "lenght" at source.
 TABLES: dict[str, Table] = {
     "customers": Table(
         _schema(
@@ -183,3 +183,12 @@ KEY_TABLES: tuple[str, ...] = (
     "products",
     "sellers",
 )
+
+# Fixed values of the standing reports.
+RECENT_STATUSES = ("delivered", "shipped", "invoiced")
+CANCELED_STATUS = "canceled"
+WINDOW_MONTHS = 12
+MIN_REVIEWS = 50
+TOP_CATEGORIES = 15
+TOP_ROWS = 20
+PREVIEW_ROWS = 10

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions import amount, rounded_ratio, top_k
+from tradewind.model import MIN_REVIEWS, TOP_CATEGORIES, TOP_ROWS
 
 
 def _roll_up(
@@ -38,7 +39,7 @@ def _roll_up(
 
 
 def top_categories(
-    order_items: DataFrame, products: DataFrame, translation: DataFrame, k: int = 15
+    order_items: DataFrame, products: DataFrame, translation: DataFrame, k: int = TOP_CATEGORIES
 ) -> DataFrame:
     """Categories with the highest item revenue."""
     per_product = order_items.groupBy("product_id").agg(
@@ -70,8 +71,8 @@ def review_by_category(
     order_items: DataFrame,
     products: DataFrame,
     translation: DataFrame,
-    min_reviews: int = 50,
-    k: int = 20,
+    min_reviews: int = MIN_REVIEWS,
+    k: int = TOP_ROWS,
 ) -> DataFrame:
     """Best rated categories among those with at least ``min_reviews`` reviews.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions import MICROS_PER_DAY, micros_between, percent, rounded_ratio
+from tradewind.model import CANCELED_STATUS
 
 
 def _by_state(orders: DataFrame, customers: DataFrame, **measures: Column) -> DataFrame:
@@ -44,7 +45,7 @@ def delivery_days_by_state(orders: DataFrame, customers: DataFrame) -> DataFrame
 
 
 def cancel_rate_by_state(
-    orders: DataFrame, customers: DataFrame, canceled_status: str = "canceled"
+    orders: DataFrame, customers: DataFrame, canceled_status: str = CANCELED_STATUS
 ) -> DataFrame:
     """Share of canceled orders per customer state, highest first."""
     totals = _by_state(

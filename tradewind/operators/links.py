@@ -19,21 +19,20 @@ def link_counts(tables: Tables, link: Link) -> DataFrame:
     """
     children = (
         tables[link.child]
-        .groupBy(F.col(link.child_key).alias("child_key"))
+        .groupBy(F.col(link.child_key).alias("key"))
         .agg(F.count("*").alias("n_child"))
     )
     parents = (
         tables[link.parent]
-        .groupBy(F.col(link.parent_key).alias("parent_key"))
+        .groupBy(F.col(link.parent_key).alias("key"))
         .agg(F.count("*").alias("n_parent"))
     )
-    n_child, n_parent = F.col("n_child"), F.col("n_parent")
-    counts = children.join(parents, F.col("child_key") == F.col("parent_key"), "left").agg(
-        F.sum(F.when(n_parent.isNull(), n_child)).alias("missing"),
-        F.sum(n_child * n_parent).alias("joined"),
-        F.sum(n_child * F.coalesce(n_parent, F.lit(1))).alias("outer_rows"),
+    counts = children.join(parents, "key", "left").agg(
+        F.expr("sum(n_child) FILTER (WHERE n_parent IS NULL)").alias("missing"),
+        F.expr("sum(n_child * n_parent)").alias("joined"),
+        F.expr("sum(n_child * coalesce(n_parent, 1))").alias("outer_rows"),
     )
-    return counts.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns])
+    return counts.na.fill(0)
 
 
 def link_missing(tables: Tables, link: Link) -> DataFrame:
@@ -63,13 +62,9 @@ def link_coverage(tables: Tables, link: Link) -> DataFrame:
 
 def relations_report(tables: Tables) -> DataFrame:
     """Every link with its missing rows, join size and coverage."""
-    report = None
+    counts = None
     for link in FOREIGN_KEYS + SOFT_LINKS:
-        row = link_counts(tables, link).select(
-            F.lit(link.arrow).alias("link"),
-            "missing",
-            "joined",
-            percent(F.col("joined"), F.col("outer_rows")).alias("coverage_pct"),
-        )
-        report = row if report is None else report.unionByName(row)
-    return report
+        row = link_counts(tables, link).withColumn("link", F.lit(link.arrow))
+        counts = row if counts is None else counts.unionByName(row)
+    coverage = percent(F.col("joined"), F.col("outer_rows"))
+    return counts.select("link", "missing", "joined", coverage.alias("coverage_pct"))

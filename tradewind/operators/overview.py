@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions import top_k
-from tradewind.model import Tables
+from tradewind.model import PREVIEW_ROWS, Tables
 
 
-def preview(df: DataFrame, n: int = 10, order_by: Sequence[str | Column] = ()) -> DataFrame:
+def preview(
+    df: DataFrame, n: int = PREVIEW_ROWS, order_by: Sequence[str | Column] = ()
+) -> DataFrame:
     """``n`` rows with all columns: any ``n``, or the first in the given order.
 
     Without an order Spark stops after the first partitions; an order reads the whole table.
@@ -27,19 +29,14 @@ def schema_overview(tables: Tables) -> DataFrame:
     """
     overview = None
     for table, df in sorted(tables.items()):
-        counted = df.agg(*[F.count(F.col(name)).alias(name) for name in df.columns])
-        columns = F.array(
-            *[
-                F.struct(
-                    F.lit(position).alias("ordinal_position"),
-                    F.lit(field.name).alias("column_name"),
-                    F.lit(field.dataType.simpleString()).alias("data_type"),
-                    F.col(field.name).alias("non_null_count"),
-                )
-                for position, field in enumerate(df.schema.fields, start=1)
-            ]
+        fields = df.schema.fields
+        counted = df.agg(*[F.count(field.name).alias(field.name) for field in fields])
+        columns = ", ".join(
+            f"struct({position} AS ordinal_position, '{field.name}' AS column_name, "
+            f"'{field.dataType.simpleString()}' AS data_type, `{field.name}` AS non_null_count)"
+            for position, field in enumerate(fields, start=1)
         )
-        listing = counted.select(F.lit(table).alias("table_name"), F.inline(columns))
+        listing = counted.selectExpr(f"'{table}' AS table_name", f"inline(array({columns}))")
         overview = listing if overview is None else overview.unionByName(listing)
     return overview.orderBy("table_name", "ordinal_position")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions import amount, month_of, months_before, rounded_ratio, top_k
+from tradewind.model import RECENT_STATUSES, TOP_ROWS, WINDOW_MONTHS
 
 
 def items_per_order(order_items: DataFrame) -> DataFrame:
@@ -37,7 +38,10 @@ def gmv_by_state(orders: DataFrame, customers: DataFrame, order_items: DataFrame
 
 
 def gmv_by_month(
-    orders: DataFrame, order_items: DataFrame, as_of: dt.date | None = None, months: int = 12
+    orders: DataFrame,
+    order_items: DataFrame,
+    as_of: dt.date | None = None,
+    months: int = WINDOW_MONTHS,
 ) -> DataFrame:
     """Gross merchandise value per purchase month over the last ``months`` months."""
     recent = orders.where(
@@ -52,7 +56,7 @@ def gmv_by_month(
 
 
 def aov_by_customer(
-    orders: DataFrame, customers: DataFrame, order_items: DataFrame, k: int = 20
+    orders: DataFrame, customers: DataFrame, order_items: DataFrame, k: int = TOP_ROWS
 ) -> DataFrame:
     """Customers with the highest average order value."""
     per_order = (
@@ -86,7 +90,7 @@ def aov_by_customer(
     )
 
 
-def top_sellers(order_items: DataFrame, k: int = 20) -> DataFrame:
+def top_sellers(order_items: DataFrame, k: int = TOP_ROWS) -> DataFrame:
     """Sellers with the highest item revenue, with their exact number of orders.
 
     Spark groups by (seller, order) before counting, so one seller's rows spread over tasks.
@@ -98,7 +102,7 @@ def top_sellers(order_items: DataFrame, k: int = 20) -> DataFrame:
     return top_k(per_seller, k, F.desc_nulls_first("revenue"), F.asc_nulls_last("seller_id"))
 
 
-def order_totals(orders: DataFrame, order_items: DataFrame, k: int = 20) -> DataFrame:
+def order_totals(orders: DataFrame, order_items: DataFrame, k: int = TOP_ROWS) -> DataFrame:
     """Orders with the highest total of price and freight."""
     totals = (
         orders.select("order_id")
@@ -111,8 +115,8 @@ def order_totals(orders: DataFrame, order_items: DataFrame, k: int = 20) -> Data
 
 def recent_orders(
     orders: DataFrame,
-    statuses: tuple[str, ...] = ("delivered", "shipped", "invoiced"),
-    k: int = 20,
+    statuses: tuple[str, ...] = RECENT_STATUSES,
+    k: int = TOP_ROWS,
 ) -> DataFrame:
     """Latest orders in the given statuses."""
     chosen = orders.where(F.col("order_status").isin(*statuses)).select(

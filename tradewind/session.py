@@ -13,6 +13,8 @@ SETTINGS = {
     # Join by hashing instead of sorting where every partition of one side is at most this large.
     # Joins with folded tables are of that kind; Spark checks it once the shuffle is written.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Do not look up the Python line behind every column expression for error messages.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
