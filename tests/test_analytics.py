@@ -19,6 +19,10 @@ def orders(spark, *pairs, **columns):
     return table(spark, "orders", *[{"order_id": o, "customer_id": c, **columns} for o, c in pairs])
 
 
+def order_values(spark, *items):
+    return ops.items_per_order(table(spark, "order_items", *items))
+
+
 def customers(spark, *pairs):
     return table(
         spark, "customers", *[{"customer_id": c, "customer_state": s} for c, s in pairs]
@@ -46,9 +50,8 @@ def test_gmv_ignores_rows_with_a_null_part_and_keeps_null_state(spark):
     result = ops.gmv_by_state(
         orders(spark, ("1", "a"), ("2", "b"), ("3", "c"), ("4", "gone"), ("5", "a")),
         customers(spark, ("a", "SP"), ("b", None), ("c", "RJ")),
-        table(
+        order_values(
             spark,
-            "order_items",
             item("1", "1.00", None),
             item("1", "2.00", "0.50", 2),
             item("2", "7.00"),
@@ -76,7 +79,7 @@ def test_gmv_by_month_window(spark):
             for i, m in enumerate(moments)
         ],
     )
-    sold = table(spark, "order_items", *[item(str(i), f"{10**i}.00") for i in range(4)])
+    sold = order_values(spark, *[item(str(i), f"{10**i}.00") for i in range(4)])
     result = ops.gmv_by_month(placed, sold, as_of=dt.date(2019, 1, 15))
     assert rows(result) == [
         (dt.date(2018, 1, 1), D("110.00")),
@@ -90,9 +93,8 @@ def test_aov_averages_orders_not_items(spark):
     result = ops.aov_by_customer(
         orders(spark, ("1", "a"), ("2", "a"), ("3", "b"), ("4", "c")),
         customers(spark, ("a", "SP"), ("b", "RJ"), ("c", "MG")),
-        table(
+        order_values(
             spark,
-            "order_items",
             item("1", "1.00"),
             item("1", "1.00", "1.00", 2),
             item("2", "0.01"),
@@ -275,7 +277,7 @@ def test_recent_orders(spark):
 
 
 def test_order_totals_drop_unknown_orders(spark):
-    sold = table(spark, "order_items", item("1", "1.00", "0.25"), item("9", "50.00"))
+    sold = order_values(spark, item("1", "1.00", "0.25"), item("9", "50.00"))
     assert rows(ops.order_totals(orders(spark, ("1", "a")), sold)) == [("1", D("1.25"))]
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tests.tables import at, item, rows, table
 from tradewind.model import TABLES
-from tradewind.operators import DataQualityError, gmv_by_state
-from tradewind.plans import append_new, export_reports, refresh_dataset
+from tradewind.operators import DataQualityError
+from tradewind.plans import REPORTS, append_new, export_reports, refresh_dataset
 from tradewind.sinks import write_csv, write_table
 from tradewind.sources import (
     feed_file,
@@ -183,7 +183,7 @@ def test_full_refresh(spark, tmp_path, feed):
         "geolocation": 2,
     }
     assert tables["orders"].schema == TABLES["orders"].schema
-    by_state = gmv_by_state(tables["orders"], tables["customers"], tables["order_items"])
+    by_state = REPORTS["gmv_by_state"](tables)
     assert rows(by_state) == [("SP", Decimal("11.50")), ("RJ", Decimal("5.25"))]
     register_views(read_dataset(spark, str(tmp_path / "v1")))
     assert spark.sql("SELECT sum(price) FROM order_items").first()[0] == Decimal("15.00")
@@ -191,7 +191,8 @@ def test_full_refresh(spark, tmp_path, feed):
         refresh_dataset(spark, feed(), str(tmp_path / "v1"), "shop_", "_x")
 
     written = export_reports(tables, str(tmp_path / "out"), as_of=dt.date(2018, 6, 30))
-    assert len(written) == 14
+    assert len(written) == 15 and written[0].endswith("/order_values")
+    assert spark.read.parquet(written[0]).count() == 2
     assert raw(tmp_path / "out" / "gmv_by_month").startswith("month,gmv\r\n2018-05-01,11.50\r\n")
     assert raw(tmp_path / "out" / "price_range_by_category") == (
         "category,min_item_price,max_item_price\r\nart,10.00,10.00\r\n,5.00,5.00\r\n"
@@ -237,6 +238,11 @@ def test_a_failing_report_does_not_stop_the_others(spark, tmp_path, feed):
         export_reports(tables, str(tmp_path / "out"), ["repeat_rate", "payment_mix"])
     assert len(caught.value.exceptions) == 1
     assert raw(tmp_path / "out" / "payment_mix").count("\r\n") == 3
+    tables["order_items"] = tables["order_items"].drop("price")
+    with pytest.raises(ExceptionGroup) as caught:
+        names = ["order_totals", "gmv_by_month", "payment_mix"]
+        export_reports(tables, str(tmp_path / "out"), names)
+    assert len(caught.value.exceptions) == 3
 
 
 def test_sorted_files_skip_by_statistics(spark, tmp_path):

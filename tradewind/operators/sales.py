@@ -1,4 +1,8 @@
-"""Order value questions: by state, month, customer, seller and order."""
+"""Order value questions: by state, month, customer, seller and order.
+
+``order_values`` is the result of :func:`items_per_order`, computed on the fly or read back from
+where it was written for several questions.
+"""
 
 from __future__ import annotations
 
@@ -21,11 +25,11 @@ def items_per_order(order_items: DataFrame) -> DataFrame:
     return order_items.groupBy("order_id").agg(F.sum(value).alias("order_total"))
 
 
-def gmv_by_state(orders: DataFrame, customers: DataFrame, order_items: DataFrame) -> DataFrame:
+def gmv_by_state(orders: DataFrame, customers: DataFrame, order_values: DataFrame) -> DataFrame:
     """Gross merchandise value per customer state, largest first."""
     per_customer = (
         orders.select("order_id", "customer_id")
-        .join(items_per_order(order_items), "order_id")
+        .join(order_values, "order_id")
         .groupBy("customer_id")
         .agg(F.sum("order_total").alias("customer_total"))
     )
@@ -39,7 +43,7 @@ def gmv_by_state(orders: DataFrame, customers: DataFrame, order_items: DataFrame
 
 def gmv_by_month(
     orders: DataFrame,
-    order_items: DataFrame,
+    order_values: DataFrame,
     as_of: dt.date | None = None,
     months: int = WINDOW_MONTHS,
 ) -> DataFrame:
@@ -48,7 +52,7 @@ def gmv_by_month(
         F.col("order_purchase_timestamp") >= months_before(as_of, months)
     ).select("order_id", "order_purchase_timestamp")
     return (
-        recent.join(items_per_order(order_items), "order_id")
+        recent.join(order_values, "order_id")
         .groupBy(month_of(F.col("order_purchase_timestamp")).alias("month"))
         .agg(amount(F.sum("order_total")).alias("gmv"))
         .orderBy(F.asc_nulls_last("month"))
@@ -56,12 +60,12 @@ def gmv_by_month(
 
 
 def aov_by_customer(
-    orders: DataFrame, customers: DataFrame, order_items: DataFrame, k: int = TOP_ROWS
+    orders: DataFrame, customers: DataFrame, order_values: DataFrame, k: int = TOP_ROWS
 ) -> DataFrame:
     """Customers with the highest average order value."""
     per_order = (
         orders.select("order_id", "customer_id")
-        .join(items_per_order(order_items), "order_id")
+        .join(order_values, "order_id")
         .groupBy("order_id", "customer_id")
         .agg(F.sum("order_total").alias("order_total"))
     )
@@ -102,11 +106,11 @@ def top_sellers(order_items: DataFrame, k: int = TOP_ROWS) -> DataFrame:
     return top_k(per_seller, k, F.desc_nulls_first("revenue"), F.asc_nulls_last("seller_id"))
 
 
-def order_totals(orders: DataFrame, order_items: DataFrame, k: int = TOP_ROWS) -> DataFrame:
+def order_totals(orders: DataFrame, order_values: DataFrame, k: int = TOP_ROWS) -> DataFrame:
     """Orders with the highest total of price and freight."""
     totals = (
         orders.select("order_id")
-        .join(items_per_order(order_items), "order_id")
+        .join(order_values, "order_id")
         .groupBy("order_id")
         .agg(amount(F.sum("order_total")).alias("order_total"))
     )

@@ -4,28 +4,38 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from tradewind import operators as ops
 from tradewind.model import Tables
-from tradewind.sinks import write_csv
+from tradewind.sinks import write_csv, write_table
 
 _TRANSLATION = "product_category_name_translation"
 
 
-def _over(build: Callable[..., DataFrame], *names: str) -> Callable[..., DataFrame]:
-    def report(tables: Tables, **options) -> DataFrame:
-        return build(*[tables[name] for name in names], **options)
+@dataclass(frozen=True)
+class Report:
+    build: Callable[..., DataFrame]
+    inputs: tuple[str, ...]
 
-    return report
+    def __call__(self, tables: Tables, **options) -> DataFrame:
+        """The report over ``tables``, which may hold ``order_values`` ready-made."""
+        if "order_values" in self.inputs and "order_values" not in tables:
+            tables = tables | {"order_values": ops.items_per_order(tables["order_items"])}
+        return self.build(*[tables[name] for name in self.inputs], **options)
 
 
-REPORTS: dict[str, Callable[..., DataFrame]] = {
-    "gmv_by_state": _over(ops.gmv_by_state, "orders", "customers", "order_items"),
+def _over(build: Callable[..., DataFrame], *inputs: str) -> Report:
+    return Report(build, inputs)
+
+
+REPORTS: dict[str, Report] = {
+    "gmv_by_state": _over(ops.gmv_by_state, "orders", "customers", "order_values"),
     "top_categories": _over(ops.top_categories, "order_items", "products", _TRANSLATION),
-    "gmv_by_month": _over(ops.gmv_by_month, "orders", "order_items"),
-    "aov_by_customer": _over(ops.aov_by_customer, "orders", "customers", "order_items"),
+    "gmv_by_month": _over(ops.gmv_by_month, "orders", "order_values"),
+    "aov_by_customer": _over(ops.aov_by_customer, "orders", "customers", "order_values"),
     "payment_mix": _over(ops.payment_mix, "order_payments"),
     "delivery_days_by_state": _over(ops.delivery_days_by_state, "orders", "customers"),
     "repeat_rate": _over(ops.repeat_rate, "orders"),
@@ -39,7 +49,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     ),
     "recent_orders": _over(ops.recent_orders, "orders"),
     "payment_stats": _over(ops.payment_stats, "order_payments"),
-    "order_totals": _over(ops.order_totals, "orders", "order_items"),
+    "order_totals": _over(ops.order_totals, "orders", "order_values"),
 }
 
 
@@ -51,19 +61,36 @@ def export_reports(
 ) -> list[str]:
     """Write each report to ``<directory>/<name>/`` as CSV and return the paths.
 
-    A failing report does not keep the others from being written; all failures are raised
+    Several reports start from the value of each order: when more than one of them is asked for,
+    it is written once, as Parquet in ``<directory>/order_values/``, and read back by all. A
+    failing step does not keep the other reports from being written; all failures are raised
     together at the end.
     """
+    chosen = list(REPORTS if names is None else names)
     written, failures = [], []
-    for name in REPORTS if names is None else names:
-        options = {"as_of": as_of} if name == "gmv_by_month" else {}
+
+    def attempt(name: str, step: Callable[[str], None]) -> bool:
         path = f"{directory}/{name}"
         try:
-            write_csv(REPORTS[name](tables, **options), path, single_file=True)
-            written.append(path)
+            step(path)
         except Exception as error:
-            error.add_note(f"report {name}")
+            error.add_note(f"while writing {path}")
             failures.append(error)
+            return False
+        written.append(path)
+        return True
+
+    def store_values(path: str) -> None:
+        write_table(ops.items_per_order(tables["order_items"]), path, mode="overwrite")
+
+    shared = sum("order_values" in REPORTS[name].inputs for name in chosen) > 1
+    if shared and attempt("order_values", store_values):
+        spark = tables["order_items"].sparkSession
+        tables = tables | {"order_values": spark.read.parquet(written[-1])}
+    for name in chosen:
+        options = {"as_of": as_of} if name == "gmv_by_month" else {}
+        report = REPORTS[name]
+        attempt(name, lambda path: write_csv(report(tables, **options), path, single_file=True))
     if failures:
         raise ExceptionGroup("some reports failed", failures)
     return written
