@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import (
     amount,
-    micros_between,
+    as_micros,
+    elapsed,
     month_of,
     months_before,
     percent,
@@ -110,14 +111,17 @@ def test_wall_clock_arithmetic_in_any_session_zone(spark, zone):
         df = spark.sql(
             "SELECT * FROM VALUES "
             "(timestamp_ntz'2017-10-15 00:30:00', timestamp_ntz'2017-10-16 12:30:00.25'),"
-            "(timestamp_ntz'2017-10-15 00:00:00', timestamp_ntz'2017-10-14 23:00:00'),"
+            "(timestamp_ntz'2017-10-15 00:00:00.5', timestamp_ntz'2017-10-14 23:00:00'),"
             "(NULL, timestamp_ntz'2017-10-14 23:00:00') AS t(a, b)"
         )
-        micros = [row[0] for row in df.select(micros_between(F.col("a"), F.col("b"))).collect()]
+        parts = [tuple(row) for row in df.select(*elapsed(F.col("a"), F.col("b"))).collect()]
+        whole = df.select(as_micros(*elapsed(F.col("a"), F.col("b"))))
+        micros = [row[0] for row in whole.collect()]
         months = [row[0] for row in df.select(month_of(F.col("a"))).collect()]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
-    assert micros == [Decimal(129_600_250_000), Decimal(-3_600_000_000), None]
+    assert parts == [(129_600, 250_000), (-3_600, -500_000), (None, None)]
+    assert micros == [Decimal(129_600_250_000), Decimal(-3_600_500_000), None]
     assert months == [dt.date(2017, 10, 1), dt.date(2017, 10, 1), None]
 
 

@@ -2,13 +2,14 @@
 
 from tradewind.functions.numbers import AMOUNT, amount, percent, rounded_ratio
 from tradewind.functions.ordering import top_k
-from tradewind.functions.times import MICROS_PER_DAY, micros_between, month_of, months_before
+from tradewind.functions.times import MICROS_PER_DAY, as_micros, elapsed, month_of, months_before
 
 __all__ = [
     "AMOUNT",
     "MICROS_PER_DAY",
     "amount",
-    "micros_between",
+    "as_micros",
+    "elapsed",
     "month_of",
     "months_before",
     "percent",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions import MICROS_PER_DAY, micros_between, percent, rounded_ratio
+from tradewind.functions import MICROS_PER_DAY, as_micros, elapsed, percent, rounded_ratio
 from tradewind.model import CANCELED_STATUS
 
 
@@ -26,20 +26,22 @@ def _by_state(orders: DataFrame, customers: DataFrame, **measures: Column) -> Da
 
 def delivery_days_by_state(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Mean days from purchase to delivery per customer state, fastest first."""
-    elapsed = micros_between(
+    seconds, micros = elapsed(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     )
     totals = _by_state(
         orders.where(F.col("order_delivered_customer_date").isNotNull()),
         customers,
-        micros=F.sum(elapsed),
+        seconds=F.sum(seconds),
+        micros=F.sum(micros),
         timed=F.count("order_purchase_timestamp"),
         delivered_orders=F.count("*"),
     )
     timed_days = F.col("timed").cast("decimal(20,0)") * F.lit(MICROS_PER_DAY)
+    micros_in_all = as_micros(F.col("seconds"), F.col("micros"))
     return totals.select(
         "customer_state",
-        rounded_ratio(F.col("micros"), timed_days).alias("avg_delivery_days"),
+        rounded_ratio(micros_in_all, timed_days).alias("avg_delivery_days"),
         "delivered_orders",
     ).orderBy(F.asc_nulls_last("avg_delivery_days"), F.asc_nulls_last("customer_state"))
 
