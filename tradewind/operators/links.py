@@ -27,10 +27,12 @@ def link_counts(tables: Tables, link: Link) -> DataFrame:
         .groupBy(F.col(link.parent_key).alias("key"))
         .agg(F.count("*").alias("n_parent"))
     )
+    # A join nobody builds may have more rows than a 64-bit integer counts.
+    wide = "CAST(n_child AS DECIMAL(19,0))"
     counts = children.join(parents, "key", "left").agg(
         F.expr("sum(n_child) FILTER (WHERE n_parent IS NULL)").alias("missing"),
-        F.expr("sum(n_child * n_parent)").alias("joined"),
-        F.expr("sum(n_child * coalesce(n_parent, 1))").alias("outer_rows"),
+        F.expr(f"sum({wide} * n_parent)").alias("joined"),
+        F.expr(f"sum({wide} * coalesce(n_parent, 1))").alias("outer_rows"),
     )
     return counts.na.fill(0)
 
@@ -45,7 +47,7 @@ def link_missing(tables: Tables, link: Link) -> DataFrame:
 def link_volume(tables: Tables, link: Link) -> DataFrame:
     """Size of the inner join of child and parent."""
     return link_counts(tables, link).select(
-        F.lit(link.relation).alias("relation"), F.col("joined").alias("count")
+        F.lit(link.relation).alias("relation"), F.col("joined").cast("bigint").alias("count")
     )
 
 
@@ -67,4 +69,5 @@ def relations_report(tables: Tables) -> DataFrame:
         row = link_counts(tables, link).withColumn("link", F.lit(link.arrow))
         counts = row if counts is None else counts.unionByName(row)
     coverage = percent(F.col("joined"), F.col("outer_rows"))
-    return counts.select("link", "missing", "joined", coverage.alias("coverage_pct"))
+    joined = F.col("joined").cast("bigint").alias("joined")
+    return counts.select("link", "missing", joined, coverage.alias("coverage_pct"))

@@ -31,15 +31,21 @@ def audit(tables: Tables) -> None:
 
 
 def refresh_dataset(
-    spark: SparkSession, feed_dir: str, out_dir: str, prefix: str = "", suffix: str = ""
+    spark: SparkSession,
+    feed_dir: str,
+    out_dir: str,
+    prefix: str = "",
+    suffix: str = "",
+    multi_line: bool | None = None,
 ) -> Tables:
     """Load a feed into ``out_dir`` and return the audited tables.
 
     ``out_dir`` must be new: each refresh gets its own directory, and readers move on to it only
     after this returns. Later steps and the audits read the written Parquet, not the feed.
+    ``multi_line`` is that of :func:`tradewind.sources.read_csv`.
     """
     loaded: Tables = {}
-    for name, staged in read_feed(spark, feed_dir, prefix, suffix).items():
+    for name, staged in read_feed(spark, feed_dir, prefix, suffix, multi_line).items():
         table = conform(name, staged, loaded)
         write_table(table, f"{out_dir}/{name}", sort_by=TABLES[name].sort_by)
         loaded[name] = read_table(spark, out_dir, name)

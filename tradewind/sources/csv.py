@@ -39,7 +39,8 @@ def read_csv(
     table reads all of it); a missing path raises here.
 
     A file whose records may span lines has to be read by one task. ``multi_line=None`` looks
-    for such records first, so that all other files are split over many tasks.
+    for such records first, so that all other files are split over many tasks; where the answer
+    is known, passing it saves that scan.
     """
     if multi_line is None:
         multi_line = has_spanning_records(spark, path)
