@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,20 @@ SETTINGS = {
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """``builder`` with the settings above; later ``config`` calls still override them."""
     return builder.config(map=SETTINGS)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the tasks, once per application; functions in tasks import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tradewind-")) / "tradewind.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+
+
+_SHIPPED: set[str] = set()
