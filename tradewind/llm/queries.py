@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.llm import pieces, warc
 from tradewind.llm.decontaminate import contaminated
+from tradewind.llm.license_scan import license_scan
 from tradewind.llm.line_dedup import line_dedup
-from tradewind.llm import pieces, warc
+from tradewind.llm.main_text import extract
 from tradewind.llm.quality import quality
+from tradewind.llm.secret_scan import secret_scan
 from tradewind.llm.simhash import simhash_components
 from tradewind.llm.token_counts import token_counts
 
@@ -32,10 +35,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "notices")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "secrets")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     found = simhash_components(docs, keep_text=False)
@@ -60,7 +75,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_warc": op2_warc,
+        "op3_main_text": op3_main_text,
         "op4_token_counts": op4_token_counts,
+        "op5_license_scan": op5_license_scan,
+        "op6_secret_scan": op6_secret_scan,
         "op7_simhash": op7_simhash,
         "op8_decontaminate": op8_decontaminate,
         "op9_sentencepiece": op9_sentencepiece,
