@@ -74,8 +74,7 @@ def _sorted_if_repeated(hashes: Column) -> Column:
 
 
 def _repeated(ordered: Column) -> Column:
-    """Hashes found twice or more, each once. ``ordered`` is a plain column, as is each below:
-    an expression inside a lambda would be worked out anew for every element."""
+    """Hashes found twice or more, each once."""
     again = F.filter(ordered, lambda h, k: (k > 0) & (h == F.get(ordered, k - 1)))
     return F.array_distinct(again)
 
@@ -121,9 +120,11 @@ def _covered(places: Column) -> Column:
     )
 
 
-_STEPS = (
-    "_text", "_words", "_lines", "_hashes", "_ordered", "_repeated", "_placed", "_places",
-)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, wherever the optimizer moves the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 MEASURES = (
     "n_words",
     "word_chars",
@@ -135,6 +136,50 @@ MEASURES = (
 )
 
 
+def _measures(text: Column) -> Column:
+    """All measures of a text, as a struct in one expression."""
+    both = [w for s in STOP_WORDS for w in {s, s.capitalize()}]
+    split = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    symbols = F.regexp_replace(text, f"[^{SYMBOLS}]+", "")
+    worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
+
+    def repeated_words(words: Column) -> Column:
+        def found(hashes: Column) -> Column:
+            return _let(
+                _let(_sorted_if_repeated(hashes), _repeated),
+                lambda repeated: _let(
+                    _sorted_if_many(hashes, repeated),
+                    lambda placed: _covered(_places(hashes, repeated, placed)),
+                ),
+            )
+
+        return _let(_hashes(words), found)
+
+    def of_words(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            repeated_words(words).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(words, lambda w: w.isin(both))).cast("long").alias("n_stop_words"),
+        )
+
+    def of_lines(lines: Column) -> Column:
+        return F.struct(
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.size(lines).cast("long").alias("n_lines"),
+        )
+
+    n_symbols = F.length(symbols).cast("long")
+    return _let(
+        F.struct(_let(split, of_words).alias("w"), _let(worded, of_lines).alias("l"), n_symbols.alias("s")),
+        lambda m: F.struct(
+            *[m["w"][x].alias(x) for x in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")],
+            *[m["l"][x].alias(x) for x in ("n_dup_lines", "n_lines")],
+            m["s"].alias("n_symbols"),
+        ),
+    )
+
+
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept`` (columns of those names go).
 
@@ -144,43 +189,14 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     """
     made = (*MEASURES, "base_failed", "kept")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    both = [w for s in STOP_WORDS for w in {s, s.capitalize()}]
-    worded = docs.select(*own, value.alias("_text")).withColumns(
-        {
-            "_words": F.filter(F.split("_text", f"{SPACE}+"), lambda w: w != ""),
-            "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")),
-        }
-    )
-    hashes, repeated, placed = F.col("_hashes"), F.col("_repeated"), F.col("_placed")
-    covered = (
-        worded.withColumn("_hashes", _hashes(F.col("_words")))
-        .withColumn("_ordered", _sorted_if_repeated(hashes))
-        .withColumn("_repeated", _repeated(F.col("_ordered")))
-        .withColumn("_placed", _sorted_if_many(hashes, repeated))
-        .withColumn("_places", _places(hashes, repeated, placed))
-    )
-    words, lines = F.col("_words"), F.col("_lines")
-    symbols = F.regexp_replace("_text", f"[^{SYMBOLS}]+", "")
-    measured = covered.withColumns(
-        {
-            "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(F.array_join(words, "")).cast("long"),
-            "n_symbols": F.length(symbols).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": _covered(F.col("_places")).cast("long"),
-            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(both))).cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-        }
-    ).drop(*_STEPS)
-    by_name = {m: F.col(m) for m in MEASURES}
+    measured = docs.select(*own, _measures(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_m"))
 
     def all_hold(chosen: tuple[Rule, ...]) -> Column:
         held = F.lit(True)
         for rule in chosen:
-            held = held & rule.holds(by_name)
+            held = held & rule.holds({m: F.col("_m")[m] for m in MEASURES})
         return held
 
     return measured.withColumns(
         {"base_failed": ~all_hold(BASE_RULES), "kept": all_hold(BASE_RULES) & all_hold(rules)}
-    )
+    ).select(*own, "_m.*", "base_failed", "kept")
