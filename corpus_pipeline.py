@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm import pieces
 from tradewind.llm.decontaminate import contaminated
 from tradewind.llm.line_dedup import line_dedup
-from tradewind.llm.quality import quality
+from tradewind.llm.quality import is_kept
 from tradewind.llm.simhash import simhash_components
 from tradewind.scratch import written
 
@@ -16,31 +16,41 @@ from tradewind.scratch import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all columns as one, so that no operator's column meets another."""
+    return docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    return packed.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, unchanged."""
-    return quality(docs).where("kept").select(*docs.columns)
+    return docs.where(is_kept(F.col("text")))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others keep; ``n_chars`` is that of what is left.
+    """Documents without the lines that others keep; ``n_chars``, if there, is that of what is left.
 
     A document that loses all its lines stays, with an empty text.
     """
-    kept = line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    n_chars = F.length("text").cast("long")
+    return _unpacked(line_dedup(_packed(docs)), docs.columns, text=F.col("text"), n_chars=n_chars)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: a row with its smallest ``doc_id``."""
-    return simhash_components(docs).where("is_first").select(*docs.columns)
+    return _unpacked(simhash_components(_packed(docs)).where("is_first"), docs.columns)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no test item is found."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contaminated(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", "_leak")
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak"))
-    return docs.join(leaks, own, "left_anti").select(*docs.columns)
+    leaks = contaminated(docs, items).select(F.col("doc_id").alias("leak")).distinct()
+    packed = _packed(docs)
+    own = packed["doc_id"].cast("long").eqNullSafe(leaks["leak"])
+    return _unpacked(packed.join(leaks, own, "left_anti"), docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,237 @@
+"""Quality rules, line dedup, SimHash and decontamination against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from tests.llm.tables import PROSE, SHARED, by_id, documents, messy
+from tradewind.llm import simhash
+from tradewind.llm.bm25 import Index
+from tradewind.llm.decontaminate import contaminated, question_and_answer, words_of
+from tradewind.llm.line_dedup import line_dedup
+from tradewind.llm.perfect_hash import PerfectHash
+from tradewind.llm.quality import MEASURES, quality
+
+SPACE = "[\x20\x09-\x0d]"
+
+
+def plain_measures(text):
+    text = text or ""
+    words = [w for w in re.split(f"{SPACE}+", text) if w]
+    lines = [x for x in text.split("\n") if re.search(f"[^{SPACE[1:]}", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if seen[w] > 1 for j in (i, i + 1, i + 2)}
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(repeated),
+    )
+
+
+def test_quality_measures(spark):
+    rng = random.Random(1)
+    texts = ["", None, "a b c a b c", "a a a a a", "x\n\nx\n x\ny", "# * | <b>"]
+    for _ in range(40):
+        words = rng.choices("ab ba ca the of #x \n %% \t é".split(" "), k=rng.randint(0, 120))
+        texts.append(" ".join(words))
+    texts.append(" ".join(f"w{i % 700}" for i in range(3000)))
+    rows = quality(documents(spark, list(enumerate(texts)))).collect()
+    for r in rows:
+        assert tuple(r[m] for m in MEASURES[:5]) == plain_measures(texts[r["doc_id"]])
+        words, repeated = r["n_words"], r["n_repeat_words"]
+        assert r["base_failed"] == (words < 50 or 100 * repeated > 50 * words)
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_messy(spark):
+    found = quality(messy(spark, "n_words", "kept", "_m"))
+    rows = found.where("doc_id = 2").collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    assert found.where("doc_id = 3").first()["n_words"] == 0
+    assert found.count() == 17 and found.columns.count("kept") == 1
+    assert quality(messy(spark).limit(0)).count() == 0
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_filter_is_pushed_without_rework(spark):
+    text = " ".join(f"{PROSE.split()[i % 16]}{i % 997}" for i in range(30_000))
+    assert quality(documents(spark, [(1, text)])).where("kept").select("doc_id").count() in (0, 1)
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000, 20_000):
+        high, low = rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)
+        if n > 10:
+            high[:5] = 7  # equal halves
+        made = PerfectHash.from_bytes(PerfectHash.build(high, low).to_bytes())
+        assert sorted(made.slots(high, low).tolist()) == list(range(n))
+
+
+def plain_dedup(rows, min_docs=5):
+    def key(line):
+        line = line.strip(" \t\n\x0b\x0c\r")
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
+
+    found = defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 40 and d is not None:
+                found[key(line)].add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(found[key(x)]) >= min_docs and d != max(found[key(x)]))]
+        digest = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+        out.append((d, len(lines), len(lines) - len(kept), digest))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_line_dedup(spark, broadcast_bytes):
+    rng = random.Random(3)
+    pool = [f"{'é' * (38 + i % 4)}{i}" for i in range(12)] + [SHARED, SHARED.upper(), f"\t{SHARED} ", ""]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 6)))) for i in range(60)]
+    rows += [(7, rows[7][1]), (None, SHARED), (70, None)]
+    found = line_dedup(documents(spark, rows), broadcast_bytes=broadcast_bytes).collect()
+    digests = [
+        (r[0], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest())
+        for r in found
+    ]
+    assert sorted(digests, key=str) == plain_dedup(rows)
+
+
+def test_line_dedup_messy(spark):
+    found = line_dedup(messy(spark, "n_lines", "n_dropped", "_doc", "_gone"))
+    assert line_dedup(messy(spark, "_doc", "_gone", "high"), broadcast_bytes=-1).count() == 17
+    assert found.count() == 17
+    kept = by_id(found.where("doc_id >= 10"), "text", "n_dropped")
+    assert kept[10] == ("own line 0", 2) and kept[15][1] == 0
+    assert line_dedup(messy(spark).limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(f"{SPACE}+", text) if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, radius):
+    root = dict.fromkeys(prints)
+    for start in sorted(prints):
+        if root[start] is None:
+            stack, root[start] = [start], start
+            while stack:
+                a = stack.pop()
+                for b in prints:
+                    if root[b] is None and (prints[a] ^ prints[b]).bit_count() <= radius:
+                        root[b] = start
+                        stack.append(b)
+    return root
+
+
+def test_simhash(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TREE_MEMBERS", 8)  # buckets in parts
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randint(0, 500)}" for _ in range(60)]
+        for _ in range(rng.choice([1, 2, 12])):
+            copy = list(words)
+            copy[rng.randrange(60)] = rng.choice(["new", "W1", words[0]])
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, "A b", "a B", "one two three four"])]
+    found = by_id(simhash.simhash_components(documents(spark, rows)), "fingerprint", "component_id")
+    prints = {d: plain_fingerprint(t) for d, t in rows}
+    roots = plain_components(prints, 4)
+    assert found == {d: (f"{prints[d]:016x}", roots[d]) for d, _ in rows}
+
+
+def test_links_of_random_fingerprints(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = set(base)
+    for v in base:
+        for _ in range(6):
+            v ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
+            values.add(v)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    roots = plain_components({v: v % (1 << 64) for v in signed}, 4)
+    prints = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for n in (len(signed), 1 << 21):  # one range per table, and two
+        links = simhash.components(simhash.near_links(prints, n, 4))
+        found = {r["node"]: r["root"] for r in links.collect()}
+        assert {v: found.get(v, v) for v in signed} == roots
+
+
+def test_simhash_messy(spark):
+    found = simhash.simhash_components(messy(spark, "fingerprint", "is_first", "_fp", "_row", "fp", "_least"))
+    assert found.count() == 17
+    rows = found.where("doc_id = 2").collect()
+    assert {r["component_id"] for r in rows} == {1} and not any(r["is_first"] for r in rows)
+    assert found.where("is_first").count() == found.select("component_id").distinct().count()
+    zero = found.where("text is null or text = ''").select("fingerprint", "component_id").distinct()
+    assert [tuple(r) for r in zero.collect()] == [("0" * 16, 3)]
+    assert simhash.simhash_components(messy(spark).limit(0)).count() == 0
+
+
+def test_wand_finds_what_a_full_scan_finds():
+    rng = random.Random(6)
+    entries = [[f"{rng.choice('abcdefgh')}{rng.randint(0, 9)}".encode() for _ in range(rng.randint(1, 20))] for _ in range(90)]
+    index = Index(entries)
+    for _ in range(150):
+        terms = rng.sample(range(len(index.terms)), rng.randint(0, 40))
+        full = defaultdict(float)
+        for t in terms:
+            for d, s in zip(index.docs[t], index.scores[t], strict=True):
+                full[d] += s
+        for least in (0.1, 0.3, 0.6):
+            wanted = {d for d, s in full.items() if s >= least - 1e-9}
+            assert {d for d, _ in index.search(terms, least)} == wanted
+            good = index.promising(np.zeros(len(terms), int), np.array(sorted(terms), int), 1, least)
+            assert bool(good[0]) or not wanted
+
+
+def test_decontaminate(spark):
+    rng = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, text(rng.randint(15, 60))) for i in range(40)]
+    items += [(90, text(300)), (91, "What is the name of the red bird? " + text(3)), (92, None), (93, ""), (0, items[0][1])]
+    rows, planted = [], set()
+    for d in range(60):
+        body = [text(rng.randint(0, 300)), text(rng.randint(0, 300))]
+        if d % 3 == 0:
+            item = rng.choice([x for x in items if x[1]])
+            own = item[1].upper() if d % 2 else re.sub(" ", ", ", item[1])
+            body.insert(1, own)
+            planted.add((d, item[0]))
+        rows.append((d, "\n".join(body)))
+    half = items[3][1].split()
+    rows += [(100, " ".join(half[: len(half) // 2]) + " " + text(200)), (101, None), (102, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 2000):  # one pass, and several
+        found = contaminated(documents(spark, rows), table, item_bytes=size).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == planted
+    assert contaminated(documents(spark, rows), table.limit(0)).count() == 0
+    assert contaminated(messy(spark, "item_id"), table).count() == 0
+    assert contaminated(messy(spark).limit(0), table).count() == 0
+
+
+def test_question_and_answer():
+    assert question_and_answer("Who is it? The king.") == ([b"who", b"is", b"it"], [b"the", b"king"])
+    assert question_and_answer("Q text\nAnswer: yes, sir")[1] == [b"yes", b"sir"]
+    assert question_and_answer("a b c d e f") == (words_of("a b c d"), words_of("e f"))
+    assert question_and_answer("") == ([], [])

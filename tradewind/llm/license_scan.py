@@ -142,9 +142,9 @@ TEMPLATES = (
     ),
 )
 
-#: Words of a notice, the rarest first, that are looked up.
+#: Words of a key phrase, the rarest first, that are looked up.
 ANCHORS = 3
-#: Words by which a notice may be longer or shorter than its template before the same anchor.
+#: Words by which a notice may begin earlier or end later than its template does.
 DRIFT = 4
 #: Share of a notice, by rarity, that must stand there for its label.
 LEAST_SHARE = 0.5
@@ -172,11 +172,15 @@ class LicenseIndex:
             rarest = max(range(len(phrase)), key=lambda i: (rarity(phrase[i]), i))
             self.base_at.setdefault(phrase[rarest], []).append((k, rarest))
         self.notice_at: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, notice, _) in enumerate(self.templates):
-            ranked = sorted(set(notice), key=lambda w: (-self.rarity[w], w))[:ANCHORS]
-            for i, word in enumerate(notice):
+        self.ranked: list[frozenset[bytes]] = []
+        for k, (_, notice, key) in enumerate(self.templates):
+            # The key phrase can't be missing, so its rarest words find every notice.
+            ranked = sorted(set(key), key=lambda w: (-self.rarity[w], w))[:ANCHORS]
+            self.ranked.append(frozenset(ranked))
+            (first, *_) = _places(notice, key, range(len(notice)))
+            for i, word in enumerate(key):
                 if word in ranked:
-                    self.notice_at.setdefault(word, []).append((k, i))
+                    self.notice_at.setdefault(word, []).append((k, first + i))
         self.anchors = frozenset(self.base_at) | frozenset(self.notice_at)
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, str, float]]]:
@@ -200,10 +204,7 @@ class LicenseIndex:
         found = []
         for (k, start), anchors in votes.items():
             label, notice, key = self.templates[k]
-            joint = set(anchors)
-            for d in range(-DRIFT, DRIFT + 1):  # postings that agree on where the notice begins
-                joint |= votes.get((k, start + d), set())
-            if len(joint) < min(ANCHORS, len(set(notice))) - 1:
+            if anchors < self.ranked[k]:  # postings must agree on where the notice begins
                 continue
             low, high = max(0, start - DRIFT), start + len(notice) + DRIFT
             if not _places(words, key, range(low, max(low, high - len(key) + 1))):

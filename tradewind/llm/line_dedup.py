@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.batches import slices, with_columns
+from tradewind.llm.batches import slices, unused, with_columns
 from tradewind.llm.perfect_hash import PerfectHash
 from tradewind.scratch import written
 
@@ -206,24 +206,25 @@ def _probe_by_shard(
                     ids.append(doc)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "gone": pa.array(gone, pa.binary())})
 
+    doc, own_gone = unused(docs, "_doc"), unused(docs, "_gone")
     gone = (
         asked.select("shard", "group", "high", "low", "doc_id")
         .groupBy("shard", "group")
         .cogroup(copies.drop("groups").groupBy("shard", "group"))
         .applyInArrow(probe, "doc_id long, gone binary")
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_set("gone").alias("_gone"))
+        .groupBy(F.col("doc_id").alias(doc))
+        .agg(F.collect_set("gone").alias(own_gone))
     )
-    marked = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left").drop("_doc")
+    marked = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]), "left").drop(doc)
 
     def compute():
         def work(texts: list[str], part: pa.RecordBatch) -> list[list]:
-            sets = [set(x or ()) for x in part.column(part.schema.names.index("_gone")).to_pylist()]
+            sets = [set(x or ()) for x in part.column(part.schema.names.index(own_gone)).to_pylist()]
             return _kept(texts, min_chars, lambda i, own: [k in sets[i] for k in own])
 
         return work
 
-    return with_columns(marked, _COLUMNS, compute).drop("_gone")
+    return with_columns(marked, _COLUMNS, compute).drop(own_gone)
 
 
 def line_dedup(

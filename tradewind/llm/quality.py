@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.batches import unused
+
 #: What separates words: the ASCII white space characters.
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Fixed value: the characters that count as symbols.
@@ -189,14 +191,29 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     """
     made = (*MEASURES, "base_failed", "kept")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    measured = docs.select(*own, _measures(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_m"))
+    m = unused(docs, "_m")
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return (
+        docs.select(*own, _measures(value).alias(m))
+        .select(*own, f"{m}.*", F.col(m))
+        .withColumns(
+            {
+                "base_failed": ~_all_hold(BASE_RULES, F.col(m)),
+                "kept": _all_hold(BASE_RULES + rules, F.col(m)),
+            }
+        )
+        .drop(m)
+    )
+
+
+def _all_hold(rules: tuple[Rule, ...], measures: Column) -> Column:
+    held = F.lit(True)
+    for rule in rules:
+        held = held & rule.holds({m: measures[m] for m in MEASURES})
+    return held
 
-    def all_hold(chosen: tuple[Rule, ...]) -> Column:
-        held = F.lit(True)
-        for rule in chosen:
-            held = held & rule.holds({m: F.col("_m")[m] for m in MEASURES})
-        return held
 
-    return measured.withColumns(
-        {"base_failed": ~all_hold(BASE_RULES), "kept": all_hold(BASE_RULES) & all_hold(rules)}
-    ).select(*own, "_m.*", "base_failed", "kept")
+def is_kept(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether the base rules and ``rules`` keep a text, as one expression."""
+    measured = _measures(F.coalesce(text, F.lit("")))
+    return _let(measured, lambda m: _all_hold(BASE_RULES + rules, m))

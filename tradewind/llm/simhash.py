@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.batches import with_columns
+from tradewind.llm.batches import unused, with_columns
 from tradewind.scratch import written
 
 #: Members of a bucket's tree; larger buckets are cut into trees and blocks of queries.
@@ -268,22 +268,23 @@ def simhash_components(
         return lambda texts, _: [[fingerprint(t, words) for t in texts]]
 
     made = ("fingerprint", "component_id", "is_first")
+    fp, row, least_ = (unused(docs, c) for c in ("_fp", "_row", "_least"))
     ids = docs.drop(*made).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = with_columns(ids, {"_fp": T.LongType()}, compute)
+    marked = with_columns(ids, {fp: T.LongType()}, compute)
     marked = marked if keep_text else marked.drop("text")
-    rows = written(marked.withColumn("_row", F.monotonically_increasing_id()))
-    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")
-    own = written(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")))
+    rows = written(marked.withColumn(row, F.monotonically_increasing_id()))
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", row)
+    own = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")))
     roots = components(near_links(own.select("fp"), own.count(), radius))
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("_least"))
-    found = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "_least")
+    least = rooted.groupBy("root").agg(F.min("first").alias(least_))
+    found = rooted.join(least, "root").select(F.col("fp").alias(fp), least_)
     return (
-        rows.join(found, "_fp")
-        .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
-        .withColumn("component_id", F.col("_least.doc_id"))
-        .withColumn("is_first", F.col("_row") == F.col("_least._row"))
-        .drop("_fp", "_row", "_least")
+        rows.join(found, fp)
+        .withColumn("fingerprint", F.lower(F.lpad(F.hex(fp), 16, "0")))
+        .withColumn("component_id", F.col(least_)["doc_id"])
+        .withColumn("is_first", F.col(row) == F.col(least_)[row])
+        .drop(fp, row, least_)
     )
