@@ -141,33 +141,35 @@ def _reviews(spark: SparkSession, sf_dir: str, review_key: str) -> DataFrame:
 
 
 def translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English names of all brands but two, which keep their own."""
+    """English names of all brands; two of them under other keys, so that those brands lack one."""
     brands = _read(spark, sf_dir, "part").select("p_brand").distinct()
-    return brands.where("p_brand NOT IN ('Brand#1', 'Brand#2')").selectExpr(
-        "p_brand AS product_category_name",
+    return brands.selectExpr(
+        "CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN concat('old ', p_brand) ELSE p_brand END "
+        "AS product_category_name",
         "lower(replace(p_brand, '#', '_')) AS product_category_name_english",
     )
 
 
 def geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many rows for some prefixes, none for others."""
-    located = _read(spark, sf_dir, "supplier").where("s_acctbal > 5000")
-    return located.selectExpr(
-        "s_nationkey AS geolocation_zip_code_prefix",
+    return _read(spark, sf_dir, "supplier").selectExpr(
+        "CASE WHEN s_acctbal > 5000 THEN s_nationkey ELSE s_nationkey + 1000 END "
+        "AS geolocation_zip_code_prefix",
         "s_acctbal AS geolocation_lat",
         "s_name AS geolocation_city",
     )
 
 
 def active_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogue without the bulky parts, so that some items refer to nothing."""
-    return _read(spark, sf_dir, "part").where("p_size <= 40").selectExpr("p_partkey AS product_id")
+    """A catalogue with the bulky parts under other keys, so that some items refer to nothing."""
+    moved = "CASE WHEN p_size <= 40 THEN p_partkey ELSE -1 - p_partkey END AS product_id"
+    return _read(spark, sf_dir, "part").selectExpr(moved)
 
 
 def active_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sellers in credit, so that some items refer to nothing."""
-    solvent = _read(spark, sf_dir, "supplier").where("s_acctbal > 0")
-    return solvent.selectExpr("s_suppkey AS seller_id")
+    """Sellers in debt stand under other keys, so that some items refer to nothing."""
+    moved = "CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -1 - s_suppkey END AS seller_id"
+    return _read(spark, sf_dir, "supplier").selectExpr(moved)
 
 
 BINDINGS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

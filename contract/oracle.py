@@ -58,15 +58,19 @@ _SOURCES = {
                o_orderpriority AS review_comment_title, o_orderdate AS review_creation_date
         FROM orders""",
     "product_category_name_translation": """
-        SELECT DISTINCT p_brand AS product_category_name,
+        SELECT DISTINCT CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN concat('old ', p_brand)
+                             ELSE p_brand END AS product_category_name,
                lower(replace(p_brand, '#', '_')) AS product_category_name_english
-        FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')""",
+        FROM part""",
     "geolocation": """
-        SELECT s_nationkey AS geolocation_zip_code_prefix, s_acctbal AS geolocation_lat,
+        SELECT CAST(CASE WHEN s_acctbal > 5000 THEN s_nationkey ELSE s_nationkey + 1000 END
+                    AS INTEGER) AS geolocation_zip_code_prefix, s_acctbal AS geolocation_lat,
                s_name AS geolocation_city
-        FROM supplier WHERE s_acctbal > 5000""",
-    "active_products": "SELECT p_partkey AS product_id FROM part WHERE p_size <= 40",
-    "active_sellers": "SELECT s_suppkey AS seller_id FROM supplier WHERE s_acctbal > 0",
+        FROM supplier""",
+    "active_products": "SELECT CASE WHEN p_size <= 40 THEN p_partkey ELSE -1 - p_partkey END AS product_id "
+    "FROM part",
+    "active_sellers": "SELECT CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -1 - s_suppkey END AS seller_id "
+    "FROM supplier",
 }
 
 # `orders` is a test table of its own, so its binding goes by another name in SQL.
@@ -177,6 +181,13 @@ def _reports() -> dict[str, str]:
             FROM delivered JOIN customers USING (customer_id)
             WHERE received IS NOT NULL GROUP BY 1 ORDER BY 2, 1""",
         ),
+        "repeat_rate_by_person": _over(
+            "shop_orders customers",
+            f"""SELECT {_percent("count(*) FILTER (WHERE n >= 2)", "count(*)")} AS repeat_purchase_rate_pct,
+                count(*) FILTER (WHERE n >= 2) AS repeat_customers, count(*) AS total_customers
+            FROM (SELECT customer_state, count(*) AS n
+                  FROM shop_orders JOIN customers USING (customer_id) GROUP BY 1)""",
+        ),
         "repeat_rate": _over(
             "shop_orders",
             f"""SELECT {_percent("count(*) FILTER (WHERE n >= 2)", "count(*)")}
@@ -380,8 +391,8 @@ def _loading() -> dict[str, str]:
             _first_per_key(
                 """(SELECT * FROM staged_payments b WHERE NOT EXISTS (
                     SELECT 1 FROM staged_payments t
-                    WHERE t.payment_type = 'click' AND t.order_id = b.order_id
-                      AND t.payment_sequential = b.payment_sequential))""",
+                    WHERE CASE WHEN t.payment_type = 'click' THEN t.order_id
+                               ELSE -1 - t.order_id END = b.order_id AND t.payment_sequential = b.payment_sequential))""",
                 _PAYMENT_KEY,
                 _PAYMENT_REST,
             ),
@@ -408,7 +419,7 @@ def _loading() -> dict[str, str]:
     }
 
 
-def _schema_overview() -> str:
+def _listing(counted: bool) -> str:
     # The columns and types that the bindings produce, in order.
     listing = {
         "customers": "customer_id bigint, customer_unique_id string, "
@@ -433,8 +444,8 @@ def _schema_overview() -> str:
     rows = [
         f"""SELECT '{table}' AS table_name, {position} AS ordinal_position,
             '{column.split()[0]}' AS column_name,
-            '{column.split()[1].replace(";", ",")}' AS data_type,
-            count({column.split()[0]}) AS non_null_count FROM {_source(table)}"""
+            '{column.split()[1].replace(";", ",")}' AS data_type"""
+        + (f", count({column.split()[0]}) AS non_null_count FROM {_source(table)}" if counted else "")
         for table, columns in listing.items()
         for position, column in enumerate(columns.split(", "), start=1)
     ]
@@ -448,5 +459,6 @@ def oracle_sql() -> dict[str, str]:
         **_relations(),
         **_keys(),
         **_loading(),
-        "schema_overview": _schema_overview(),
+        "schema_overview": _listing(counted=False),
+        "column_profile": _listing(counted=True),
     }

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from contract.oracle import link_key
 from tradewind import operators as ops
 from tradewind.model import FOREIGN_KEYS, KEY_AUDITED, KEY_TABLES, SOFT_LINKS, TABLES, Link
 from tradewind.plans import REPORTS, refresh_dataset
+from tradewind.scratch import scratch_dir
 from tradewind.sinks import write_csv
 from tradewind.sources import feed_file, read_csv
 
@@ -24,12 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 TRANSLATION = "product_category_name_translation"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the one the cluster shares; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='tradewind-')}/{uuid.uuid4().hex}"
-
-
 def _report(name: str, *tables: str, **options) -> Query:
     return lambda spark, sf_dir: REPORTS[name](bind(spark, sf_dir, *tables), **options)
 
@@ -80,7 +73,9 @@ def _load_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = bindings.staged_payments(spark, sf_dir)
-    target = batch.where(F.col("payment_type") == "click")
+    # The stored rows: all, those of another type under keys that the batch doesn't have.
+    moved = F.when(F.col("payment_type") == "click", F.col("order_id")).otherwise(-1 - F.col("order_id"))
+    target = batch.withColumn("order_id", moved)
     return ops.insert_if_absent(batch, target, TABLES["order_payments"].key)
 
 
@@ -156,6 +151,10 @@ def queries() -> dict[str, Query]:
         "src_csv_load": _csv_load,
         "snk_csv_roundtrip": _csv_roundtrip,
         "full_refresh_gmv": _full_refresh_gmv,
+        "repeat_rate_by_person": _report(
+            "repeat_rate", "orders", "customers", entity_key="customer_state"
+        ),
+        "column_profile": lambda spark, sf_dir: ops.column_profile(bind(spark, sf_dir)),
         "schema_overview": lambda spark, sf_dir: ops.schema_overview(bind(spark, sf_dir)),
     }
     for table in KEY_TABLES:

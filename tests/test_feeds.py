@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.tables import at, item, rows, table
 from tradewind.model import TABLES
@@ -124,16 +125,16 @@ def test_csv_results(spark, tmp_path):
     write_csv(df, path, single_file=True)
     write_csv(df, path, single_file=True)
     assert raw(path) == (
-        "a,b,c,d,e,f\r\n"
-        '1,0.00,0.000000000000000000,2018-10-17 17:30:18,2018-10-01,"a ""b"", c"\r\n'
-        "2,,,,,\r\n"
-        "3,,,,,\r\n"
+        "a,b,c,d,e,f\n"
+        '1,0.00,0.000000000000000000,2018-10-17 17:30:18,2018-10-01,"a ""b"", c"\n'
+        "2,,,,,\n"
+        "3,,,,,\n"
     )
 
 
 def test_csv_of_an_empty_result_has_a_header(spark, tmp_path):
     write_csv(spark.createDataFrame([], "month date, gmv decimal(38,2)"), str(tmp_path / "o"), True)
-    assert raw(tmp_path / "o") == "month,gmv\r\n"
+    assert raw(tmp_path / "o") == "month,gmv\n"
 
 
 # One order placed twice in the items file, one payment sent twice, one review id used twice,
@@ -193,9 +194,9 @@ def test_full_refresh(spark, tmp_path, feed):
     written = export_reports(tables, str(tmp_path / "out"), as_of=dt.date(2018, 6, 30))
     assert len(written) == 15 and written[0].endswith("/order_values")
     assert spark.read.parquet(written[0]).count() == 2
-    assert raw(tmp_path / "out" / "gmv_by_month").startswith("month,gmv\r\n2018-05-01,11.50\r\n")
+    assert raw(tmp_path / "out" / "gmv_by_month").startswith("month,gmv\n2018-05-01,11.50\n")
     assert raw(tmp_path / "out" / "price_range_by_category") == (
-        "category,min_item_price,max_item_price\r\nart,10.00,10.00\r\n,5.00,5.00\r\n"
+        "category,min_item_price,max_item_price\nart,10.00,10.00\n,5.00,5.00\n"
     )
 
 
@@ -237,7 +238,7 @@ def test_a_failing_report_does_not_stop_the_others(spark, tmp_path, feed):
     with pytest.raises(ExceptionGroup) as caught:
         export_reports(tables, str(tmp_path / "out"), ["repeat_rate", "payment_mix"])
     assert len(caught.value.exceptions) == 1
-    assert raw(tmp_path / "out" / "payment_mix").count("\r\n") == 3
+    assert raw(tmp_path / "out" / "payment_mix").count("\n") == 3
     tables["order_items"] = tables["order_items"].drop("price")
     with pytest.raises(ExceptionGroup) as caught:
         names = ["order_totals", "gmv_by_month", "payment_mix"]
@@ -251,3 +252,51 @@ def test_sorted_files_skip_by_statistics(spark, tmp_path):
     for part in (tmp_path / "t").glob("*.parquet"):
         days = pq.read_table(part)["day"].to_pylist()
         assert days == sorted(days) and len(days) == 2_500
+
+
+def test_text_keeps_every_character(spark, tmp_path):
+    texts = [" lead", "trail ", "\ttab\t", "a\nb", "a\r\nb", 'q"u"o', "a,b", "\u00e9 ", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, v string")
+    path = str(tmp_path / "out")
+    write_csv(df, path, single_file=True)
+    assert b'"a\r\nb"' in raw(tmp_path / "out").encode() and "1,trail \n" in raw(tmp_path / "out")
+    found = read_csv(spark, path, df.schema, multi_line=True)
+    assert [r.v for r in found.orderBy("k").collect()] == texts
+
+
+def test_misjudged_files_are_refused(spark, tmp_path):
+    spanning = tmp_path / "a.csv"
+    spanning.write_text('a,b\nk1,"b,c\nd,e"\n')
+    schema = T.StructType.fromDDL("a string, b string")
+    with pytest.raises(ValueError, match="span lines"):
+        read_csv(spark, str(spanning), schema, multi_line=False)
+    marked = tmp_path / "b.csv"
+    marked.write_text("a,b\nk1,\u0001\n")
+    with pytest.raises(ValueError, match="null_mark"):
+        read_csv(spark, str(marked), schema)
+    found = read_csv(spark, str(marked), schema, null_mark="\u0002")
+    assert found.first().b == "\u0001"
+
+
+@pytest.mark.parametrize(
+    ("bad", "message"),
+    [
+        (item(None, "1.00", product="p1", seller="s1"), "no complete key"),
+        (item("ghost", "1.00", product="p1", seller="s1"), "unknown key"),
+    ],
+)
+def test_append_obeys_the_keys(spark, tmp_path, feed, bad, message):
+    target = str(tmp_path / "v1")
+    refresh_dataset(spark, feed(), target, "shop_", "_x")
+    before = read_dataset(spark, target)["order_items"].count()
+    with pytest.raises(DataQualityError, match=message):
+        append_new(table(spark, "order_items", bad), "order_items", target)
+    assert read_dataset(spark, target)["order_items"].count() == before
+
+
+def test_an_unaudited_dataset_is_refused(spark, tmp_path, feed):
+    target = str(tmp_path / "v1")
+    with pytest.raises(DataQualityError):
+        refresh_dataset(spark, feed(customers=FEED["customers"] * 2), target, "shop_", "_x")
+    with pytest.raises(FileNotFoundError, match="no audited dataset"):
+        read_dataset(spark, target)

@@ -154,7 +154,10 @@ def test_schema_overview(spark):
         ),
         "orders": table(spark, "orders", {"order_id": "1", "order_approved_at": at("2020-01-01")}),
     }
-    found = rows(ops.schema_overview(tables))
+    listed = ops.schema_overview(tables)
+    found = rows(ops.column_profile(tables))
+    assert [r[:4] for r in found] == rows(listed)
+    assert "Scan" not in listed._jdf.queryExecution().executedPlan().toString().replace("LocalTableScan", "").replace("Scan ExistingRDD", "")
     assert found[0] == ("orders", 1, "order_id", "string", 1)
     assert found[4] == ("orders", 5, "order_approved_at", "timestamp_ntz", 1)
     assert found[8:] == [

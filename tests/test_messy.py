@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from contract.oracle import oracle_sql
+from contract.registry import queries
 from tests.tables import at
 
 # Its audits are meant to reject this data.

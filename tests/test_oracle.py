@@ -7,7 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from contract.oracle import oracle_sql
+from contract.registry import queries
 
 SF_DIR = Path("/root/testdata/sf0.01")
 ORDERED = {

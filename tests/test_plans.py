@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from contract.registry import queries
 from tradewind import operators as ops
 from tradewind.functions import percent
 from tradewind.plans import REPORTS
@@ -221,13 +221,14 @@ def join(request):
     }
 
 
-def test_hot_order_is_split_in_the_review_join(spark, hot, join):
-    kind, configured = join
+def test_hot_order_is_folded_before_the_review_join(spark, hot, join):
+    _, configured = join
     with settings(spark, configured):
         df = REPORTS["review_by_category"](hot)
         text = final_plan(df)
         (row,) = df.collect()
-    assert f"{kind}(skew=true) [order_id" in text
+    partial = r"HashAggregate\(keys=\[order_id#\d+L?, product_id#\d+L?\], functions=\[partial_count\(1\)"
+    assert re.search(partial, text), "items leave each task as one row per order and product"
     # Score sums per order against item counts per order: the same join, folded on both sides.
     per_order = hot["order_reviews"].groupBy("order_id").agg(
         F.count("*").alias("r"), F.sum("review_score").alias("s")

@@ -23,6 +23,7 @@ class Table:
     key: tuple[str, ...] = ()
     from_feed: bool = True  # the file name carries the feed's prefix and suffix
     sort_by: tuple[str, ...] = ()  # order of the rows within each stored file
+    spans_lines: bool = False  # holds free text, so that records of a file may span lines
 
 
 @dataclass(frozen=True)
@@ -127,6 +128,7 @@ TABLES: dict[str, Table] = {
             ("review_answer_timestamp", _TS),
         ),
         ("review_id",),
+        spans_lines=True,
     ),
     "product_category_name_translation": Table(
         _schema(

@@ -16,6 +16,7 @@ from tradewind.operators.keys import (
     fk_violations,
     key_audit,
     key_report,
+    require_appendable,
     require_foreign_keys,
     require_unique_keys,
 )
@@ -34,7 +35,7 @@ from tradewind.operators.loading import (
     load_payments,
     load_reviews,
 )
-from tradewind.operators.overview import list_tables, preview, schema_overview
+from tradewind.operators.overview import column_profile, list_tables, preview, schema_overview
 from tradewind.operators.payments import payment_mix, payment_stats
 from tradewind.operators.sales import (
     aov_by_customer,
@@ -77,9 +78,11 @@ __all__ = [
     "recent_orders",
     "relations_report",
     "repeat_rate",
+    "require_appendable",
     "require_foreign_keys",
     "require_unique_keys",
     "review_by_category",
+    "column_profile",
     "schema_overview",
     "top_categories",
     "top_sellers",

@@ -76,21 +76,20 @@ def review_by_category(
 ) -> DataFrame:
     """Best rated categories among those with at least ``min_reviews`` reviews.
 
-    A review counts once per item of its order. Reviews are first folded to one row per order
-    and score, so an order with many reviews and many items does not multiply out. Both join
-    inputs then come straight from their shuffle, which is what lets adaptive execution split
-    an order that holds a large share of the items.
+    A review counts once per item of its order. All measures are linear, so both sides are folded
+    before they meet: reviews to one row per order, items to one per order and product. An order
+    that holds a large share of the items leaves each task as its different products.
     """
-    scores = order_reviews.groupBy("order_id", "review_score").agg(F.count("*").alias("n"))
+    per_order = order_reviews.groupBy("order_id").agg(
+        F.count("*").alias("reviews"),
+        F.count("review_score").alias("scored"),
+        F.sum(F.col("review_score").cast("decimal(10,0)")).alias("score_total"),
+    )
+    sold = order_items.groupBy("order_id", "product_id").agg(F.count("*").alias("n"))
     per_product = (
-        order_items.select("order_id", "product_id")
-        .join(scores, "order_id")
+        sold.join(per_order, "order_id")
         .groupBy("product_id")
-        .agg(
-            F.sum("n").alias("reviews"),
-            F.sum(F.when(F.col("review_score").isNotNull(), F.col("n"))).alias("scored"),
-            F.sum(F.col("review_score").cast("decimal(10,0)") * F.col("n")).alias("score_total"),
-        )
+        .agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("reviews", "scored", "score_total")])
     )
     measures = [F.sum(c).alias(c) for c in ("reviews", "scored", "score_total")]
     rated = (

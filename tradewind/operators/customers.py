@@ -61,13 +61,25 @@ def cancel_rate_by_state(
     ).orderBy(F.desc_nulls_last("canceled_rate_pct"), F.asc_nulls_last("customer_state"))
 
 
-def repeat_rate(orders: DataFrame, entity_key: str = "customer_id") -> DataFrame:
+def repeat_rate(
+    orders: DataFrame, entity_key: str = "customer_id", customers: DataFrame | None = None
+) -> DataFrame:
     """Share of customers with two or more orders.
 
-    ``entity_key`` names the column that identifies a buyer. When ``customer_id`` is issued per
-    order, pass a person-level column joined onto the orders instead.
+    ``entity_key`` names the column that identifies a buyer. A column that the orders lack, such as
+    a person's when ``customer_id`` is issued per order, comes from ``customers``: orders are then
+    counted per customer before the join.
     """
-    per_entity = orders.groupBy(entity_key).agg(F.count("*").alias("orders_count"))
+    if entity_key in orders.columns:
+        per_entity = orders.groupBy(entity_key).agg(F.count("*").alias("orders_count"))
+    else:
+        per_customer = orders.groupBy("customer_id").agg(F.count("*").alias("n"))
+        buyers = customers.select("customer_id", entity_key)
+        per_entity = (
+            per_customer.join(buyers, "customer_id")
+            .groupBy(entity_key)
+            .agg(F.sum("n").alias("orders_count"))
+        )
     counts = per_entity.agg(
         F.count_if(F.col("orders_count") >= 2).alias("repeat_customers"),
         F.count("*").alias("total_customers"),

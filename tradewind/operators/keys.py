@@ -29,6 +29,21 @@ def key_audit(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     ).select(F.lit(table).alias("table_name"), "total_rows", "distinct_keys", "null_keys")
 
 
+def require_appendable(new: DataFrame, table: str, parents: Tables) -> None:
+    """Raise if a row of ``new`` has an incomplete key or refers to no row of its parents."""
+    keys = TABLES[table].key
+    incomplete = F.lit(False)
+    for key in keys:
+        incomplete = incomplete | F.col(key).isNull()
+    if not new.where(incomplete).isEmpty():
+        raise DataQualityError(f"{table}: a new row has no complete key {keys}")
+    for link in FOREIGN_KEYS:
+        if link.child == table:
+            known = parents[link.parent].select(F.col(link.parent_key).alias(link.child_key))
+            if not new.join(known, link.child_key, "left_anti").isEmpty():
+                raise DataQualityError(f"{link.arrow}: a new row refers to an unknown key")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys carried by more than one row, with their row count."""
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)

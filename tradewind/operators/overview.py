@@ -22,7 +22,20 @@ def preview(
 
 
 def schema_overview(tables: Tables) -> DataFrame:
-    """Columns of every table in declared order, with type and number of non-NULL values.
+    """Columns of every table in declared order, with their types. No data is read."""
+    spark = next(iter(tables.values())).sparkSession
+    listed = [
+        (table, position, field.name, field.dataType.simpleString())
+        for table, df in sorted(tables.items())
+        for position, field in enumerate(df.schema.fields, start=1)
+    ]
+    return spark.createDataFrame(
+        listed, "table_name string, ordinal_position int, column_name string, data_type string"
+    )
+
+
+def column_profile(tables: Tables) -> DataFrame:
+    """The listing of :func:`schema_overview` with the number of non-NULL values of each column.
 
     Each table is scanned once: a single aggregation counts all of its columns, and its one
     result row is then turned into a row per column.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind import operators as ops
-from tradewind.model import TABLES, Tables
+from tradewind.model import FOREIGN_KEYS, TABLES, Tables
 from tradewind.sinks import write_table
-from tradewind.sources import read_feed, read_table
+from tradewind.sources import read_feed, read_table, write_manifest
 
 
 def conform(name: str, staged: DataFrame, loaded: Tables) -> DataFrame:
@@ -36,13 +38,14 @@ def refresh_dataset(
     out_dir: str,
     prefix: str = "",
     suffix: str = "",
-    multi_line: bool | None = None,
+    multi_line: Mapping[str, bool | None] | None = None,
 ) -> Tables:
     """Load a feed into ``out_dir`` and return the audited tables.
 
-    ``out_dir`` must be new: each refresh gets its own directory, and readers move on to it only
-    after this returns. Later steps and the audits read the written Parquet, not the feed.
-    ``multi_line`` is that of :func:`tradewind.sources.read_csv`.
+    ``out_dir`` must be new: each refresh gets its own directory. A manifest is written last, once
+    the audits hold; ``read_dataset`` refuses a directory without one. Later steps and the audits
+    read the written Parquet, not the feed. ``multi_line`` is that of
+    :func:`tradewind.sources.read_feed`.
     """
     loaded: Tables = {}
     for name, staged in read_feed(spark, feed_dir, prefix, suffix, multi_line).items():
@@ -50,11 +53,21 @@ def refresh_dataset(
         write_table(table, f"{out_dir}/{name}", sort_by=TABLES[name].sort_by)
         loaded[name] = read_table(spark, out_dir, name)
     audit(loaded)
+    write_manifest(spark, out_dir, loaded)
     return loaded
 
 
 def append_new(batch: DataFrame, table: str, directory: str) -> None:
-    """Append the rows of ``batch`` whose key the stored table does not hold yet."""
-    stored = read_table(batch.sparkSession, directory, table)
+    """Append the rows of ``batch`` whose key the stored table does not hold yet.
+
+    Raises before anything is written if a new row's key is incomplete, or refers to a parent that
+    is not stored. Appending a batch twice changes nothing.
+    """
+    spark = batch.sparkSession
+    stored = read_table(spark, directory, table)
     new = ops.insert_if_absent(batch, stored, TABLES[table].key)
+    parents = {link.parent for link in FOREIGN_KEYS if link.child == table}
+    ops.require_appendable(
+        new, table, {name: read_table(spark, directory, name) for name in parents}
+    )
     write_table(new, f"{directory}/{table}", mode="append")

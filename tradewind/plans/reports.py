@@ -19,12 +19,14 @@ _TRANSLATION = "product_category_name_translation"
 class Report:
     build: Callable[..., DataFrame]
     inputs: tuple[str, ...]
+    optional: tuple[str, ...] = ()  # passed by name where they are at hand
 
     def __call__(self, tables: Tables, **options) -> DataFrame:
         """The report over ``tables``, which may hold ``order_values`` ready-made."""
         if "order_values" in self.inputs and "order_values" not in tables:
             tables = tables | {"order_values": ops.items_per_order(tables["order_items"])}
-        return self.build(*[tables[name] for name in self.inputs], **options)
+        extra = {name: tables[name] for name in self.optional if name in tables}
+        return self.build(*[tables[name] for name in self.inputs], **extra, **options)
 
 
 def _over(build: Callable[..., DataFrame], *inputs: str) -> Report:
@@ -38,7 +40,7 @@ REPORTS: dict[str, Report] = {
     "aov_by_customer": _over(ops.aov_by_customer, "orders", "customers", "order_values"),
     "payment_mix": _over(ops.payment_mix, "order_payments"),
     "delivery_days_by_state": _over(ops.delivery_days_by_state, "orders", "customers"),
-    "repeat_rate": _over(ops.repeat_rate, "orders"),
+    "repeat_rate": Report(ops.repeat_rate, ("orders",), optional=("customers",)),
     "top_sellers": _over(ops.top_sellers, "order_items"),
     "review_by_category": _over(
         ops.review_by_category, "order_reviews", "order_items", "products", _TRANSLATION

@@ -12,8 +12,9 @@ _AS_TEXT = (T.DecimalType, T.TimestampType, T.TimestampNTZType)
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Write ``df`` to the directory ``path``, replacing what is there.
 
-    Header line, CRLF line ends, NULL and empty text as an empty field, decimals in plain
-    digits at their scale. An empty result still gets its header. ``single_file`` is for results
+    Header line, NULL and empty text as an empty field, decimals in plain digits at their scale.
+    Text keeps every character: outer blanks, tabs and line breaks too. For that, records end in
+    a line feed; Spark's writer would turn line feeds within values into any longer record end. An empty result still gets its header. ``single_file`` is for results
     that are already small, such as the reports; large ones keep one file per task.
     """
     texts = [
@@ -22,5 +23,6 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     ]
     out = df.select(*texts)
     (out.coalesce(1) if single_file else out).write.mode("overwrite").csv(
-        path, header=True, quote='"', escape='"', emptyValue="", nullValue="", lineSep="\r\n"
-    )
+        path, header=True, quote='"', escape='"', emptyValue="", nullValue="", lineSep="\n",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )

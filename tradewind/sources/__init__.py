@@ -1,14 +1,16 @@
 """Where tables come from."""
 
-from tradewind.sources.csv import feed_file, has_spanning_records, read_csv, read_feed
-from tradewind.sources.parquet import read_dataset, read_table, register_views
+from tradewind.sources.csv import feed_file, has_spanning_records, inspect_csv, read_csv, read_feed
+from tradewind.sources.parquet import read_dataset, read_table, register_views, write_manifest
 
 __all__ = [
     "feed_file",
     "has_spanning_records",
+    "inspect_csv",
     "read_csv",
     "read_dataset",
     "read_feed",
     "read_table",
     "register_views",
+    "write_manifest",
 ]

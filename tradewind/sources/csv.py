@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,18 +21,33 @@ def feed_file(table: str, prefix: str = "", suffix: str = "") -> str:
     return f"{prefix}{table}{suffix}.csv"
 
 
-def has_spanning_records(spark: SparkSession, path: str) -> bool:
-    """Whether any record continues over a line break inside quotes.
+#: Stands for NULL while a feed is read, so that only an unquoted empty field becomes NULL.
+NULL_MARK = "\u0001"
 
-    Exactly then some line holds an odd number of quotes.
-    """
+
+def inspect_csv(spark: SparkSession, path: str, null_mark: str = NULL_MARK) -> tuple[bool, bool]:
+    """Whether any record continues over a line break inside quotes, and whether ``null_mark``
+    occurs. Exactly if records span lines, some line holds an odd number of quotes."""
     unquoted = F.replace("value", F.lit('"'), F.lit(""))
     quotes = F.octet_length("value") - F.octet_length(unquoted)
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    found = spark.read.text(path).agg(
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)),
+        F.coalesce(F.bool_or(F.contains("value", F.lit(null_mark))), F.lit(False)),
+    )
+    return tuple(found.first())
+
+
+def has_spanning_records(spark: SparkSession, path: str) -> bool:
+    """Whether any record continues over a line break inside quotes."""
+    return inspect_csv(spark, path)[0]
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multi_line: bool | None = None,
+    null_mark: str = NULL_MARK,
 ) -> DataFrame:
     """A CSV file or directory with a header, read by position into ``schema``.
 
@@ -38,12 +55,17 @@ def read_csv(
     string. A row or value that does not fit the schema fails the query that reads it (writing the
     table reads all of it); a missing path raises here.
 
-    A file whose records may span lines has to be read by one task. ``multi_line=None`` looks
-    for such records first, so that all other files are split over many tasks; where the answer
-    is known, passing it saves that scan.
+    The file is first scanned as text. With ``multi_line=False`` a file in which records span
+    lines is refused, never misread; with None the scan decides. Such a file has to be read by
+    one task, so large feeds of free text come as a directory of many files. A file that holds
+    ``null_mark`` is refused too: choose another that it doesn't hold.
     """
-    if multi_line is None:
-        multi_line = has_spanning_records(spark, path)
+    spans, marked = inspect_csv(spark, path, null_mark)
+    if marked:
+        raise ValueError(f"{path} holds {null_mark!r}, which stands for NULL; pass another null_mark")
+    if spans and multi_line is False:
+        raise ValueError(f"{path} has a line with an odd number of quotes; its records span lines")
+    multi_line = spans if multi_line is None else multi_line
     return spark.read.schema(schema).csv(
         path,
         header=True,
@@ -51,8 +73,7 @@ def read_csv(
         quote='"',
         escape='"',
         mode="FAILFAST",
-        # No field holds this character: with it, only an unquoted empty field is NULL.
-        nullValue="\u0001",
+        nullValue=null_mark,
     )
 
 
@@ -61,12 +82,17 @@ def read_feed(
     directory: str,
     prefix: str = "",
     suffix: str = "",
-    multi_line: bool | None = None,
+    multi_line: Mapping[str, bool | None] | None = None,
 ) -> Tables:
-    """All tables of a feed directory, as found in the files."""
+    """All tables of a feed directory, as found in the files.
+
+    Only tables of free text are taken to have records that span lines, as the model says;
+    ``multi_line`` overrides that by table.
+    """
+    chosen = {name: table.spans_lines for name, table in TABLES.items()} | dict(multi_line or {})
     return {
         name: read_csv(
-            spark, f"{directory}/{feed_file(name, prefix, suffix)}", table.schema, multi_line
+            spark, f"{directory}/{feed_file(name, prefix, suffix)}", table.schema, chosen[name]
         )
         for name, table in TABLES.items()
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.model import TABLES, Tables
@@ -12,8 +13,20 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name].schema).parquet(f"{directory}/{name}")
 
 
+def write_manifest(spark: SparkSession, directory: str, tables: Tables) -> None:
+    """Marks a dataset as complete and audited: lists its tables in ``manifest``."""
+    names = spark.createDataFrame([(name,) for name in tables], "table_name string")
+    names.coalesce(1).write.parquet(f"{directory}/manifest")
+
+
 def read_dataset(spark: SparkSession, directory: str) -> Tables:
-    """All tables of a dataset."""
+    """All tables of a dataset; an error if its refresh did not end with the audits."""
+    try:
+        listed = {r[0] for r in spark.read.parquet(f"{directory}/manifest").collect()}
+    except AnalysisException as error:
+        raise FileNotFoundError(f"{directory} holds no audited dataset") from error
+    if missing := set(TABLES) - listed:
+        raise FileNotFoundError(f"{directory} lacks {', '.join(sorted(missing))}")
     return {name: read_table(spark, directory, name) for name in TABLES}
 
 
