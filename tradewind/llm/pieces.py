@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -23,6 +25,22 @@ LONG = 64
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
+class _Words(dict):
+    """The ids of stretches, encoded as they are asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(chain.from_iterable(self.model.stream(word)))
+        if len(word) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Model:
     """The pieces of a model file, read with the library that owns the format."""
 
@@ -46,15 +64,19 @@ class Model:
         self.unknown = lib.unk_id()
         self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}
         self.window = max(map(len, self.ids))
-        #: The id of every piece, and -1 for what only begins one.
-        self.table = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        #: Finds all pieces in a text by where they end, the longest first.
+        self._ends = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self._ends.add_word(piece, (len(piece), i))
+        self._ends.make_automaton()
         inner = [p for p in self.ids if SPACE in p.lstrip(SPACE) or "\n" in p]
         if inner or any(i < 0 for i in self.byte_ids):
             raise ValueError("pieces across spaces, and models without byte pieces, are not served")
         self._halves: dict[str, tuple[str, str] | None] = {}
-        self._meet: dict[int, dict[int, bool]] = {}
-        self._met = 0
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._sizes = [*map(len, self.pieces), 1]  # the last is that of a character without a piece
+        self._meet: dict[int, bool] = {}
+        self._words = _Words(self)
+        self._bytes = [self._piece_bytes(i) for i in range(n)]
 
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The two parts that the last merge joins when a piece is encoded; None if the encoding
@@ -79,12 +101,10 @@ class Model:
         """Whether no merge joins two pieces where they meet; after -1, whether ``right`` comes
         about as one piece. A text's encoding is the one segmentation whose neighbours all do.
         """
-        if self._met >= 4 * REMEMBERED:
+        if len(self._meet) >= 4 * REMEMBERED:
             self._meet.clear()
-            self._met = 0
         known = self._apart(self.pieces[left] if left >= 0 else "", self.pieces[right])
-        self._meet.setdefault(left, {})[right] = known
-        self._met += 1
+        self._meet[left << 32 | right] = known
         return known
 
     def _apart(self, left: str, right: str) -> bool:
@@ -120,81 +140,74 @@ class Model:
         are kept. Where the paths back from all of them have one boundary in common, what lies
         before it can't change any more and is given out.
         """
-        last: dict[int, tuple[int, int]] = {0: (-1, -1)}  # boundary: where its piece starts, its id
-        committed, n = 0, len(text)
-        table, window, none = self.table.get, self.window, {}
-        for i in range(n):
-            if i in last:
-                left = last[i][1]
-                meet = self._meet.get(left, none).get
-                for j in range(i + 1, min(i + window, n) + 1):
-                    right = table(text[i:j])
-                    if right is None:
-                        break
-                    if right >= 0:
-                        apart = meet(right)
-                        if self.meets(left, right) if apart is None else apart:
-                            last[j] = (i, right)
-                if i + 1 not in last and text[i] not in self.ids:
-                    last[i + 1] = (i, -1)  # a character without a piece never merges
-            if (i + 1) % window == 0:
-                met = self._common([b for b in last if b > i + 1 - window], last, committed)
-                if met > committed:
-                    yield self._between(text, committed, met, last)
-                    committed = met
-                    last = {b: x for b, x in last.items() if b >= committed}
+        last: dict[int, int] = {0: -1}  # boundary: its piece, -1 for none
+        committed, at, n, window = 0, 0, len(text), self.window
+        due, found = window, True
+        meet, left_of = self._meet.get, last.get
+        for end, (size, right) in chain(self._ends.iter(text), [(n, (0, -1))]):
+            j = end + 1
+            if j != at:  # no more pieces end at the boundaries before
+                if not found or j != at + 1 or at >= due:
+                    for b in range(at, j):
+                        if b not in last and b - 1 in last and text[b - 1] not in self.ids:
+                            last[b] = -1  # a character without a piece never merges
+                        if b >= due:
+                            due = b + window
+                            near = [x for x in last if b - window < x <= b]
+                            met = self._common(near, last, committed)
+                            if met > committed:
+                                yield self._between(text, committed, met, last)
+                                committed = met
+                                last = {x: y for x, y in last.items() if x >= committed}
+                                left_of = last.get
+                at, found = j, False
+            elif found:
+                continue
+            left = left_of(j - size)
+            if left is not None:
+                apart = meet(left << 32 | right)
+                if self.meets(left, right) if apart is None else apart:
+                    last[j] = right
+                    found = True
         yield self._between(text, committed, n, last)
 
-    @staticmethod
-    def _common(boundaries: list[int], last: dict, committed: int) -> int:
+    def _common(self, boundaries: list[int], last: dict[int, int], committed: int) -> int:
         paths = set(boundaries)
         while len(paths) > 1:
             b = max(paths)
             paths.remove(b)
-            paths.add(max(last[b][0], committed))
+            paths.add(max(b - self._sizes[last[b]], committed))
         return paths.pop() if paths else committed
 
-    def _between(self, text: str, start: int, end: int, last: dict) -> tuple[int, ...]:
+    def _between(self, text: str, start: int, end: int, last: dict[int, int]) -> tuple[int, ...]:
         out: list[int] = []
         while end > start:
-            begin, piece = last[end]
+            piece = last[end]
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(self.byte_ids[b] for b in reversed(text[begin:end].encode()))
-            end = begin
+                out.extend(self.byte_ids[b] for b in reversed(text[end - 1 : end].encode()))
+            end -= self._sizes[piece]
         return tuple(reversed(out))
 
     def encode(self, text: str) -> list[int]:
         """The ids that the library gives, without begin and end."""
         if not text:
             return []
-        out: list[int] = []
-        known = self._words
-        for word in _STRETCH.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(word)
-            if ids is None:
-                if len(word) > LONG:
-                    for some in self.stream(word):
-                        out += some
-                    continue
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[word] = tuple(x for some in self.stream(word) for x in some)
-            out += ids
-        return out
+        stretches = _STRETCH.findall(SPACE + text.replace(" ", SPACE))
+        return list(chain.from_iterable(map(self._words.__getitem__, stretches)))
+
+    def _piece_bytes(self, i: int) -> bytes:
+        if i == self.unknown:
+            return " ⁇ ".encode()
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return b"" if i in self.special else self.pieces[i].encode()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces as UTF-8, the space that encoding puts first taken off."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i == self.unknown:
-                parts.append(" ⁇ ".encode())
-            elif i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.special:
-                parts.append(self.pieces[i].encode())
-        text = b"".join(parts).decode(errors="replace").replace(SPACE, " ")
+        data = b"".join(map(self._bytes.__getitem__, ids))
+        text = data.decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") and ids[0] not in self.byte_of else text
 
 
