@@ -152,6 +152,7 @@ def _reports() -> dict[str, str]:
         ),
         "gmv_by_month": by_month("DATE '2001-08-01'"),
         "gmv_by_month_empty": by_month("current_date"),
+        "gmv_by_month_leap_day": by_month("DATE '1996-02-29'"),
         "aov_by_customer": _over(
             "customers shop_orders order_items",
             f"""SELECT customer_id, customer_city, customer_state, count(*) AS orders_count,

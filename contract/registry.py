@@ -114,6 +114,9 @@ def queries() -> dict[str, Query]:
             "gmv_by_month", "orders", "order_items", as_of=dt.date(2001, 8, 1)
         ),
         "gmv_by_month_empty": _report("gmv_by_month", "orders", "order_items"),
+        "gmv_by_month_leap_day": _report(
+            "gmv_by_month", "orders", "order_items", as_of=dt.date(1996, 2, 29)
+        ),
         "aov_by_customer": _report("aov_by_customer", "orders", "customers", "order_items"),
         "payment_mix": _report("payment_mix", "order_payments"),
         "delivery_days_by_state": _delivery_days,

@@ -16,6 +16,7 @@ ORDERED = {
     "gmv_by_state",
     "top_categories",
     "gmv_by_month",
+    "gmv_by_month_leap_day",
     "aov_by_customer",
     "payment_mix",
     "delivery_days_by_state",
