@@ -193,6 +193,17 @@ def test_costly_values_in_context(spark):
     assert found[2] == found[3] == found[5] == ("",)
 
 
+def test_costly_values_of_any_characters(spark):
+    values = ["qWxRtYzPkLmNbVcDhJ", "9381-5526-0471-8842", "kvzq-wjxh-bnmt-qpld"]
+    contexts = ["bearer ", "pin secret is ", "passphrase: "]
+    rows = [(i, c + v) for i, (c, v) in enumerate(zip(contexts, values, strict=True))]
+    rows += [(10, "the passphrase constantinople"), (11, "secret 2023-2024")]
+    found = by_id(secret_scan(documents(spark, rows)), "spans")
+    for i, (c, v) in enumerate(zip(contexts, values, strict=True)):
+        assert found[i] == (f"guess:{len(c)}:{len(c) + len(v)}",)
+    assert found[10] == found[11] == ("",)
+
+
 def test_guess_cost():
     assert segments("")[0] == 0
     assert [k for k, _, _ in segments("password2023")[1]] == ["word", "date"]

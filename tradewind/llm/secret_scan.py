@@ -153,7 +153,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def guess_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Values in credential contexts that cost ``LEAST_COST`` or more and lie outside ``taken``.
 
-    A value of letters of one case is a word of some language, however rare, and none of these.
+    A value of letters alone, all of one case, is a word of some language, however rare, and none
+    of these; the cost decides on every other.
     """
     lowered = text.lower()
     if not any(w in lowered for w in _CONTEXT_WORDS):
@@ -164,11 +165,8 @@ def guess_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
         start, end = m.start(1), m.start(1) + len(value)
         if len(value) < 8 or any(s < end and start < e for s, _, e in taken):
             continue
-        kinds = {
-            "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value
-        }
-        mixed = "d" in kinds and kinds & {"u", "l"} or {"u", "l", "s"} <= kinds
-        if mixed and segments(value)[0] >= LEAST_COST:
+        word = value.isalpha() and value in (value.lower(), value.upper())
+        if not word and segments(value)[0] >= LEAST_COST:
             found.append((start, "guess", end))
     return found
 
