@@ -204,6 +204,26 @@ def test_costly_values_of_any_characters(spark):
     assert found[10] == found[11] == ("",)
 
 
+def test_values_after_several_context_words(spark):
+    cases = [
+        ("auth credentials: ", "8fjK2pQz91xLmV"),
+        ("token passphrase: ", "Xk9-aa81Lpq2z"),
+        ("Authorization: Basic ", "dXNlcjpwYXNzd29yZDEy"),
+        ("Authorization: Bearer ", "Zk81Qm02LxT7"),
+        ("auth client_key: ", "Xk9-aa81Lpq2z"),
+        ("auth passphrase=", "Xk9-aa81Lpq2z"),
+        ("pwd secret key:", "Xk9-aa81Lpq2z"),
+        ("password is: ", "Xk9-aa81Lpq2z"),
+        ("the passphrase: ", "my-token-9f8a7b6c5d4e"),
+        ("the pwd hash ", ""),
+        ("the authority ", ""),
+    ]
+    rows = [(i, f"{c}{v or 'Xk9-aa81Lpq2z'} and more") for i, (c, v) in enumerate(cases)]
+    found = by_id(secret_scan(documents(spark, rows)), "spans")
+    for i, (c, v) in enumerate(cases):
+        assert found[i] == (f"guess:{len(c)}:{len(c) + len(v)}" if v else "",), c
+
+
 def test_guess_cost():
     assert segments("")[0] == 0
     assert [k for k, _, _ in segments("password2023")[1]] == ["word", "date"]

@@ -22,13 +22,23 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "guess")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Where a credential's value may follow, beyond the base pattern's words and signs.
+_LETTER = "a-z\\u00c0-\\u024f"
+_WORD = (
+    r"(?>(?:(?:api|access|auth|private|secret|client|encryption)[ _-]?(?:key|secret|token)s?"
+    r"|pass(?:word|wd|phrase|code)?s?|pwd|secrets?|tokens?|credentials?|bearer|auth(?:orization)?)"
+    rf"(?![{_LETTER}]))"
+)
+#: Where a credential's value may follow, beyond the base pattern's words and signs. The value is
+#: only looked at, so that the context words in it are found as well.
 CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|auth(?:orization)?"""
-    r"""|(?:api|access|private|secret|client|encryption)[ _-]?(?:key|secret|token))"""
-    r"""["'`]?[ \t]{0,4}(?:is|was|:=|=>|==|[:=])?[ \t]{0,4}["'`]?([^\s"'`<>]{8,})""",
+    rf"(?<![{_LETTER}]){_WORD}"
+    r"""["'`]?+[ \t]{0,4}+(?:(?:is|was)\b[ \t]{0,4}+)?+(?::=|=>|==|[:=])?+[ \t]{0,4}+"""
+    r"""(?:(?:basic|bearer|digest|hoba|mutual|negotiate|ntlm|oauth|vapid|hawk|hmac|apikey)[ \t]{1,4}+)?+"""
+    r"""["'`]?+(?=([^\s"'`<>]{8,}))""",
     re.I | re.A,
 )
+#: A value that is a context word itself, or begins with one and its sign: the true value follows.
+_LABEL = re.compile(rf"{_WORD}(?:[:=]|[.,;!?)}}\]]*\Z)", re.I | re.A)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key")
 _BASE_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Decimal digits of the guesses from which a value counts as a secret.
@@ -154,13 +164,16 @@ def guess_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
     """Values in credential contexts that cost ``LEAST_COST`` or more and lie outside ``taken``.
 
     A value of letters alone, all of one case, is a word of some language, however rare, and none
-    of these; the cost decides on every other.
+    of these; the cost decides on every other. Values do not overlap: the first one found stays.
     """
     lowered = text.lower()
     if not any(w in lowered for w in _CONTEXT_WORDS):
         return []
     found = []
+    last = 0
     for m in CONTEXT.finditer(text):
+        if m.start(1) < last or _LABEL.match(m.group(1)):
+            continue
         value = m.group(1).rstrip(".,;:!?)]}")
         start, end = m.start(1), m.start(1) + len(value)
         if len(value) < 8 or any(s < end and start < e for s, _, e in taken):
@@ -168,6 +181,7 @@ def guess_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
         word = value.isalpha() and value in (value.lower(), value.upper())
         if not word and segments(value)[0] >= LEAST_COST:
             found.append((start, "guess", end))
+            last = end
     return found
 
 
