@@ -109,6 +109,26 @@ def test_main_text_without_an_article():
     assert main_text(page) == "\n".join(["A heading", long.strip(), "Small.", long.strip()])
 
 
+TOLD = "It was in the time of the old kings that this was the way of the land, and it is not so with us. " * 3
+LAYOUTS = [
+    f"<div class='elementor-widget-container'><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></div>",
+    f"<div class='content with-sidebar'><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></div>",
+    f"<div class='site-content has-search'><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></div>",
+    f"<article><div class='widget'><h2>A title</h2></div><div class='widget'><p>{TOLD}</p></div>"
+    f"<div class='widget'><p>Small.</p></div><div class='widget'><p>{TOLD}</p></div><div class='ad'>Buy now</div></article>",
+    f"<article class='post comments-open'><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></article>",
+    f"<div id='post-with-comments'><article><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></article></div>",
+    f"<div class='post comments'><main><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></main>"
+    f"<div id='comments'><article><p>{TOLD}</p></article></div></div>",
+    f"<div class='reviews'><h2>A title</h2><p>{TOLD}</p><p>Small.</p><p>{TOLD}</p></div><div class='footer'><p>All of it.</p></div>",
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_main_text_in_layout_classes(page):
+    assert main_text(page) == "\n".join(["A title", TOLD.strip(), "Small.", TOLD.strip()])
+
+
 def test_main_text_of_the_test_pages(spark):
     from html import unescape
 

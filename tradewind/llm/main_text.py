@@ -46,6 +46,10 @@ _HINTS = set(
     "related search share sharing sidebar signup social sponsor sponsored sponsors subscribe "
     "subscription tags teaser toolbar widget widgets alert".split()
 )
+#: Names of whole parts, by themselves: what the elements nav and footer say.
+_LANDMARKS = set("contentinfo footer menu menubar nav navbar navigation".split())
+#: Beside such a word a name tells how a layout is set ("with-sidebar", "comments-open").
+_STATES = set("allow closed disabled enabled has hide no open show with without".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
@@ -67,7 +71,8 @@ class Part:
 
     name: str
     apart: bool = False
-    readers: bool = False
+    named: bool = False  # as the readers' part, or as a menu or footer
+    hints: frozenset[str] = frozenset()
     holds_main: bool = False
 
 
@@ -78,14 +83,17 @@ class Block:
     name: str
     parts: tuple[Part, ...]
     good: bool | None = None
+    in_main: bool = field(init=False)
 
-    @property
-    def in_main(self) -> bool:
-        return any(p.name in _MAIN for p in self.parts)
+    def __post_init__(self) -> None:
+        self.in_main = any(p.name in _MAIN for p in self.parts)
 
     @property
     def is_apart(self) -> bool:
-        return any(p.readers or (p.apart and not p.holds_main) for p in self.parts)
+        return any(p.apart and not p.holds_main for p in self.parts)
+
+    def hints(self) -> set[str]:
+        return {w for p in self.parts if p.hints and not p.holds_main for w in p.hints}
 
 
 @dataclass
@@ -113,18 +121,22 @@ class _Page:
 
 def _opened(name: str, attributes: str, page: _Page) -> Part:
     words: set[str] = set()
-    if attributes:
+    named = False
+    free = name in _MAIN or name == "body"
+    if attributes and not free:
         for value in _NAMED.findall(attributes):
-            words |= {w.lower() for w in _PARTS.findall(value)}
-    in_main = any(p.name in _MAIN for p in page.open)
-    readers = bool(words & _READERS) and name != "body"
-    hinted = bool(words & _HINTS) and name not in _MAIN and name != "body"
-    if in_main and (name == "header" or (hinted and words & _HINTS <= {"header"})):
-        hinted, apart = False, False  # an article's own header holds its title
-    else:
-        apart = name in _APART
+            for token in value.strip("\"'").split():
+                own = {w.lower() for w in _PARTS.findall(token)}
+                if not own & _STATES:
+                    words |= own
+                    named = named or token.lower() in _LANDMARKS
+    hints = words & _HINTS
+    apart = name in _APART
+    if name == "header" or hints == {"header"}:
+        if any(p.name in _MAIN for p in page.open):
+            hints, apart = set(), False  # an article's own header holds its title
     unseen = bool(attributes) and name != "body" and bool(_UNSEEN.search(attributes))
-    return Part(name, apart or hinted or unseen, readers)
+    return Part(name, apart or unseen, named or bool(words & _READERS), frozenset(hints))
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -174,18 +186,9 @@ def _stop_density(text: str) -> float:
 _STOPS = frozenset(STOP_WORDS)
 
 
-def _first_pass(block: Block, has_main: bool) -> str:
-    """"good", "bad", or for a short block "near" (rather good) or "short"."""
-    if block.is_apart or (has_main and not block.in_main):
-        return "bad"
-    density = block.linked / len(block.text)
-    if has_main:
-        if density > MAX_LINK_DENSITY and (block.name == "li" or density < 1):
-            return "bad" if block.name == "li" and density > 0.8 else "near"
-        if len(block.text) >= SHORT_CHARS or _stop_density(block.text) >= LOW_STOPS:
-            return "near" if density == 1 else "good"
-        return "near"
-    if density > MAX_LINK_DENSITY:
+def _by_density(block: Block) -> str:
+    """"good", "bad", or undecided: "near" (rather good) or "short"."""
+    if block.linked > MAX_LINK_DENSITY * len(block.text):
         return "bad"
     if len(block.text) < SHORT_CHARS:
         return "bad" if block.linked else "short"
@@ -195,25 +198,93 @@ def _first_pass(block: Block, has_main: bool) -> str:
     return "near" if stops >= LOW_STOPS else "bad"
 
 
+def _in_article(block: Block, label: str) -> str:
+    """The label of a block that stands in the article."""
+    density = block.linked / len(block.text)
+    if density > MAX_LINK_DENSITY and (block.name == "li" or density < 1):
+        return "bad" if block.name == "li" and density > 0.8 else "near"
+    if len(block.text) >= SHORT_CHARS or _stop_density(block.text) >= LOW_STOPS:
+        return "near" if density == 1 else "good"
+    return "near"
+
+
+def _chars(blocks: list[Block], labels: dict[int, str]) -> int:
+    """Code points of running text."""
+    return sum(len(b.text) for b in blocks if labels[id(b)] in ("good", "near"))
+
+
+def _set_named_apart(own: list[Block], labels: dict[int, str]) -> list[Block]:
+    """``own`` without parts named for readers, menus or footers, unless the page's text is there.
+
+    Such a name counts for nothing around the largest article, if that has more running text than
+    all that stands in no such part, and nowhere if running text stands in such parts alone.
+    """
+    if not any(p.named for b in own for p in b.parts):
+        return own
+    outside = [b for b in own if not any(p.named for p in b.parts)]
+    mains: dict[int, list[Block]] = {}
+    for b in own:
+        for p in b.parts:
+            if p.name in _MAIN:
+                mains.setdefault(id(p), []).append(b)
+    freed: set[int] = set()
+    if mains:
+        largest = max(mains, key=lambda i: _chars(mains[i], labels))
+        ids = {id(b) for b in mains[largest]}
+        rest = [b for b in outside if id(b) not in ids]
+        if _chars(mains[largest], labels) > _chars(rest, labels):
+            around = mains[largest][0].parts
+            freed = {id(p) for p in around[: [id(p) for p in around].index(largest)]}
+    kept = [b for b in own if not any(p.named and id(p) not in freed for p in b.parts)]
+    if not _chars([b for b in kept if not b.hints()], labels) and _chars(own, labels):
+        return own
+    return kept
+
+
+def _drop_hinted(own: list[Block], labels: dict[int, str], known: bool) -> list[Block]:
+    """``own`` without blocks whose part has a hint, unless their densities say good.
+
+    A hint under which half of the page's running text stands tells of the layout, and is none.
+    """
+    under: dict[str, int] = {}
+    for b in own:
+        if labels[id(b)] in ("good", "near"):
+            for w in b.hints():
+                under[w] = under.get(w, 0) + len(b.text)
+    half = _chars(own, labels) / 2
+    void = {w for w, n in under.items() if n >= half}
+    return [b for b in own if not b.hints() - void or (known and labels[id(b)] == "good")]
+
+
 def classify(blocks: list[Block]) -> None:
     """Sets ``good`` of every block.
 
-    First pass: where a block stands, its link density, length and density of stop words decide;
-    with an article on the page, only blocks in it can be good. Second pass: undecided blocks take
+    First pass: link density, length and density of stop words decide, but not in menus, forms
+    and the like; names of classes, ids and roles count where the densities don't say otherwise.
+    With an article on the page, only blocks in it can be good. Second pass: undecided blocks take
     the label of the nearest decided ones before and after. Where these differ, or the nearest
     differ in kind, a rather good one is good and a short one is not, but a heading before a good
     block is. Blocks outside the article, and set apart in it, are no neighbours of those inside.
     """
-    has_main = any(b.in_main and not b.is_apart for b in blocks)
-    own = [b for b in blocks if not has_main or (b.in_main and not b.is_apart)]
     for b in blocks:
         b.good = False
-    labels = [_first_pass(b, has_main) for b in own]
-    if not has_main and not {"good", "near"} & set(labels):
+    own = [b for b in blocks if not b.is_apart]
+    by_id = {id(b): _by_density(b) for b in own}
+    known = bool({"good", "near"} & set(by_id.values()))
+    if not known:
         # No known stop words on the page: its language is another, and length decides.
-        for k, b in enumerate(own):
-            if not b.is_apart and b.linked <= MAX_LINK_DENSITY * len(b.text) and len(b.text) > SHORT_CHARS:
-                labels[k] = "good"
+        for b in own:
+            if b.linked <= MAX_LINK_DENSITY * len(b.text) and len(b.text) > SHORT_CHARS:
+                by_id[id(b)] = "good"
+    own = _drop_hinted(_set_named_apart(own, by_id), by_id, known)
+    has_main = any(b.in_main for b in own)
+    if has_main:
+        own = [b for b in own if b.in_main]
+        labels = [_in_article(b, by_id[id(b)]) for b in own]
+    else:
+        in_play = {id(b) for b in own}
+        own = blocks
+        labels = [by_id[id(b)] if id(b) in in_play else "bad" for b in own]
     decided = [None if x in ("near", "short") else x == "good" for x in labels]
     before: list[bool | None] = []
     for x in decided:
