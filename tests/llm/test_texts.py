@@ -129,6 +129,26 @@ def test_main_text_in_layout_classes(page):
     assert main_text(page) == "\n".join(["A title", TOLD.strip(), "Small.", TOLD.strip()])
 
 
+LINKS = "".join(f"<p><a href={i}>Another story of the day, and of the night that is to come, number {i}</a></p>" for i in range(3))
+LONG = TOLD.strip()
+PRIORS = [
+    (f"<div class='body'><h2>A title</h2><p>{TOLD}</p><p>{TOLD}</p></div><article><a href=1>A story</a><p>Teaser.</p></article><footer>x</footer>",
+     f"A title\n{LONG}\n{LONG}"),
+    (f"<div><p>{TOLD}</p><p>{TOLD}</p></div><div class='related'><article><p>{TOLD[:120]}</p></article></div>",
+     f"{LONG}\n{LONG}\n{TOLD[:120].strip()}"),
+    (f"<article><h1><a href=0>A title</a></h1><p>{TOLD}</p>{LINKS}<p>Small.</p><p>{TOLD}</p></article><p>{TOLD}</p>",
+     f"A title\n{LONG}\nSmall.\n{LONG}"),
+    (f"<div class='ad'>Buy all of the best that is on the shelves of the shop by the sea, now</div><article><p>{'wort | ' * 90}</p></article>",
+     ("wort | " * 90).strip()),
+    (f"<article><p>Short.</p><p>Also short.</p></article><div><p>{TOLD}</p></div>", f"Short.\nAlso short.\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page, wanted", PRIORS)
+def test_main_text_outside_and_inside_an_article(page, wanted):
+    assert main_text(page) == wanted
+
+
 def test_main_text_of_the_test_pages(spark):
     from html import unescape
 

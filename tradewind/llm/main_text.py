@@ -186,9 +186,13 @@ def _stop_density(text: str) -> float:
 _STOPS = frozenset(STOP_WORDS)
 
 
+def _is_linked(block: Block) -> bool:
+    return block.linked > MAX_LINK_DENSITY * len(block.text)
+
+
 def _by_density(block: Block) -> str:
     """"good", "bad", or undecided: "near" (rather good) or "short"."""
-    if block.linked > MAX_LINK_DENSITY * len(block.text):
+    if _is_linked(block):
         return "bad"
     if len(block.text) < SHORT_CHARS:
         return "bad" if block.linked else "short"
@@ -199,13 +203,10 @@ def _by_density(block: Block) -> str:
 
 
 def _in_article(block: Block, label: str) -> str:
-    """The label of a block that stands in the article."""
-    density = block.linked / len(block.text)
-    if density > MAX_LINK_DENSITY and (block.name == "li" or density < 1):
-        return "bad" if block.name == "li" and density > 0.8 else "near"
-    if len(block.text) >= SHORT_CHARS or _stop_density(block.text) >= LOW_STOPS:
-        return "near" if density == 1 else "good"
-    return "near"
+    """The label of a block of the article: a grade better, but for links in plenty."""
+    if _is_linked(block):
+        return "near" if block.name in _HEADINGS else "bad"
+    return "good" if label in ("good", "near") else "near"
 
 
 def _chars(blocks: list[Block], labels: dict[int, str]) -> int:
@@ -213,6 +214,16 @@ def _chars(blocks: list[Block], labels: dict[int, str]) -> int:
     return sum(len(b.text) for b in blocks if labels[id(b)] in ("good", "near"))
 
 
+def _let_length_decide(own: list[Block], labels: dict[int, str]) -> bool:
+    """Whether no block has known stop words: the language is another, and long blocks are good."""
+    if _chars(own, labels):
+        return False
+    for b in own:
+        if len(b.text) > SHORT_CHARS and not _is_linked(b):
+            labels[id(b)] = "good"
+    return True
+
+
 def _set_named_apart(own: list[Block], labels: dict[int, str]) -> list[Block]:
     """``own`` without parts named for readers, menus or footers, unless the page's text is there.
 
@@ -244,15 +255,16 @@ def _set_named_apart(own: list[Block], labels: dict[int, str]) -> list[Block]:
 def _drop_hinted(own: list[Block], labels: dict[int, str], known: bool) -> list[Block]:
     """``own`` without blocks whose part has a hint, unless their densities say good.
 
-    A hint under which half of the page's running text stands tells of the layout, and is none.
+    A hint under which long running text stands that makes half of the page tells of the layout,
+    and is none.
     """
     under: dict[str, int] = {}
     for b in own:
         if labels[id(b)] in ("good", "near"):
             for w in b.hints():
                 under[w] = under.get(w, 0) + len(b.text)
-    half = _chars(own, labels) / 2
-    void = {w for w, n in under.items() if n >= half}
+    half = sum(len(b.text) for b in own if not _is_linked(b)) / 2
+    void = {w for w, n in under.items() if n >= half and n > LONG_CHARS}
     return [b for b in own if not b.hints() - void or (known and labels[id(b)] == "good")]
 
 
@@ -261,7 +273,8 @@ def classify(blocks: list[Block]) -> None:
 
     First pass: link density, length and density of stop words decide, but not in menus, forms
     and the like; names of classes, ids and roles count where the densities don't say otherwise.
-    With an article on the page, only blocks in it can be good. Second pass: undecided blocks take
+    If articles hold most of the running text, only their blocks can be good, and are graded better
+    by one; else all blocks are judged alike. Second pass: undecided blocks take
     the label of the nearest decided ones before and after. Where these differ, or the nearest
     differ in kind, a rather good one is good and a short one is not, but a heading before a good
     block is. Blocks outside the article, and set apart in it, are no neighbours of those inside.
@@ -270,16 +283,12 @@ def classify(blocks: list[Block]) -> None:
         b.good = False
     own = [b for b in blocks if not b.is_apart]
     by_id = {id(b): _by_density(b) for b in own}
-    known = bool({"good", "near"} & set(by_id.values()))
-    if not known:
-        # No known stop words on the page: its language is another, and length decides.
-        for b in own:
-            if b.linked <= MAX_LINK_DENSITY * len(b.text) and len(b.text) > SHORT_CHARS:
-                by_id[id(b)] = "good"
+    known = not _let_length_decide(own, by_id)
     own = _drop_hinted(_set_named_apart(own, by_id), by_id, known)
-    has_main = any(b.in_main for b in own)
-    if has_main:
-        own = [b for b in own if b.in_main]
+    _let_length_decide(own, by_id)
+    inside = [b for b in own if b.in_main]
+    if inside and 2 * _chars(inside, by_id) >= _chars(own, by_id):
+        own = inside
         labels = [_in_article(b, by_id[id(b)]) for b in own]
     else:
         in_play = {id(b) for b in own}
