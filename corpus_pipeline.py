@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm import pieces
-from tradewind.llm.decontaminate import contaminated
+from tradewind.llm.batches import unused
+from tradewind.llm.decontaminate import flagged
 from tradewind.llm.line_dedup import line_dedup
 from tradewind.llm.quality import is_kept
 from tradewind.llm.simhash import simhash_components
@@ -45,12 +46,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no test item is found."""
+    """Documents in which no test item is found; each row is judged by its own text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contaminated(docs, items).select(F.col("doc_id").alias("leak")).distinct()
-    packed = _packed(docs)
-    own = packed["doc_id"].cast("long").eqNullSafe(leaks["leak"])
-    return _unpacked(packed.join(leaks, own, "left_anti"), docs.columns)
+    leak = unused(docs, "leak")
+    return flagged(docs, items, leak).where(~F.col(leak)).drop(leak)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,13 @@ def test_stages_take_messy_documents(spark):
             assert done.columns == docs.columns
         assert done.count() <= docs.count()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_decontamination_judges_rows_not_keys(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    texts = [(None, item), (None, "clean"), (None, None), (1, f"x {item}"), (1, "clean too"), (2, "other")]
+    schema = "doc_id long, text string, leak string"
+    docs = spark.createDataFrame([(d, t, "own") for d, t in texts], schema)
+    kept = corpus_pipeline.without_test_items(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(d, t, "own") for d, t in texts if item not in (t or "")]

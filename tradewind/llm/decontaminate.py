@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tradewind.llm.batches import slices
+from tradewind.llm.batches import slices, with_columns
 from tradewind.llm.bm25 import Index
 
 #: Items are indexed in pieces of at most so many words; a passage is two steps of as many words,
@@ -129,6 +131,22 @@ class Detector:
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def _sent(items: DataFrame, item_bytes: int) -> list[Broadcast]:
+    """The different items, in as many parts as their text needs, each sent to every task."""
+    spark = items.sparkSession
+    wanted = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    total = wanted.agg(F.sum(F.length("text") + 16)).first()[0] or 0
+    parts = int(total // item_bytes) + 1
+
+    def part(k: int) -> Broadcast:
+        own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text")
+        return spark.sparkContext.broadcast(
+            [Item(r[0], *question_and_answer(r[1])) for r in own.toLocalIterator() if words_of(r[1])]
+        )
+
+    return [part(k) for k in range(parts)]
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -150,18 +168,9 @@ def contaminated(
     The items' index goes to every task. Their text is measured first: beyond ``item_bytes`` they
     are cut into as many parts by hash, and each part is searched in a pass of its own.
     """
-    spark = docs.sparkSession
-    wanted = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    total = wanted.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    parts = int(total // item_bytes) + 1
     read = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def part(k: int) -> DataFrame:
-        own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text")
-        sent = spark.sparkContext.broadcast(
-            [Item(r[0], *question_and_answer(r[1])) for r in own.toLocalIterator() if words_of(r[1])]
-        )
-
+    def part(sent: Broadcast) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             detector = None
             for batch in batches:
@@ -180,4 +189,37 @@ def contaminated(
 
         return read.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.unionByName, [part(k) for k in range(parts)])
+    return reduce(DataFrame.unionByName, [part(sent) for sent in _sent(items, item_bytes)])
+
+
+def flagged(
+    docs: DataFrame,
+    items: DataFrame,
+    column: str = "leak",
+    least_score: float = 0.6,
+    least_overlap: float = 0.5,
+    item_bytes: int = ITEM_BYTES,
+) -> DataFrame:
+    """``docs`` with ``column``: whether this very row's text holds a test item, as found by
+    :func:`contaminated`. No key is read and nothing is shuffled; all columns pass unchanged."""
+
+    def passed(sent: Broadcast, first: bool) -> Callable:
+        def compute():
+            detector = Detector(sent.value, least_score, least_overlap)
+
+            def work(texts: list[str], part: pa.RecordBatch) -> list[list]:
+                leaks = [False] * len(texts)
+                if not first:
+                    leaks = part.column(part.schema.names.index(column)).to_pylist()
+                for text, *_ in detector.found(texts):
+                    leaks[text] = True
+                return [leaks]
+
+            return work
+
+        return compute
+
+    docs = docs.drop(column)
+    for k, sent in enumerate(_sent(items, item_bytes)):
+        docs = with_columns(docs, {column: T.BooleanType()}, passed(sent, k == 0))
+    return docs
