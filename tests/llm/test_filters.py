@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,9 +13,9 @@ import pytest
 import xxhash
 
 from tests.llm.tables import PROSE, SHARED, by_id, documents, messy
-from tradewind.llm import simhash
+from tradewind.llm import bm25, simhash
 from tradewind.llm.bm25 import Index
-from tradewind.llm.decontaminate import contaminated, question_and_answer, words_of
+from tradewind.llm.decontaminate import contaminated, flagged, question_and_answer, words_of
 from tradewind.llm.line_dedup import line_dedup
 from tradewind.llm.perfect_hash import PerfectHash
 from tradewind.llm.quality import MEASURES, quality
@@ -230,6 +231,35 @@ def test_decontaminate(spark):
     assert contaminated(messy(spark).limit(0), table).count() == 0
 
 
+def test_decontaminate_scores_do_not_hang_on_parts(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(15, 90)))) for i in range(40)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(w for w in t.split() if rng.random() < 0.85)) for i, t in items] + [(99, "clean")]
+    found = []
+    for size in (1 << 20, 1000):
+        made = contaminated(documents(spark, rows), table, item_bytes=size).collect()
+        found.append({(r["doc_id"], r["item_id"]): r["score"] for r in made})
+        leaks = flagged(documents(spark, rows), table, item_bytes=size).where("leak")
+        assert {r["doc_id"] for r in leaks.collect()} == {d for d, _ in found[-1]}
+    assert len(found[0]) > 10 and found[0] == pytest.approx(found[1])
+
+
+def test_bounds_over_many_passages_stay_small(monkeypatch):
+    common = [f"c{i}".encode() for i in range(6)]
+    index = Index([[*common, f"own{i}".encode()] for i in range(2000)])
+    term = np.array([index.terms[w] for w in [*common, b"own7"]])
+    passage, terms = np.repeat(np.arange(4000), 7), np.tile(term, 4000)
+    tracemalloc.start()
+    good = index.promising(passage, terms, 4000, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert good.all() and peak < 150 << 20
+    monkeypatch.setattr(bm25, "ENTRIES", 1)
+    assert index.promising(passage[:70], terms[:70], 12, 0.6).tolist() == [True] * 10 + [False] * 2
+
+
 def test_question_and_answer():
     assert question_and_answer("Who is it? The king.") == ([b"who", b"is", b"it"], [b"the", b"king"])
     assert question_and_answer("Q text\nAnswer: yes, sir")[1] == [b"yes", b"sir"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
@@ -12,17 +13,45 @@ import numpy as np
 K1, B = 1.2, 0.75
 #: Entries per block; each block of a term's list knows its largest score.
 BLOCK = 4
+#: Block maxima, and sums of them, that are laid out at a time for bounds over many passages.
+ENTRIES = 1 << 21
+
+
+@dataclass
+class Spread:
+    """How words are spread over all entries, also those of other indexes."""
+
+    entries: int = 0
+    words: int = 0
+    holding: Counter[bytes] = field(default_factory=Counter)  # entries that have the word
+
+    def add(self, entry: list[bytes]) -> None:
+        self.entries += 1
+        self.words += len(entry)
+        self.holding.update(set(entry))
+
+    def of(self, entries: list[list[bytes]]) -> Spread:
+        """The same, of the words of these entries alone."""
+        own = {w for e in entries for w in e}
+        return Spread(self.entries, self.words, Counter({w: self.holding[w] for w in own}))
 
 
 class Index:
     """Scores are shares of what an entry's own words would score, so 1 means all of them."""
 
-    def __init__(self, entries: list[list[bytes]]):
-        """``entries``: the words of each entry, in order; an entry without words is never found."""
+    def __init__(self, entries: list[list[bytes]], over: Spread | None = None):
+        """``entries``: the words of each entry, in order; an entry without words is never found.
+
+        ``over``: all entries, where these are a part of them, so that scores don't hang on parts.
+        """
         self.n = len(entries)
-        spread = Counter(w for e in entries for w in set(e))
-        rarity = {w: log(1 + (self.n - d + 0.5) / (d + 0.5)) for w, d in spread.items()}
-        mean = sum(map(len, entries)) / max(1, self.n) or 1
+        if over is None:
+            over = Spread()
+            for e in entries:
+                over.add(e)
+        spread = dict.fromkeys(w for e in entries for w in e)
+        rarity = {w: log(1 + (over.entries - (d := over.holding[w]) + 0.5) / (d + 0.5)) for w in spread}
+        mean = over.words / max(1, over.entries) or 1
         self.terms: dict[bytes, int] = {w: i for i, w in enumerate(spread)}
         lists: list[list[tuple[int, float]]] = [[] for _ in spread]
         for i, words in enumerate(entries):
@@ -50,15 +79,20 @@ class Index:
         ``least``. ``passage`` and ``term``: a row for each different term of each passage."""
         width = -(-self.n // BLOCK) or 1
         good = np.zeros(n, bool)
-        for k in range(0, n, 4096):  # passages are numbered in order of their rows
-            a, b = np.searchsorted(passage, [k, k + 4096])
-            terms = term[a:b]
-            count = self.starts[terms + 1] - self.starts[terms]
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at += np.repeat(self.starts[terms], count)
-            cell = np.repeat((passage[a:b] - k) * width, count) + self.blocks[at]
-            sums = np.bincount(cell, self.block_tops[at], minlength=4096 * width)
-            good[k : k + 4096] = (sums.reshape(4096, width).max(1) >= least)[: n - k]
+        count = self.starts[term + 1] - self.starts[term]
+        first = np.searchsorted(passage, np.arange(n + 1))  # passages are numbered in order of their rows
+        reach = np.concatenate([[0], np.cumsum(count)])[first]
+        k = 0
+        while k < n:
+            end = int(np.searchsorted(reach, reach[k] + ENTRIES, "right")) - 1
+            end = min(max(end, k + 1), k + max(1, ENTRIES // width), n)
+            a, b = first[k], first[end]
+            own = count[a:b]
+            at = np.arange(own.sum()) + np.repeat(self.starts[term[a:b]] - np.cumsum(own) + own, own)
+            cell = np.repeat((passage[a:b] - k) * width, own) + self.blocks[at]
+            sums = np.bincount(cell, self.block_tops[at], minlength=(end - k) * width)
+            good[k:end] = sums.reshape(end - k, width).max(1) >= least - 1e-9
+            k = end
         return good
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.llm.batches import slices, with_columns
-from tradewind.llm.bm25 import Index
+from tradewind.llm.bm25 import Index, Spread
 
 #: Items are indexed in pieces of at most so many words; a passage is two steps of as many words,
 #: and passages begin at every step, so that each piece lies whole in some passage.
@@ -75,20 +75,23 @@ class Item:
     question: list[bytes]
     answer: list[bytes]
 
+    def pieces(self) -> list[list[bytes]]:
+        words = self.question + self.answer
+        n = -(-len(words) // STEP)
+        return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
+
 
 class Detector:
     """The index over the items' pieces, and the check of what it finds."""
 
-    def __init__(self, items: list[Item], least_score: float, least_overlap: float):
+    def __init__(self, items: list[Item], over: Spread | None, least_score: float, least_overlap: float):
         self.items, self.least_score, self.least_overlap = items, least_score, least_overlap
         pieces, self.owner = [], []
         for i, item in enumerate(items):
-            words = item.question + item.answer
-            n = -(-len(words) // STEP)
-            for k in range(n):
-                pieces.append(words[k * len(words) // n : (k + 1) * len(words) // n])
-                self.owner.append(i)
-        self.index = Index(pieces)
+            own = item.pieces()
+            pieces += own
+            self.owner += [i] * len(own)
+        self.index = Index(pieces, over)
 
     def found(self, texts: list[str]) -> list[tuple[int, Item, float, float, float]]:
         """``(text, item, score, question overlap, answer overlap)``, the best passage of each."""
@@ -132,17 +135,30 @@ SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answ
 
 
 def _sent(items: DataFrame, item_bytes: int) -> list[Broadcast]:
-    """The different items, in as many parts as their text needs, each sent to every task."""
+    """The different items, in as many parts as their text needs, each sent to every task.
+
+    A part comes with the spread of its words over the items of all parts.
+    """
     spark = items.sparkSession
     wanted = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = wanted.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     parts = int(total // item_bytes) + 1
 
+    def made(rows: DataFrame) -> Iterator[Item]:
+        return (Item(r[0], *question_and_answer(r[1])) for r in rows.toLocalIterator() if words_of(r[1]))
+
+    over = None
+    if parts > 1:
+        over = Spread()
+        for item in made(wanted):
+            for piece in item.pieces():
+                over.add(piece)
+
     def part(k: int) -> Broadcast:
         own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text")
-        return spark.sparkContext.broadcast(
-            [Item(r[0], *question_and_answer(r[1])) for r in own.toLocalIterator() if words_of(r[1])]
-        )
+        found = list(made(own))
+        spread = over and over.of([p for item in found for p in item.pieces()])
+        return spark.sparkContext.broadcast((found, spread))
 
     return [part(k) for k in range(parts)]
 
@@ -166,7 +182,8 @@ def contaminated(
     not read. Without documents or items there are no rows. A null ``doc_id`` stays null.
 
     The items' index goes to every task. Their text is measured first: beyond ``item_bytes`` they
-    are cut into as many parts by hash, and each part is searched in a pass of its own.
+    are cut into as many parts by hash, and each part is searched in a pass of its own. Rarity and
+    mean length are those of all items, so scores are the same however many parts there are.
     """
     read = docs.select(F.col("doc_id").cast("long"), "text")
 
@@ -174,7 +191,7 @@ def contaminated(
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             detector = None
             for batch in batches:
-                detector = detector or Detector(sent.value, least_score, least_overlap)
+                detector = detector or Detector(*sent.value, least_score, least_overlap)
                 for rows, texts in slices(batch, "text"):
                     ids = rows.column(0).to_pylist()
                     found = detector.found(texts)
@@ -205,7 +222,7 @@ def flagged(
 
     def passed(sent: Broadcast, first: bool) -> Callable:
         def compute():
-            detector = Detector(sent.value, least_score, least_overlap)
+            detector = Detector(*sent.value, least_score, least_overlap)
 
             def work(texts: list[str], part: pa.RecordBatch) -> list[list]:
                 leaks = [False] * len(texts)
