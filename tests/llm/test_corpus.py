@@ -1,0 +1,316 @@
+"""Quality scores, source divergence and the conversation trie against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tests.llm.tables import PROSE, documents, messy
+from tradewind.llm import conversations as trie
+from tradewind.llm import divergence as diverging
+from tradewind.llm import pairwise
+from tradewind.llm.scan import running
+
+SF = "/root/testdata/sf0.1"
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+# Quality scores
+
+
+def test_scores_on_held_out_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = pairwise.pairwise_quality(docs, labels)
+    assert found.count() == docs.count()
+    rows = found.join(labels.select("doc_id", "quality"), "doc_id").collect()
+    assert all(r.held_out == held_out(r.doc_id) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    unseen = [r for r in rows if r.held_out]
+    good = sorted(r.score for r in unseen if r.quality == 1)
+    bad = [r.score for r in unseen if r.quality == 0]
+    below = sum(np.searchsorted(good, b, "right") for b in bad)
+    assert 1 - below / (len(good) * len(bad)) > 0.999
+    for quality in (0, 1):
+        of = [r.predicted == quality for r in unseen if r.quality == quality]
+        assert sum(of) / len(of) > 0.98
+
+
+def test_held_out_labels_are_not_learnt(spark):
+    texts = [(i, ("bad! " if i % 3 == 0 else "good words, ") * (20 + i % 7)) for i in range(200)]
+    docs = documents(spark, texts)
+    labels = [(i, int(i % 3 > 0), 0) for i in range(200)]
+    turned = [(i, 1 - q if held_out(i) else q, 0) for i, q, _ in labels]
+    schema = "doc_id long, quality int, toxic int"
+    first, second = (
+        pairwise.pairwise_quality(docs, spark.createDataFrame(x, schema)).orderBy("doc_id").collect()
+        for x in (labels, turned)
+    )
+    assert first == second
+    assert all(r.predicted == (r.doc_id % 3 > 0) for r in first)
+
+
+def test_features_in_chunks(monkeypatch):
+    rng = random.Random(4)
+    texts = ["", "\n\n", "a", "x " * 50]
+    texts += [" ".join(rng.choices(["a", "a", "B!", "the", "|", "12", "é.", "\n"], k=60)) for _ in range(30)]
+    copied = pairwise.FEATURES.index("copied_words")
+    left = [i for i in range(len(pairwise.FEATURES)) if i not in (copied, copied + len(pairwise.SHARES))]
+    whole = [pairwise.features(t) for t in texts]
+    assert whole[0] == [0.0] * len(pairwise.FEATURES)
+    chunks = pairwise._chunks
+    monkeypatch.setattr(pairwise, "_chunks", lambda t: chunks(t, 7))
+    for text, values in zip(texts, whole, strict=True):
+        assert [pairwise.features(text)[i] for i in left] == pytest.approx([values[i] for i in left])
+
+
+def test_pairs_fit_and_cut():
+    over, under = pairwise.preference_pairs(5, 2, 4)
+    assert sorted(Counter(over).values()) == [4] * 5 and set(under) == {0, 1}
+    over, under = pairwise.preference_pairs(2, 5, 4)
+    assert sorted(Counter(under).values()) == [4] * 5 and set(over) == {0, 1}
+    assert all(len(x) == 0 for x in pairwise.preference_pairs(3, 0))
+    # The slope of the penalised loss vanishes at the weights found.
+    differences = np.random.default_rng(1).normal(0.3, 1, (200, 3))
+    w = pairwise.fit_pairs(differences)
+    pull = 1 / (1 + np.exp(differences @ w))
+    assert np.abs(-differences.T @ pull + 200 * pairwise.PENALTY * w).max() < 1e-6
+    one = np.ones((2, len(pairwise.FEATURES)))
+    none = one[:0]
+    assert pairwise.fit(one, none).scores(one).tolist() == [0.7, 0.7]
+    assert pairwise.fit(none, none).scores(one).tolist() == [0.7, 0.7]
+    assert pairwise.fit(none, one).scores(one).tolist() == [0.0, 0.0]
+
+
+def test_scores_of_messy_tables(spark):
+    docs = messy(spark, "score", "held_out", "quality", "h", "good")
+    labels = spark.createDataFrame(
+        [(1, 1), (2, 1), (3, 0), (4, 0), (None, 0), (7, 0), (8, None), (2, 1), (11, 1), (12, 0)],
+        "doc_id long, quality int",
+    )
+    rows = pairwise.pairwise_quality(docs, labels).collect()
+    assert len(rows) == docs.count()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert {r.held_out for r in rows if r.doc_id is None} == {False}
+    assert len({r.score for r in rows if r.doc_id == 2}) == 1
+    assert len({r.score for r in rows if r.text in (None, "")}) == 1
+    assert {r.h for r in rows} == {0} and {r.good for r in rows} == {0}
+    assert pairwise.pairwise_quality(docs.limit(0), labels).collect() == []
+    no_labels = pairwise.pairwise_quality(docs, labels.limit(0)).collect()
+    assert {(r.score, r.predicted) for r in no_labels} == {(0.7, 1)}
+
+
+def test_sample_keeps_to_its_bound(spark):
+    docs = documents(spark, [(i % 40, PROSE[i % 9 :]) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sample = pairwise.labelled_sample(docs, labels, per_label=5).collect()
+    assert Counter(r.good for r in sample) == {True: 5, False: 5}
+
+
+# Divergence
+
+
+def plain_divergence(rows, min_docs=10, ranks=10):
+    found, groups = defaultdict(Counter), set()
+    in_docs = defaultdict(Counter)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered)
+        groups.add((lang, source))
+        found[lang, source].update(terms)
+        in_docs[lang].update(set(terms))
+    out = []
+
+    def share(count, total):
+        return 1 + math.floor(Fraction(10**9 * (count + 2), total))
+
+    def value(p, q):
+        return math.floor(Fraction((p - q) ** 2, p + q))
+
+    for lang in {x for x, _ in groups}:
+        kept = [t for t, n in in_docs[lang].items() if n >= min_docs]
+        sources = [s for x, s in groups if x == lang]
+        own = {s: {t: found[lang, s][t] for t in kept} for s in sources}
+        whole = {t: sum(own[s][t] for s in sources) for t in kept}
+
+        def shares(counts):
+            total = sum(counts.values()) + 2 * len(counts)
+            return {t: share(n, total) for t, n in counts.items()}
+
+        p, q = {s: shares(own[s]) for s in sources}, shares(whole)
+        for s in sources:
+            pairs = [(-sum(value(p[s][t], p[o][t]) for t in kept), o.encode()) for o in sources if o != s]
+            terms = [
+                (-value(p[s][t], q[t]), t.encode()) for t in kept if own[s][t] and p[s][t] > q[t]
+            ]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(terms)[:ranks])):
+                out += [(lang, s, part, x.decode(), -v, i + 1) for i, (v, x) in enumerate(items)]
+    return sorted(out)
+
+
+def corpus(seed, n):
+    rng = random.Random(seed)
+    words = [*"abcdefghij", "Zé", "zé", "中文", "x-y", "q1q", "ÀB", "tail_", "ﬃ"]
+    rows = []
+    for _ in range(n):
+        lang, source = rng.choice(["en", "en", "de", None, ""]), rng.choice(["s", "S", "t", None, "é", "z"])
+        odd = words if source == "t" else words[:8]
+        rows.append((" ".join(rng.choices(odd, k=rng.randint(0, 30))), lang, source))
+    return rows + [(None, "fr", "only"), ("", "it", "a"), ("rare", "it", "b")]
+
+
+@pytest.mark.parametrize("min_docs", [10, 1, 10_000])
+def test_divergence(spark, min_docs, monkeypatch):
+    rows = corpus(min_docs, 300)
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    found = diverging.divergence(docs.repartition(5), min_docs=min_docs)
+    assert sorted(map(tuple, found.collect())) == plain_divergence(rows, min_docs)
+
+
+def test_divergence_in_small_parts(monkeypatch):
+    """Texts cut anywhere, and counts handed on at once, add up to the same."""
+    import pyarrow as pa
+
+    rows = [(t or "", x or "", s or "") for t, x, s in corpus(2, 60)]
+    batch = pa.record_batch([pa.array([r[i] for r in rows]) for i in (1, 2, 0)], names=["lang", "source", "text"])
+
+    def totals():
+        n = Counter()
+        for part in diverging._count(iter([batch])):
+            for r in part.to_pylist():
+                n[r["lang"], r["source"], r["term"], "n"] += r["n"]
+                n[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        return n
+
+    whole = totals()
+    monkeypatch.setattr(diverging, "HELD_TERMS", 3)
+    chunks = diverging._terms
+    monkeypatch.setattr(diverging, "_terms", lambda t: chunks(t, 5))
+    assert totals() == whole
+
+
+def test_divergence_of_messy_tables(spark):
+    docs = messy(spark, "term", "n", "value")
+    rows = [(r.text, r.lang, r.source) for r in docs.collect()]
+    for least in (1, 2):
+        found = diverging.divergence(docs, min_docs=least)
+        assert sorted(map(tuple, found.collect())) == plain_divergence(rows, least)
+    assert diverging.divergence(docs.limit(0)).collect() == []
+
+
+def test_ties_across_the_last_rank(spark):
+    """Terms of one cell share a value; the report is cut within them in UTF-8 order."""
+    names = ["z", "é", "B", "a", "中", *(f"w{chr(97 + i)}" for i in range(12))]
+    rows = [(" ".join(names), "en", "s")] * 3 + [("other", "en", "t")] * 3
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    found = diverging.divergence(docs, min_docs=1)
+    terms = found.where("part = 'term' AND source = 's'").orderBy("rank").collect()
+    assert [t.item for t in terms] == sorted((n.lower() if n.isascii() else n for n in names), key=str.encode)[:10]
+    assert len({t.value for t in terms}) == 1
+
+
+# Running sums and the trie
+
+
+def test_running_sums_of_a_hot_key(spark):
+    rng = random.Random(5)
+    rows = [(7 if rng.random() < 0.7 else rng.randint(0, 20), i, rng.getrandbits(63) - 2**62) for i in range(3000)]
+    table = spark.createDataFrame(rows, "k long, at long, v long").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = running(table, ["k"], ["at"], ["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, number, total = {}, Counter(), Counter()
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        total[k] += v
+        want[at] = (k, number[k], (total[k] + 2**63) % 2**64 - 2**63)
+        number[k] += 1
+    assert {r["at"]: (r.k, r.idx, r.v) for r in found} == want
+    assert running(table.limit(0), ["k"], ["at"], ["v"]).collect() == []
+
+
+def plain_trie(rows):
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            own[c].append(((turn is not None, turn or 0), digest, (role, text)))
+    own = {c: [v[2] for v in sorted(vs, key=lambda v: v[:2])] for c, vs in own.items()}
+    built, members, children = {}, defaultdict(list), defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].append(c)
+    for n in members:
+        if n:
+            children[n[:-1]].append(n)
+    out, leaves, saved = [], {}, {}
+    for n in sorted(members, key=len, reverse=True):
+        m = members[n]
+        leaves[n] = sum(leaves[x] for x in children[n]) or 1
+        saved[n] = sum(saved[x] for x in children[n]) + (len(m) - 1) * (len(n[-1][1]) if n else 0)
+        ends = ",".join(str(c) for c in sorted(m) if len(built[c]) == len(n))
+        above = min(members[n[:-1]]) if n else None
+        digest = hashlib.sha256(ends.encode()).hexdigest()
+        out.append((min(m), len(n), above, len(m), len(children[n]), leaves[n], saved[n], digest))
+    return sorted(out, key=str)
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def conversations():
+    rng = random.Random(3)
+    rows = []
+    for c in [*range(60), 100, 105, 200, -150, -100, None]:
+        for i in range(rng.choice([0, 1, 3, 7, 40])):
+            turn = rng.choice([None, i, i, 1])
+            rows.append((c, turn, rng.choice(["u", "a", None]), rng.choice(["x", "", "yy", None, "é😀"])))
+    return rows + [(300 + i, j, "u", "same") for i in range(4) for j in range(70 + i)]
+
+
+@pytest.mark.parametrize("band, ids", [(16, 4096), (2, 2), (4, 3)])
+def test_trie(spark, band, ids, monkeypatch):
+    monkeypatch.setattr(trie, "BAND", band)
+    monkeypatch.setattr(trie, "IDS", ids)
+    rows = conversations()
+    found = trie.conversation_trie(spark.createDataFrame(rows, TURNS).repartition(5)).collect()
+    assert sorted(map(tuple, found), key=str) == plain_trie(rows)
+
+
+def test_trie_of_repeated_rows_long_texts_and_other_columns(spark):
+    rows = [(c, t, "user", "word " * 100_000) for c in (0, 1) for t in (0, 0, 1)]
+    rows += [(2, None, None, None), (2, 0, "", ""), (2, 0, "user", "hello")]
+    extra = [(*r, 0, 0, 0) for r in rows]
+    table = spark.createDataFrame(extra, TURNS + ", depth int, idx int, c int")
+    assert sorted(map(tuple, trie.conversation_trie(table).collect()), key=str) == plain_trie(rows)
+    empty = trie.conversation_trie(table.limit(0))
+    assert empty.collect() == [] and len(empty.columns) == 8
+    assert trie.conversation_trie(table.withColumn("conv_id", table.conv_id * None)).collect() == []
+
+
+def test_trie_of_one_deep_conversation(spark, monkeypatch):
+    """Depth is met in rounds that grow with its logarithm; no node meets more than a band."""
+    monkeypatch.setattr(trie, "BAND", 8)
+    rounds = []
+    below = trie.below
+    monkeypatch.setattr(trie, "below", lambda *a: rounds.append(a[2]) or below(*a))
+    rows = [(c, t, "u", "t" * (t % 5)) for c in (1000, 1001) for t in range(1200 - c % 1000 * 500)]
+    found = trie.conversation_trie(spark.createDataFrame(rows, TURNS)).collect()
+    assert rounds[0] in (1200, 1201) and len(rounds) == 4
+    assert sorted(map(tuple, found), key=str) == plain_trie(rows)

@@ -13,7 +13,7 @@ from tradewind.llm import oracle, pieces
 from tradewind.llm.decontaminate import words_of
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark")
+TABLES = ("documents", "pages", "benchmark", "conversations")
 
 
 @pytest.fixture(scope="module")

@@ -79,6 +79,117 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM digested
 """
 
+_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{_TERM}') AS terms
+  FROM documents
+), worded AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM worded
+  GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), found AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n
+  FROM worded JOIN kept USING (lang, term) GROUP BY ALL
+), of_lang AS (
+  SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(f.n), 0)::HUGEINT AS total
+  FROM groups g LEFT JOIN found f USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(f.n, 0) AS own,
+         1 + 1000000000::HUGEINT * (coalesce(f.n, 0) + 2) // (t.total + 2 * l.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS q
+  FROM totals t JOIN of_lang l USING (lang) JOIN kept k USING (lang)
+       LEFT JOIN found f ON f.lang = t.lang AND f.source = t.source AND f.term = k.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item,
+         sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), telling AS (
+  SELECT lang, source, 'term' AS part, term AS item,
+         ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM shares WHERE own > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (
+           PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM telling)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_CRC = """list_reduce(
+    [4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split({}::VARCHAR, '')],
+    lambda s, b: list_reduce(
+      [xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda u, _: xor(u >> 1, 3988292384 * (u & 1))))"""
+
+OP13 = f"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+         ) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, xor({_CRC.format("c")}, 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM turns)
+), joined AS (
+  SELECT v.c, 0 AS own, t.i, t.role, t.text
+  FROM convs v JOIN turns t ON t.c = v.c - v.c % 100 AND t.i < v.h
+  UNION ALL
+  SELECT v.c, 1 AS own, t.i, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.i >= v.h
+), rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS depth,
+         sha256(length(role) || ':' || role || text) AS digest, length(text)::BIGINT AS chars
+  FROM joined
+), prefixes AS (
+  SELECT c, 0 AS depth, '' AS node, '' AS above, 0 AS chars FROM convs
+  UNION ALL
+  SELECT r.c, r.depth, sha256(string_agg(b.digest, ',' ORDER BY b.depth)) AS node,
+         coalesce(sha256(string_agg(b.digest, ',' ORDER BY b.depth) FILTER (b.depth < r.depth)), ''),
+         any_value(r.chars)
+  FROM rebuilt r JOIN rebuilt b ON b.c = r.c AND b.depth <= r.depth GROUP BY r.c, r.depth
+), lengths AS (
+  SELECT c, max(depth) AS n FROM prefixes GROUP BY c
+), nodes AS (
+  SELECT depth, node, above, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), ''))
+           AS ends_sha256
+  FROM prefixes JOIN lengths USING (c) GROUP BY depth, node, above
+), fans AS (
+  SELECT depth - 1 AS depth, above AS node, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY ALL
+), valued AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_children IS NULL)::BIGINT AS leaf
+  FROM nodes n LEFT JOIN fans USING (depth, node)
+), sums AS (
+  SELECT a.depth, a.node, sum(v.leaf)::BIGINT AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens
+  FROM valued v JOIN prefixes a ON a.c = v.conv_id AND a.depth <= v.depth GROUP BY ALL
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+       n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s USING (depth, node)
+     LEFT JOIN nodes u ON u.depth = v.depth - 1 AND u.node = v.above
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op2_warc": OP2, "op10_quality_rules": OP10}
+    return {
+        "op1_line_dedup": OP1,
+        "op2_warc": OP2,
+        "op10_quality_rules": OP10,
+        "op12_divergence": OP12,
+        "op13_conversation_trie": OP13,
+    }

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm import pieces, warc
+from tradewind.llm.conversations import conversation_trie
 from tradewind.llm.decontaminate import contaminated
+from tradewind.llm.divergence import divergence
 from tradewind.llm.license_scan import license_scan
 from tradewind.llm.line_dedup import line_dedup
 from tradewind.llm.main_text import extract
+from tradewind.llm.pairwise import pairwise_quality
 from tradewind.llm.quality import quality
 from tradewind.llm.secret_scan import secret_scan
 from tradewind.llm.simhash import simhash_components
@@ -71,6 +74,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs).drop("text")
 
 
+def op11_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality")
+    return pairwise_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_trie(turns)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -83,4 +101,7 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": op8_decontaminate,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_quality_rules": op10_quality_rules,
+        "op11_pairwise_quality": op11_pairwise_quality,
+        "op12_divergence": op12_divergence,
+        "op13_conversation_trie": op13_conversation_trie,
     }
