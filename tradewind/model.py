@@ -24,6 +24,7 @@ class Table:
     from_feed: bool = True  # the file name carries the feed's prefix and suffix
     sort_by: tuple[str, ...] = ()  # order of the rows within each stored file
     spans_lines: bool = False  # holds free text, so that records of a file may span lines
+    key_parts: int = 0  # partitions of the stored rows by a hash of the key, for appends
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,9 @@ class Link:
         return f"{self.child}.{self.child_key} -> {self.parent}.{self.parent_key}"
 
 
+# Of tables that grow by appends; an append of few keys reads few of them.
+KEY_PARTS = 32
+
 # Names, types and column order of the source files, read by position. Listed in
 # load order: a table follows the tables it refers to. Two columns are spelled "lenght" at source.
 TABLES: dict[str, Table] = {
@@ -106,6 +110,7 @@ TABLES: dict[str, Table] = {
             ("freight_value", _AMOUNT),
         ),
         ("order_id", "order_item_id"),
+        key_parts=KEY_PARTS,
     ),
     "order_payments": Table(
         _schema(
@@ -116,6 +121,7 @@ TABLES: dict[str, Table] = {
             ("payment_value", _AMOUNT),
         ),
         ("order_id", "payment_sequential"),
+        key_parts=KEY_PARTS,
     ),
     "order_reviews": Table(
         _schema(
@@ -129,6 +135,7 @@ TABLES: dict[str, Table] = {
         ),
         ("review_id",),
         spans_lines=True,
+        key_parts=KEY_PARTS,
     ),
     "product_category_name_translation": Table(
         _schema(

@@ -19,6 +19,7 @@ from tradewind.operators.keys import (
     require_appendable,
     require_foreign_keys,
     require_unique_keys,
+    require_written_keys,
 )
 from tradewind.operators.links import (
     link_counts,
@@ -40,11 +41,16 @@ from tradewind.operators.payments import payment_mix, payment_stats
 from tradewind.operators.sales import (
     aov_by_customer,
     gmv_by_month,
+    gmv_by_month_stored,
+    gmv_by_period,
     gmv_by_state,
+    gmv_by_state_from,
     items_per_order,
     order_totals,
     recent_orders,
     top_sellers,
+    totals_by_state,
+    values_by_month,
 )
 
 __all__ = [
@@ -56,7 +62,10 @@ __all__ = [
     "first_per_key",
     "fk_violations",
     "gmv_by_month",
+    "gmv_by_month_stored",
+    "gmv_by_period",
     "gmv_by_state",
+    "gmv_by_state_from",
     "insert_if_absent",
     "items_per_order",
     "keep_known",
@@ -81,9 +90,12 @@ __all__ = [
     "require_appendable",
     "require_foreign_keys",
     "require_unique_keys",
+    "require_written_keys",
     "review_by_category",
     "column_profile",
     "schema_overview",
     "top_categories",
     "top_sellers",
+    "totals_by_state",
+    "values_by_month",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +29,19 @@ def key_audit(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     ).select(F.lit(table).alias("table_name"), "total_rows", "distinct_keys", "null_keys")
 
 
-def require_appendable(new: DataFrame, table: str, parents: Tables) -> None:
-    """Raise if a row of ``new`` has an incomplete key or refers to no row of its parents."""
+def require_appendable(
+    new: DataFrame, table: str, parents: Tables, null_keys: int | None = None
+) -> None:
+    """Raise if a row of ``new`` has an incomplete key or refers to no row of its parents.
+
+    ``null_keys`` is the number of rows with an incomplete key, where it is known already.
+    """
     keys = TABLES[table].key
     incomplete = F.lit(False)
     for key in keys:
         incomplete = incomplete | F.col(key).isNull()
-    if not new.where(incomplete).isEmpty():
+    found = not new.where(incomplete).isEmpty() if null_keys is None else null_keys > 0
+    if found:
         raise DataQualityError(f"{table}: a new row has no complete key {keys}")
     for link in FOREIGN_KEYS:
         if link.child == table:
@@ -59,19 +65,49 @@ def key_report(tables: Tables) -> DataFrame:
     return report
 
 
-def require_unique_keys(tables: Tables) -> None:
-    """Raise unless the primary key of every table is unique and complete."""
-    broken = key_report(tables).where(F.col("distinct_keys") != F.col("total_rows")).collect()
+def _refuse_keys(broken: Iterable[tuple[str, int, int, int]]) -> None:
     if broken:
         raise DataQualityError(
             "; ".join(
-                f"{row.table_name}: {row.total_rows} rows but {row.distinct_keys} distinct keys "
-                f"({row.null_keys} rows with an incomplete key)"
-                for row in broken
+                f"{table}: {rows} rows but {keys} distinct keys "
+                f"({incomplete} rows with an incomplete key)"
+                for table, rows, keys, incomplete in broken
             )
         )
 
 
+def require_unique_keys(tables: Tables) -> None:
+    """Raise unless the primary key of every table is unique and complete."""
+    broken = key_report(tables).where(F.col("distinct_keys") != F.col("total_rows")).collect()
+    _refuse_keys([tuple(row) for row in broken])
+
+
+def distinct_keys(tables: Tables) -> dict[str, int]:
+    """Distinct complete keys of each table; reads the key columns only."""
+    counts = None
+    for name, df in tables.items():
+        row = df.agg(F.countDistinct(*TABLES[name].key).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        counts = row if counts is None else counts.unionByName(row)
+    return dict(map(tuple, counts.collect())) if counts is not None else {}
+
+
+def require_written_keys(
+    tables: Tables, metrics: Mapping[str, Mapping[str, int]], folded: Iterable[str] = ()
+) -> None:
+    """Raise unless the primary key of every written table is unique and complete.
+
+    ``metrics`` holds what each write observed: ``rows`` and ``null_keys``. Tables in ``folded``
+    were written with one row per key and are not read again; of others the keys are counted.
+    """
+    keyed = {name: df for name, df in tables.items() if TABLES[name].key}
+    counted = distinct_keys({name: df for name, df in keyed.items() if name not in set(folded)})
+    found = []
+    for name in keyed:
+        rows, incomplete = metrics[name]["rows"], metrics[name]["null_keys"]
+        found.append((name, rows, counted.get(name, rows - incomplete), incomplete))
+    _refuse_keys([row for row in found if row[1] != row[2]])
+
+
 def fk_violations(tables: Tables, links: Iterable[Link] = FOREIGN_KEYS) -> DataFrame:
     """Rows per foreign key whose non-NULL key is unknown to the parent.
 

@@ -25,8 +25,10 @@ def items_per_order(order_items: DataFrame) -> DataFrame:
     return order_items.groupBy("order_id").agg(F.sum(value).alias("order_total"))
 
 
-def gmv_by_state(orders: DataFrame, customers: DataFrame, order_values: DataFrame) -> DataFrame:
-    """Gross merchandise value per customer state, largest first."""
+def totals_by_state(
+    orders: DataFrame, customers: DataFrame, order_values: DataFrame
+) -> DataFrame:
+    """Summed order values per customer state; sums of several such tables can be added up."""
     per_customer = (
         orders.select("order_id", "customer_id")
         .join(order_values, "order_id")
@@ -36,8 +38,58 @@ def gmv_by_state(orders: DataFrame, customers: DataFrame, order_values: DataFram
     return (
         per_customer.join(customers.select("customer_id", "customer_state"), "customer_id")
         .groupBy(F.col("customer_state").alias("state"))
-        .agg(amount(F.sum("customer_total")).alias("gmv"))
-        .orderBy(F.desc_nulls_first("gmv"), F.asc_nulls_last("state"))
+        .agg(F.sum("customer_total").alias("total"))
+    )
+
+
+def _states_ranked(gmv: DataFrame) -> DataFrame:
+    return gmv.orderBy(F.desc_nulls_first("gmv"), F.asc_nulls_last("state"))
+
+
+def gmv_by_state(orders: DataFrame, customers: DataFrame, order_values: DataFrame) -> DataFrame:
+    """Gross merchandise value per customer state, largest first."""
+    totals = totals_by_state(orders, customers, order_values)
+    return _states_ranked(totals.select("state", amount(F.col("total")).alias("gmv")))
+
+
+def gmv_by_state_from(state_totals: DataFrame) -> DataFrame:
+    """As :func:`gmv_by_state`, from partial sums of :func:`totals_by_state`."""
+    return _states_ranked(
+        state_totals.groupBy("state").agg(amount(F.sum("total")).alias("gmv"))
+    )
+
+
+def values_by_month(orders: DataFrame, order_values: DataFrame) -> DataFrame:
+    """Order values with their purchase time and its month, to be stored by month."""
+    purchased = orders.select("order_id", "order_purchase_timestamp")
+    return purchased.join(order_values, "order_id").withColumn(
+        "month", month_of(F.col("order_purchase_timestamp"))
+    )
+
+
+def gmv_by_month_stored(
+    monthly_values: DataFrame, as_of: dt.date | None = None, months: int = WINDOW_MONTHS
+) -> DataFrame:
+    """As :func:`gmv_by_month`, from values stored by month: other months are not opened."""
+    start = months_before(as_of, months)
+    return (
+        monthly_values.where(F.col("month") >= month_of(start))
+        .where(F.col("order_purchase_timestamp") >= start)
+        .groupBy("month")
+        .agg(amount(F.sum("order_total")).alias("gmv"))
+        .orderBy(F.asc_nulls_last("month"))
+    )
+
+
+def gmv_by_period(monthly_values: DataFrame, periods: DataFrame) -> DataFrame:
+    """Gross merchandise value per period. ``periods`` has a row for each ``month`` of a
+    ``period``; of values stored by month, only those of its months are opened."""
+    return (
+        monthly_values.select("month", "order_total")
+        .join(periods.select("month", "period"), "month")
+        .groupBy("period")
+        .agg(amount(F.sum("order_total")).alias("gmv"))
+        .orderBy(F.asc_nulls_last("period"))
     )
 
 

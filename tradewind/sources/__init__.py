@@ -1,16 +1,31 @@
 """Where tables come from."""
 
-from tradewind.sources.csv import feed_file, has_spanning_records, inspect_csv, read_csv, read_feed
-from tradewind.sources.parquet import read_dataset, read_table, register_views, write_manifest
+from tradewind.sources.csv import (
+    feed_file,
+    has_spanning_records,
+    inspect_csv,
+    read_csv,
+    read_feed,
+    rejected_rows,
+)
+from tradewind.sources.parquet import latest_version, read_dataset, read_table, register_views
+from tradewind.sources.spanning import read_spanning_csv
+from tradewind.sources.versions import Commit, Version, VersionConflict, latest
 
 __all__ = [
+    "Commit",
+    "Version",
+    "VersionConflict",
     "feed_file",
     "has_spanning_records",
     "inspect_csv",
+    "latest",
+    "latest_version",
     "read_csv",
     "read_dataset",
     "read_feed",
+    "read_spanning_csv",
     "read_table",
     "register_views",
-    "write_manifest",
+    "rejected_rows",
 ]

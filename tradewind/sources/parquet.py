@@ -1,33 +1,33 @@
-"""Tables at rest as one Parquet directory each."""
+"""Tables at rest: versioned Parquet files."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.model import TABLES, Tables
+from tradewind.sources.versions import Version, latest
 
 
-def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One table of a dataset. Its schema is declared, not inferred from the files."""
-    return spark.read.schema(TABLES[name].schema).parquet(f"{directory}/{name}")
+def latest_version(spark: SparkSession, directory: str) -> Version:
+    """The latest version of a dataset; an error if none was published."""
+    version = latest(spark, directory)
+    if version is None:
+        raise FileNotFoundError(f"{directory} holds no audited dataset")
+    return version
 
 
-def write_manifest(spark: SparkSession, directory: str, tables: Tables) -> None:
-    """Marks a dataset as complete and audited: lists its tables in ``manifest``."""
-    names = spark.createDataFrame([(name,) for name in tables], "table_name string")
-    names.coalesce(1).write.parquet(f"{directory}/manifest")
+def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """One table of a dataset. Its schema is declared, not inferred from the files."""
+    return latest_version(spark, directory).read(name, TABLES[name].schema)
 
 
 def read_dataset(spark: SparkSession, directory: str) -> Tables:
-    """All tables of a dataset; an error if its refresh did not end with the audits."""
-    try:
-        listed = {r[0] for r in spark.read.parquet(f"{directory}/manifest").collect()}
-    except AnalysisException as error:
-        raise FileNotFoundError(f"{directory} holds no audited dataset") from error
-    if missing := set(TABLES) - listed:
+    """All tables of a dataset, as its latest version has them; later appends don't change what
+    was returned. An error if no refresh has ended with its audits."""
+    version = latest_version(spark, directory)
+    if missing := set(TABLES) - version.tables:
         raise FileNotFoundError(f"{directory} lacks {', '.join(sorted(missing))}")
-    return {name: read_table(spark, directory, name) for name in TABLES}
+    return {name: version.read(name, table.schema) for name, table in TABLES.items()}
 
 
 def register_views(tables: Tables) -> None:
