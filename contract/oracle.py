@@ -113,7 +113,7 @@ _CATEGORY_SOURCES = "order_items products product_category_name_translation"
 
 
 def _reports() -> dict[str, str]:
-    def review(min_reviews: int) -> str:
+    def review(min_reviews: int | str) -> str:
         return _over(
             f"order_reviews {_CATEGORY_SOURCES}",
             f"""SELECT {_CATEGORY} AS category,
@@ -125,16 +125,20 @@ def _reports() -> dict[str, str]:
             ORDER BY avg_review DESC NULLS FIRST, category NULLS LAST LIMIT 20""",
         )
 
-    def by_month(as_of: str) -> str:
+    def by_month(as_of: str, placed: str = "order_purchase_timestamp") -> str:
         return _over(
             "shop_orders order_items",
-            f"""SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS month,
+            f"""SELECT CAST(date_trunc('month', {placed}) AS DATE) AS month,
                 CAST(sum(price + freight_value) AS DECIMAL(38,2)) AS gmv
             FROM shop_orders JOIN order_items USING (order_id)
-            WHERE order_purchase_timestamp >= {as_of} - INTERVAL 12 MONTH
+            WHERE {placed} >= {as_of} - INTERVAL 12 MONTH
             GROUP BY 1 ORDER BY 1""",
         )
 
+    empty = by_month("current_date")
+    moved = """order_purchase_timestamp + to_days(CAST(current_date
+        - (SELECT CAST(max(order_purchase_timestamp) AS DATE) FROM shop_orders) AS INTEGER))"""
+
     return {
         "gmv_by_state": _over(
             "customers shop_orders order_items",
@@ -151,7 +155,20 @@ def _reports() -> dict[str, str]:
             GROUP BY 1 ORDER BY revenue DESC NULLS FIRST, category NULLS LAST LIMIT 15""",
         ),
         "gmv_by_month": by_month("DATE '2001-08-01'"),
-        "gmv_by_month_empty": by_month("current_date"),
+        "gmv_by_month_empty": empty,
+        "gmv_by_month_stored": by_month("DATE '2001-08-01'"),
+        "gmv_by_month_today": by_month("current_date", moved),
+        "gmv_by_period_stored": _over(
+            "shop_orders order_items",
+            """SELECT concat(year(order_purchase_timestamp), 'Q1') AS period,
+                CAST(sum(price + freight_value) AS DECIMAL(38,2)) AS gmv
+            FROM shop_orders JOIN order_items USING (order_id)
+            WHERE month(order_purchase_timestamp) <= 3 GROUP BY 1 ORDER BY 1""",
+        ),
+        "snk_csv_empty": f"""SELECT 'month,gmv' AS value
+            UNION ALL SELECT concat_ws(',', month, gmv) FROM ({empty})""",
+        "preview_any_orders": """SELECT least(10, count(*)) AS n_rows, least(10, count(*)) AS n_known
+            FROM orders""",
         "gmv_by_month_leap_day": by_month("DATE '1996-02-29'"),
         "aov_by_customer": _over(
             "customers shop_orders order_items",
@@ -205,7 +222,7 @@ def _reports() -> dict[str, str]:
             ORDER BY revenue DESC NULLS FIRST, seller_id NULLS LAST LIMIT 20""",
         ),
         "review_by_category": review(50),
-        "review_by_category_high_bar": review(2400),
+        "review_by_category_high_bar": review("(SELECT count(*) // 25 FROM order_items)"),
         "cancel_rate_by_state": _over(
             "customers shop_orders",
             f"""SELECT customer_state,
@@ -375,6 +392,12 @@ _KNOWN_ITEMS = """(SELECT * FROM order_items
       AND seller_id IN (SELECT seller_id FROM active_sellers))"""
 
 
+_CLICKS = "(SELECT * FROM staged_payments WHERE payment_type = 'click')"
+_NOT_CLICKED = f"""(SELECT * FROM staged_payments b WHERE NOT EXISTS (
+    SELECT 1 FROM {_CLICKS} t
+    WHERE t.order_id = b.order_id AND t.payment_sequential = b.payment_sequential))"""
+
+
 def _loading() -> dict[str, str]:
     return {
         "load_order_items": _over(
@@ -406,7 +429,41 @@ def _loading() -> dict[str, str]:
             FROM order_items""",
         ),
         "snk_csv_roundtrip": _price_range(),
-        "full_refresh_gmv": _over(
+        "src_csv_spanning": """SELECT CAST(doc_id AS VARCHAR) AS review_id,
+                lang AS review_comment_title, length(message) AS n_chars,
+                sha256(message) AS message_sha256
+            FROM (SELECT *, ' ' || chr(9) || '"' || text || '",' || chr(13) || chr(10) || '""'
+                            || chr(10) || ' ' AS message FROM documents)""",
+        "src_rejected_rows": _over(
+            "order_items",
+            """SELECT 'order_items' AS table_name, 'does not fit the schema' AS reason,
+                CAST(product_id AS VARCHAR) AS product_id, count(*) AS rejected
+            FROM order_items WHERE product_id % 10 = 7 GROUP BY ALL""",
+        ),
+        "src_feed_inventory": _over(
+            " ".join(_source(table) for table in TABLES),
+            " UNION ALL ".join(
+                f"SELECT '{table}' AS table_name, false AS present, NULL::BIGINT AS records"
+                if table in ("sellers", "geolocation")
+                else f"SELECT '{table}', true, count(*) FROM {_source(table)}"
+                for table in sorted(TABLES, key=lambda t: t not in ("sellers", "geolocation"))
+            ),
+        ),
+        "append_payments": _over(
+            "staged_payments",
+            " UNION ALL ".join(
+                f"""SELECT * REPLACE (CAST(order_id AS VARCHAR) AS order_id)
+                FROM ({_first_per_key(source, _PAYMENT_KEY, _PAYMENT_REST)})"""
+                for source in (_CLICKS, _NOT_CLICKED)
+            ),
+        ),
+        "gmv_by_state_appended": _refreshed_gmv(),
+        "full_refresh_gmv": _refreshed_gmv(),
+    }
+
+
+def _refreshed_gmv() -> str:
+    return _over(
             "customers shop_orders order_items products sellers",
             f"""SELECT customer_state AS state,
                 CAST(sum(price + freight_value) AS DECIMAL(38,2)) AS gmv
@@ -416,8 +473,7 @@ def _loading() -> dict[str, str]:
                     FROM order_items)''', _ITEM_KEY, _ITEM_REST)})
             JOIN shop_orders USING (order_id) JOIN customers USING (customer_id)
             GROUP BY 1 ORDER BY gmv DESC, state""",
-        ),
-    }
+    )
 
 
 def _listing(counted: bool) -> str:

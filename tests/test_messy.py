@@ -13,8 +13,8 @@ from contract.oracle import oracle_sql
 from contract.registry import queries
 from tests.tables import at
 
-# Its audits are meant to reject this data.
-REJECTING = {"full_refresh_gmv"}
+# Their audits are meant to reject this data.
+REJECTING = {"full_refresh_gmv", "append_payments", "gmv_by_state_appended"}
 
 
 def _maybe(rng, value, share=0.08):
@@ -116,6 +116,13 @@ def _tables(seed):
                 for i in range(400)
             ],
         ),
+        "documents": _arrow(
+            "doc_id long text string lang string",
+            [
+                (i, _maybe(rng, "".join(rng.choices('ab é,"\n\r\t', k=rng.randrange(30)))), _maybe(rng, "en"))
+                for i in range(200)
+            ],
+        ),
     }
 
 

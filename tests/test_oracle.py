@@ -29,6 +29,10 @@ ORDERED = {
     "payment_stats",
     "order_totals",
     "full_refresh_gmv",
+    "gmv_by_state_appended",
+    "gmv_by_month_stored",
+    "gmv_by_month_today",
+    "gmv_by_period_stored",
     *(f"preview_{t}" for t in ("customers", "orders", "order_items", "products", "sellers")),
 }
 
@@ -52,6 +56,13 @@ ANCHORS = {
     "pk_composite_items": (1, {"total_rows": "60000", "distinct_keys": "45832"}),
     "load_order_items": (36846, {}),
     "ri_items_orders_volume": (1, {"count": "60000"}),
+    "gmv_by_month_today": (13, {}),
+    "gmv_by_period_stored": (7, {}),
+    "append_payments": (3365, {}),
+    "src_csv_spanning": (1000, {}),
+    "snk_csv_empty": (1, {"value": "month,gmv"}),
+    "preview_any_orders": (1, {"n_rows": "10", "n_known": "10"}),
+    "src_feed_inventory": (9, {"table_name": "sellers", "present": "False", "records": "None"}),
 }
 
 

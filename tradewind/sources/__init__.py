@@ -2,6 +2,7 @@
 
 from tradewind.sources.csv import (
     feed_file,
+    feed_inventory,
     has_spanning_records,
     inspect_csv,
     read_csv,
@@ -17,6 +18,7 @@ __all__ = [
     "Version",
     "VersionConflict",
     "feed_file",
+    "feed_inventory",
     "has_spanning_records",
     "inspect_csv",
     "latest",

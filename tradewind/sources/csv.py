@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.model import TABLES, Tables
-from tradewind.sources.spanning import read_spanning_csv, rejected_records
+from tradewind.sources.spanning import read_spanning_csv, records, rejected_records
 
 
 def feed_file(table: str, prefix: str = "", suffix: str = "") -> str:
@@ -109,6 +110,26 @@ def read_feed(
     }
 
 
+def feed_inventory(
+    spark: SparkSession, directory: str, prefix: str = "", suffix: str = ""
+) -> DataFrame:
+    """The files that a feed should have: ``table_name``, ``present``, and the number of its
+    ``records``, NULL for a file that is missing."""
+    found = None
+    for name in TABLES:
+        path = f"{directory}/{feed_file(name, prefix, suffix)}"
+        try:
+            rows = records(spark, path).agg(F.count("*").alias("records"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.range(1).select(F.lit(None).cast("bigint").alias("records"))
+        present = F.col("records").isNotNull().alias("present")
+        rows = rows.select(F.lit(name).alias("table_name"), present, "records")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def rejected_rows(
     spark: SparkSession, directory: str, prefix: str = "", suffix: str = ""
 ) -> DataFrame:
