@@ -476,7 +476,10 @@ def _refreshed_gmv() -> str:
     )
 
 
-def _listing(counted: bool) -> str:
+_ROWS, _NON_NULL = "count(*) AS row_count", "count({}) AS non_null_count"
+
+
+def _listing(*counts: str) -> str:
     # The columns and types that the bindings produce, in order.
     listing = {
         "customers": "customer_id bigint, customer_unique_id string, "
@@ -502,7 +505,8 @@ def _listing(counted: bool) -> str:
         f"""SELECT '{table}' AS table_name, {position} AS ordinal_position,
             '{column.split()[0]}' AS column_name,
             '{column.split()[1].replace(";", ",")}' AS data_type"""
-        + (f", count({column.split()[0]}) AS non_null_count FROM {_source(table)}" if counted else "")
+        + "".join(f", {count.format(column.split()[0])}" for count in counts)
+        + f" FROM {_source(table)}"
         for table, columns in listing.items()
         for position, column in enumerate(columns.split(", "), start=1)
     ]
@@ -516,6 +520,8 @@ def oracle_sql() -> dict[str, str]:
         **_relations(),
         **_keys(),
         **_loading(),
-        "schema_overview": _listing(counted=False),
-        "column_profile": _listing(counted=True),
+        "schema_overview": _listing(_ROWS),
+        "column_profile": _listing(_NON_NULL),
+        "catalog_overview": _listing(_ROWS, _NON_NULL),
+        "top_sellers_rollup": _reports()["top_sellers"],
     }

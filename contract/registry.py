@@ -12,7 +12,7 @@ from contract import bindings
 from contract.bindings import bind, in_declared_schema
 from contract.oracle import link_key
 from tradewind import operators as ops
-from tradewind.functions import month_of
+from tradewind.functions import dense_numbers, month_of
 from tradewind.model import (
     FOREIGN_KEYS,
     KEY_AUDITED,
@@ -30,16 +30,18 @@ from tradewind.plans import (
     store_derived,
     store_table,
 )
-from tradewind.scratch import scratch_dir
+from tradewind.scratch import scratch_dir, written
 from tradewind.sinks import write_csv
 from tradewind.sources import (
     Commit,
+    catalog_listing,
     feed_file,
     feed_inventory,
     latest_version,
     read_csv,
     read_spanning_csv,
     read_table,
+    register_tables,
     rejected_rows,
 )
 from tradewind.sources.csv import NULL_MARK
@@ -257,6 +259,26 @@ def _preview_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _top_sellers_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = bind(spark, sf_dir, "orders", "order_items")
+    numbered = dense_numbers(written(ops.placed_orders(tables["order_items"], tables["orders"])))
+    months = written(ops.seller_months(tables["order_items"], numbered))
+    return ops.top_sellers_from(months)
+
+
+def _catalog_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog lists, beside what a scan of the listed tables counts."""
+    tables = bind(spark, sf_dir)
+    commit = Commit(spark, scratch_dir(spark))
+    for name, df in tables.items():
+        commit.write(name, df)
+    database = f"catalog_{commit.id}"
+    register_tables(commit.publish(), {name: df.schema for name, df in tables.items()}, database)
+    stored = {name: spark.table(f"{database}.{name}").select(*df.columns) for name, df in tables.items()}
+    counted = ops.column_profile(stored).select("table_name", "column_name", "non_null_count")
+    return catalog_listing(spark, database).join(counted, ["table_name", "column_name"])
+
+
 def _review_high_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Categories with at least a twenty-fifth of all items.
     tables = bind(spark, sf_dir, "order_reviews", "order_items", "products", TRANSLATION)
@@ -324,7 +346,9 @@ def queries() -> dict[str, Query]:
             "repeat_rate", "orders", "customers", entity_key="customer_state"
         ),
         "column_profile": lambda spark, sf_dir: ops.column_profile(bind(spark, sf_dir)),
-        "schema_overview": lambda spark, sf_dir: ops.schema_overview(bind(spark, sf_dir)),
+        "schema_overview": lambda spark, sf_dir: ops.table_overview(bind(spark, sf_dir)),
+        "catalog_overview": _catalog_overview,
+        "top_sellers_rollup": _top_sellers_rollup,
     }
     for table in KEY_TABLES:
         found[f"preview_{table}"] = _preview(table)

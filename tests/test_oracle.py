@@ -21,6 +21,7 @@ ORDERED = {
     "payment_mix",
     "delivery_days_by_state",
     "top_sellers",
+    "top_sellers_rollup",
     "review_by_category",
     "review_by_category_high_bar",
     "cancel_rate_by_state",

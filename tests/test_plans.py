@@ -66,7 +66,7 @@ def partitioned_on(text: str) -> list[str]:
 SCRATCH = {
     "src_csv_load", "snk_csv_roundtrip", "full_refresh_gmv", "src_csv_spanning", "src_rejected_rows",
     "src_feed_inventory", "snk_csv_empty", "append_payments", "gmv_by_state_appended",
-    "gmv_by_month_stored", "gmv_by_period_stored",
+    "gmv_by_month_stored", "gmv_by_period_stored", "catalog_overview", "top_sellers_rollup",
 }
 NO_SCRATCH = sorted(set(queries()) - SCRATCH)
 

@@ -36,7 +36,13 @@ from tradewind.operators.loading import (
     load_payments,
     load_reviews,
 )
-from tradewind.operators.overview import column_profile, list_tables, preview, schema_overview
+from tradewind.operators.overview import (
+    column_profile,
+    list_tables,
+    preview,
+    schema_overview,
+    table_overview,
+)
 from tradewind.operators.payments import payment_mix, payment_stats
 from tradewind.operators.sales import (
     aov_by_customer,
@@ -52,6 +58,12 @@ from tradewind.operators.sales import (
     totals_by_state,
     values_by_month,
 )
+from tradewind.operators.sellers import (
+    placed_orders,
+    seller_months,
+    seller_totals,
+    top_sellers_from,
+)
 
 __all__ = [
     "DataQualityError",
@@ -82,6 +94,7 @@ __all__ = [
     "order_totals",
     "payment_mix",
     "payment_stats",
+    "placed_orders",
     "preview",
     "price_range_by_category",
     "recent_orders",
@@ -94,8 +107,12 @@ __all__ = [
     "review_by_category",
     "column_profile",
     "schema_overview",
+    "seller_months",
+    "seller_totals",
+    "table_overview",
     "top_categories",
     "top_sellers",
+    "top_sellers_from",
     "totals_by_state",
     "values_by_month",
 ]

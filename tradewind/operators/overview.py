@@ -54,6 +54,22 @@ def column_profile(tables: Tables) -> DataFrame:
     return overview.orderBy("table_name", "ordinal_position")
 
 
+def table_overview(tables: Tables) -> DataFrame:
+    """The listing of :func:`schema_overview` with the number of rows of each table, which Spark
+    takes from the files' footers where they hold it."""
+    overview = None
+    for table, df in sorted(tables.items()):
+        columns = ", ".join(
+            f"struct({position} AS ordinal_position, '{field.name}' AS column_name, "
+            f"'{field.dataType.simpleString()}' AS data_type)"
+            for position, field in enumerate(df.schema.fields, start=1)
+        )
+        counted = df.agg(F.count("*").alias("row_count"))
+        listing = counted.selectExpr(f"'{table}' AS table_name", f"inline(array({columns}))", "row_count")
+        overview = listing if overview is None else overview.unionByName(listing)
+    return overview.orderBy("table_name", "ordinal_position")
+
+
 def list_tables(tables: Tables) -> list[str]:
     """Table names in alphabetical order."""
     return sorted(tables)

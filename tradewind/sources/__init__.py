@@ -1,5 +1,6 @@
 """Where tables come from."""
 
+from tradewind.sources.catalog import catalog_listing, register_tables
 from tradewind.sources.csv import (
     feed_file,
     feed_inventory,
@@ -17,6 +18,7 @@ __all__ = [
     "Commit",
     "Version",
     "VersionConflict",
+    "catalog_listing",
     "feed_file",
     "feed_inventory",
     "has_spanning_records",
@@ -28,6 +30,7 @@ __all__ = [
     "read_feed",
     "read_spanning_csv",
     "read_table",
+    "register_tables",
     "register_views",
     "rejected_rows",
 ]
