@@ -265,3 +265,112 @@ def test_question_and_answer():
     assert question_and_answer("Q text\nAnswer: yes, sir")[1] == [b"yes", b"sir"]
     assert question_and_answer("a b c d e f") == (words_of("a b c d"), words_of("e f"))
     assert question_and_answer("") == ([], [])
+
+
+def test_short_items_need_all_their_words_in_a_row(spark):
+    story = "a story of the king and his road to paris, told by the fire when all the others sleep. " * 9
+    items = [(1, "Paris"), (2, "the king"), (3, "king the fire road told"), (4, "his road to paris told"), (5, "?!"), (6, "what is his road to paris then")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10, story), (11, "no such thing"), (12, "He said: WHAT is his road - to Paris, then? " + story), (13, None)]
+    found = contaminated(documents(spark, rows), table).collect()
+    words = {r["item_id"]: r["item_words"] for r in found}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, i) for d in (10, 12) for i in (1, 2, 4)} | {(12, 6)}
+    assert words == {1: 1, 2: 2, 4: 5, 6: 7}
+    leaks = by_id(flagged(documents(spark, rows), table), "leak")
+    assert leaks == {10: (True,), 11: (False,), 12: (True,), 13: (False,)}
+    # Of one, two or four words alone no document is a leak.
+    short = table.where("item_id IN (1, 2, 3, 5)")
+    assert not any(v for v, in by_id(flagged(documents(spark, rows), short), "leak").values())
+
+
+def test_short_items_leave_clean_documents_alone(spark):
+    """Over whole documents: common words and pairs as items, five-word runs planted in some."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    common = [w for w, _ in Counter(w for t in texts.values() for w in words_of(t)).most_common(40)]
+    items = [(i, w.decode()) for i, w in enumerate(common)]
+    items += [(100 + i, f"{a.decode()} {b.decode()}") for i, (a, b) in enumerate(zip(common, common[1:], strict=False))]
+    runs = [f"zq{i} vx{i} kj{i} wq{i} zz{i}" for i in range(20)]
+    table = spark.createDataFrame(items + [(200 + i, r) for i, r in enumerate(runs)], "item_id long, text string")
+    planted = [(d, f"{t} {runs[d % 20]} {t}" if d % 4 == 0 else t) for d, t in texts.items()]
+    leaks = by_id(flagged(documents(spark, planted), table), "leak")
+    assert {d for d, (leak,) in leaks.items() if leak} == {d for d in texts if d % 4 == 0}
+
+
+def plain_found(rows, items, least_score=0.6, least_overlap=0.5):
+    """Every passage against every piece of every item, by the formula of BM25."""
+    from tradewind.llm.decontaminate import STEP, WHOLE_WORDS, Item, overlap
+
+    made = {(i, t or "") for i, t in items if words_of(t or "")}
+    made = [Item(i, *question_and_answer(t)) for i, t in sorted(made)]
+    pieces = [(item, p) for item in made for p in item.pieces()]
+    mean = sum(len(p) for _, p in pieces) / max(1, len(pieces))
+    holding = Counter(w for _, p in pieces for w in set(p))
+
+    def impacts(piece):
+        norm = 1.2 * (0.25 + 0.75 * len(piece) / mean)
+        rarity = {w: np.log(1 + (len(pieces) - holding[w] + 0.5) / (holding[w] + 0.5)) for w in piece}
+        return {w: rarity[w] * n * 2.2 / (n + norm) for w, n in Counter(piece).items()}
+
+    weights = [impacts(p) for _, p in pieces]
+    best = {}
+    for d, text in rows:
+        words = words_of(text or "")
+        for start in range(0, len(words), STEP):
+            passage = set(words[start : start + 2 * STEP])
+            for (item, _), own in zip(pieces, weights, strict=True):
+                score = sum(x for w, x in own.items() if w in passage) / sum(own.values())
+                reach = max(2 * STEP, item.n_words)
+                near = words[max(0, start - reach) : start + 2 * STEP + reach]
+                whole = b" ".join(item.question + item.answer)
+                if item.n_words < WHOLE_WORDS and b" " + whole + b" " not in b" " + b" ".join(near) + b" ":
+                    continue
+                low = min(overlap(item.question, near), overlap(item.answer, near))
+                if score >= least_score - 1e-9 and low >= least_overlap:
+                    key = (d, item.item_id)
+                    best[key] = max(best.get(key, 0), score)
+    return best
+
+
+def test_decontaminate_against_every_passage(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, text(rng.choice([1, 2, 5, 9, 20, 90, 200]))) for i in range(50)]
+    rows = []
+    for d in range(60):
+        own = rng.choice(items)[1].split()
+        own = [w for w in own if rng.random() < rng.choice([1, 0.9, 0.7])]
+        rows.append((d, " ".join([text(rng.randint(0, 200)), *own, text(rng.randint(0, 200))])))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = contaminated(documents(spark, rows), table).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == pytest.approx(plain_found(rows, items))
+    assert len(found) > 30
+
+
+def test_flagged_messy(spark):
+    table = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, None), (3, "")], "item_id long, text string")
+    docs = messy(spark, "leak", "item_id", "score")
+    found = flagged(docs, table)
+    assert found.count() == docs.count() and found.columns.count("leak") == 1
+    assert {r.doc_id for r in found.where("leak").collect()} == {1, 2, 6, None}
+    assert found.where("leak AND doc_id IS NULL").count() == 1
+    assert flagged(docs.limit(0), table).collect() == []
+    assert not any(r.leak for r in flagged(docs, table.limit(0)).collect())
+
+
+def test_quality_sql_and_operator_agree_between_the_limits_of_stop_words(spark):
+    """A clean text of a thousand words with ten stop words: one in a hundred is too few."""
+    import duckdb
+
+    from tradewind.llm.oracle import OP10
+
+    plain = [f"word{i}" for i in range(990)]
+    rows = [(n, " ".join(plain[: 1000 - n] + [f"the x{i}" for i in range(n)])) for n in (5, 10, 19, 21, 40)]
+    found = by_id(quality(documents(spark, rows)), "kept")
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    told = dict(connection.execute(f"SELECT doc_id, kept FROM ({OP10})").fetchall())
+    assert {d: k for d, (k,) in found.items()} == told
+    assert not told[5] and not told[10] and told[40]

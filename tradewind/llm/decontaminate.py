@@ -22,6 +22,11 @@ from tradewind.llm.bm25 import Index, Spread
 #: Items are indexed in pieces of at most so many words; a passage is two steps of as many words,
 #: and passages begin at every step, so that each piece lies whole in some passage.
 STEP = 64
+#: Items of fewer words are found only where all of their words stand one after the other.
+WHOLE_WORDS = 8
+#: Items of fewer words are reported, but their words alone make no document a leak: phrases so
+#: short stand in ordinary texts as well.
+LEAK_WORDS = 5
 #: Bytes of item text whose index goes to every task at a time; more items make more passes.
 ITEM_BYTES = 8 << 20
 
@@ -69,12 +74,26 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return sum((own & held).values()) / max(1, sum(own.values())) if part else 1.0
 
 
+def stands_in(run: list[bytes], words: list[bytes]) -> bool:
+    """Whether the words of ``run`` stand in ``words``, one after the other."""
+    n, at = len(run), -1
+    for _ in range(words.count(run[0])):
+        at = words.index(run[0], at + 1)
+        if words[at : at + n] == run:
+            return True
+    return False
+
+
 @dataclass
 class Item:
     item_id: int
     question: list[bytes]
     answer: list[bytes]
 
+    @property
+    def n_words(self) -> int:
+        return len(self.question) + len(self.answer)
+
     def pieces(self) -> list[list[bytes]]:
         words = self.question + self.answer
         n = -(-len(words) // STEP)
@@ -121,8 +140,10 @@ class Detector:
             start = (p - int(first[text])) * STEP
             for piece, score in self.index.search(term[a:b].tolist(), self.least_score):
                 item = self.items[self.owner[piece]]
-                reach = max(2 * STEP, len(item.question) + len(item.answer))
+                reach = max(2 * STEP, item.n_words)
                 near = words[text][max(0, start - reach) : start + 2 * STEP + reach]
+                if item.n_words < WHOLE_WORDS and not stands_in(item.question + item.answer, near):
+                    continue
                 q, a_ = overlap(item.question, near), overlap(item.answer, near)
                 if min(q, a_) >= self.least_overlap:
                     row = (text, item, score, q, a_)
@@ -131,7 +152,10 @@ class Detector:
         return list(best.values())
 
 
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+SCHEMA = (
+    "doc_id long, item_id long, item_words long, score double, question_overlap double, "
+    "answer_overlap double"
+)
 
 
 def _sent(items: DataFrame, item_bytes: int) -> list[Broadcast]:
@@ -170,12 +194,14 @@ def contaminated(
     least_overlap: float = 0.5,
     item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
-    """``doc_id, item_id, score, question_overlap, answer_overlap`` for each test item found.
+    """``doc_id, item_id, item_words, score, question_overlap, answer_overlap`` for each test item
+    found; ``item_words`` is the number of the item's words.
 
     Every passage of every document is a query to a BM25 index of the items (block-max WAND). An
     item whose share of its own score is ``least_score`` or more is then held against the
     document: of both its question and its answer, ``least_overlap`` of the neighbouring word
-    pairs must stand there. Case and punctuation don't count.
+    pairs must stand there; of an item of fewer than ``WHOLE_WORDS`` words, all words in a row.
+    Case and punctuation don't count.
 
     A null or empty text holds no item, and an item with a null or empty text is found nowhere.
     Repeated documents each give their rows; rows of equal items are one item. Other columns are
@@ -199,9 +225,13 @@ def contaminated(
                         [
                             pa.array([ids[f[0]] for f in found], pa.int64()),
                             pa.array([f[1].item_id for f in found], pa.int64()),
+                            pa.array([f[1].n_words for f in found], pa.int64()),
                             *[pa.array([f[i] for f in found], pa.float64()) for i in (2, 3, 4)],
                         ],
-                        names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                        names=[
+                            "doc_id", "item_id", "item_words", "score", "question_overlap",
+                            "answer_overlap",
+                        ],
                     )
 
         return read.mapInArrow(run, SCHEMA)
@@ -217,8 +247,13 @@ def flagged(
     least_overlap: float = 0.5,
     item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``column``: whether this very row's text holds a test item, as found by
-    :func:`contaminated`. No key is read and nothing is shuffled; all columns pass unchanged."""
+    """``docs`` with ``column``: whether this very row's text holds a test item of at least
+    ``LEAK_WORDS`` words, as found by :func:`contaminated`.
+
+    Each row is judged alone, repeated rows alike, rows of null or equal ids by their own texts. A
+    null or empty text holds no item; without items all are false. No key is read and nothing is
+    shuffled; a column of that name is replaced, all others pass unchanged.
+    """
 
     def passed(sent: Broadcast, first: bool) -> Callable:
         def compute():
@@ -228,8 +263,8 @@ def flagged(
                 leaks = [False] * len(texts)
                 if not first:
                     leaks = part.column(part.schema.names.index(column)).to_pylist()
-                for text, *_ in detector.found(texts):
-                    leaks[text] = True
+                for text, item, *_ in detector.found(texts):
+                    leaks[text] = leaks[text] or item.n_words >= LEAK_WORDS
                 return [leaks]
 
             return work

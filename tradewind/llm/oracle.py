@@ -58,7 +58,7 @@ WITH docs AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
 )
 SELECT *, NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words
-       AND 100 * n_symbols <= 25 * n_words AND n_stop_words >= 2
+       AND 100 * n_symbols <= 25 * n_words AND 100 * n_stop_words >= 2 * n_words
        AND 100 * n_dup_lines <= 50 * n_lines AS kept
 FROM judged
 """
