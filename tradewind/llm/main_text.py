@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -28,13 +30,18 @@ _BLOCKS = set(
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CONTAINERS = set(
     "article aside body button details dialog div dl fieldset figure footer form head header "
-    "main menu nav noscript object ol section select svg table template ul".split()
+    "main menu nav noscript ol section select table template ul".split()
 )
 _RAW = set("iframe noembed noframes script style textarea title xmp".split())
 _APART = set(
-    "aside button dialog footer form head header menu nav noscript object select svg template".split()
+    "aside button dialog footer form head header menu nav noscript select template".split()
 )
 _MAIN = {"article", "main"}
+#: Elements within a block whose text is not part of it: pictures, and what stands in for media.
+_MUTED = set("svg object canvas audio video".split())
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Blocks that end where the next of their like begins.
+_ITEMS = set("dd dt li option td th tr".split())
 
 # Words in a class, id or role that tell what a part of a page is for.
 _READERS = set("comment comments disqus replies reply respond discussion feedback reviews".split())
@@ -61,52 +68,86 @@ _NAMED = re.compile(
 _UNSEEN = re.compile(
     r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I
 )
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
+_NO_DISPLAY = re.compile(r"""(?:^|\s)style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+#: Ends of sentences.
+_STOP = re.compile(r"[.!?\u2026\u0964](?=\s|$|[\"'\u00bb\u201d)])|[\u3002\uff01\uff1f]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _EDGES = ".,;:!?\"'()[]«»“”‘’…-–—¿¡"
 
 
-@dataclass
+@dataclass(eq=False)
 class Part:
-    """An open element that can hold blocks."""
+    """An open element that can hold blocks. What holds for a part holds for all parts in it, so
+    a part only knows the one around it."""
 
     name: str
+    around: Part | None = None
     apart: bool = False
     named: bool = False  # as the readers' part, or as a menu or footer
     hints: frozenset[str] = frozenset()
     holds_main: bool = False
+    mutes: bool = False  # no text in it is read
+    in_main: bool = field(init=False)
+    # What the part and those around it come to, set once the page is read.
+    is_apart: bool = False
+    all_hints: frozenset[str] = frozenset()
 
+    def __post_init__(self) -> None:
+        self.in_main = self.name in _MAIN or (self.around is not None and self.around.in_main)
 
-@dataclass
+    def settle(self) -> None:
+        """Sets what the part comes to, after the parts around it."""
+        up = self.around or _OUTSIDE
+        self.is_apart = up.is_apart or (self.apart and not self.holds_main)
+        own = frozenset() if self.holds_main else self.hints
+        self.all_hints = up.all_hints if own <= up.all_hints else up.all_hints | own
+
+
+_OUTSIDE = Part("")
+
+
+@dataclass(eq=False)
 class Block:
     text: str
     linked: int
     name: str
-    parts: tuple[Part, ...]
+    part: Part
     good: bool | None = None
-    in_main: bool = field(init=False)
 
-    def __post_init__(self) -> None:
-        self.in_main = any(p.name in _MAIN for p in self.parts)
+    @property
+    def in_main(self) -> bool:
+        return self.part.in_main
 
     @property
     def is_apart(self) -> bool:
-        return any(p.apart and not p.holds_main for p in self.parts)
+        return self.part.is_apart
 
-    def hints(self) -> set[str]:
-        return {w for p in self.parts if p.hints and not p.holds_main for w in p.hints}
+    @property
+    def hints(self) -> frozenset[str]:
+        return self.part.all_hints
 
 
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)  # all, each after the one around it
     open: list[Part] = field(default_factory=list)
+    names: Counter[str] = field(default_factory=Counter)  # of the open parts
     texts: list[str] = field(default_factory=list)
     linked: int = 0
     in_link: bool = False
     name: str = ""
+    muted: int = 0  # open parts that mute
+    beneath: Counter[str] = field(default_factory=Counter)  # names of what was open before them
+
+    @property
+    def innermost(self) -> Part:
+        return self.open[-1] if self.open else _OUTSIDE
 
     def add(self, raw: str) -> None:
-        if raw:
+        if raw and not self.muted:
             text = unescape(raw)
             self.texts.append(text)
             if self.in_link:
@@ -115,9 +156,69 @@ class _Page:
     def end_block(self, name: str) -> None:
         text = " ".join("".join(self.texts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, self.name, tuple(self.open)))
+            self.blocks.append(Block(text, self.linked, self.name, self.innermost))
         self.texts, self.linked, self.name = [], 0, name
 
+    def enter(self, part: Part) -> None:
+        if part.mutes:
+            if not self.muted:
+                self.beneath = self.names.copy()
+            self.muted += 1
+        self.open.append(part)
+        self.parts.append(part)
+        self.names[part.name] += 1
+        if part.name in _MAIN:
+            around = part.around
+            while around and not around.holds_main:
+                around.holds_main = True
+                around = around.around
+
+    def leave(self, name: str) -> None:
+        """Closes the innermost part of that name, if any, and all that it holds."""
+        while self.names[name]:
+            gone = self.open.pop()
+            self.names[gone.name] -= 1
+            self.muted -= gone.mutes
+            if gone.name == name:
+                break
+
+    def unmute(self) -> None:
+        while self.muted:
+            self.leave(self.open[-1].name)
+
+    def stays_muted(self, name: str, closing: bool, attributes: str) -> bool:
+        """Takes a tag within a part that mutes; false if that part ends before the tag."""
+        inside = self.names[name] - self.beneath[name]
+        top = self.open[-1]
+        if closing and inside > 0:
+            self.leave(name)
+        elif name in _BLOCKS and (closing or top.mutes and _ends(top.name, name)):
+            self.unmute()
+            return False
+        elif not closing and name not in _VOID and (name in _BLOCKS | _CONTAINERS or inside > 0):
+            self.enter(Part(name, top, top.apart))
+        return True
+
+
+    def leave_head(self) -> None:
+        """A body ends the head; what is open in it goes on without it."""
+        first = [p.name for p in self.open].index("head")
+        left = [p for p in self.open[first:] if p.name != "head"]
+        self.open = self.open[:first]
+        self.names = Counter(p.name for p in self.open)
+        for part in left:
+            self.enter(replace(part, around=self.open[-1] if self.open else None))
+
+
+def _ends(open_name: str, name: str) -> bool:
+    """Whether an open block ends where another begins: a paragraph does, and an item at its like."""
+    return open_name == "p" or (open_name == name and name in _ITEMS)
+
+
+def _is_hidden(attributes: str) -> bool:
+    """Whether an element within the text is not shown."""
+    return bool(_HIDDEN.search(_QUOTED.sub('""', attributes)) or _NO_DISPLAY.search(attributes))
+
 
 def _opened(name: str, attributes: str, page: _Page) -> Part:
     words: set[str] = set()
@@ -132,11 +233,11 @@ def _opened(name: str, attributes: str, page: _Page) -> Part:
                     named = named or token.lower() in _LANDMARKS
     hints = words & _HINTS
     apart = name in _APART
-    if name == "header" or hints == {"header"}:
-        if any(p.name in _MAIN for p in page.open):
-            hints, apart = set(), False  # an article's own header holds its title
+    if (name == "header" or hints == {"header"}) and page.innermost.in_main:
+        hints, apart = set(), False  # an article's own header holds its title
     unseen = bool(attributes) and name != "body" and bool(_UNSEEN.search(attributes))
-    return Part(name, apart or unseen, named or bool(words & _READERS), frozenset(hints))
+    around = page.open[-1] if page.open else None
+    return Part(name, around, apart or unseen, named or bool(words & _READERS), frozenset(hints))
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -157,24 +258,28 @@ def blocks_of(html: str) -> list[Block]:
         if name in _RAW and not closing:
             end = re.compile(f"</{name}", re.I).search(html, at)
             at = end.start() if end else len(html)
+        if page.muted and page.stays_muted(name, closing, attributes):
+            continue
         if name in _BLOCKS:
             page.end_block("" if closing else name)
+        if not closing and (name in _MUTED or (name not in _CONTAINERS | _VOID and attributes and _is_hidden(attributes))):
+            if not (name == "svg" and attributes.endswith("/")):
+                around = page.open[-1] if page.open else None
+                page.enter(Part(name, around, mutes=True))
+            continue
         if name not in _CONTAINERS:
             continue
         page.in_link = False
         if closing:
-            if any(p.name == name for p in page.open):
-                while page.open.pop().name != name:
-                    pass
+            page.leave(name)
             continue
-        if name == "body":
-            page.open = [p for p in page.open if p.name != "head"]
-        page.open.append(_opened(name, attributes, page))
-        if name in _MAIN:
-            for part in page.open[:-1]:
-                part.holds_main = True
+        if name == "body" and page.names["head"]:
+            page.leave_head()
+        page.enter(_opened(name, attributes, page))
     page.add(html[at:])
     page.end_block("")
+    for part in page.parts:
+        part.settle()
     return page.blocks
 
 
@@ -190,38 +295,94 @@ def _is_linked(block: Block) -> bool:
     return block.linked > MAX_LINK_DENSITY * len(block.text)
 
 
+def _size(text: str) -> int:
+    """Code points, those of scripts whose signs stand for syllables or words three times."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
+
+
+def _is_foreign(text: str) -> bool:
+    """Whether most letters are of another script than the lists' of stop words."""
+    letters = [c for c in text if c.isalpha()]
+    return sum(c > "\u024f" for c in letters) * 2 > len(letters)
+
+
+def _reads_on(text: str) -> bool:
+    """Whether the text runs in sentences, of five words or more on average."""
+    ends = len(_STOP.findall(text))
+    return ends > 0 and len(text.split()) >= 5 * ends
+
+
+#: Labels of running text: "good", "near" (rather good), and "long", good by its length alone.
+_RUNNING = ("good", "near", "long")
+
+
 def _by_density(block: Block) -> str:
-    """"good", "bad", or undecided: "near" (rather good) or "short"."""
+    """A label of running text, "bad", or undecided: "short", or "plain", of few stop words.
+
+    Few stop words may mean a list, or a language without a list: a long text in sentences, or in
+    another script, is then taken for running text.
+    """
     if _is_linked(block):
         return "bad"
-    if len(block.text) < SHORT_CHARS:
+    size = _size(block.text)
+    if size < SHORT_CHARS:
         return "bad" if block.linked else "short"
     stops = _stop_density(block.text)
     if stops >= HIGH_STOPS:
-        return "good" if len(block.text) > LONG_CHARS else "near"
-    return "near" if stops >= LOW_STOPS else "bad"
+        return "good" if size > LONG_CHARS else "near"
+    if stops >= LOW_STOPS:
+        return "near"
+    if _is_foreign(block.text) or (size > LONG_CHARS and _reads_on(block.text)):
+        return "long"
+    return "plain"
 
 
 def _in_article(block: Block, label: str) -> str:
     """The label of a block of the article: a grade better, but for links in plenty."""
     if _is_linked(block):
         return "near" if block.name in _HEADINGS else "bad"
-    return "good" if label in ("good", "near") else "near"
+    return "good" if label in _RUNNING else "near"
 
 
-def _chars(blocks: list[Block], labels: dict[int, str]) -> int:
-    """Code points of running text."""
-    return sum(len(b.text) for b in blocks if labels[id(b)] in ("good", "near"))
+def _chars(blocks: list[Block], labels: dict[int, str], kinds: tuple[str, ...] = _RUNNING) -> int:
+    """Code points of the blocks with such labels, by default of running text."""
+    return sum(len(b.text) for b in blocks if labels[id(b)] in kinds)
 
 
-def _let_length_decide(own: list[Block], labels: dict[int, str]) -> bool:
-    """Whether no block has known stop words: the language is another, and long blocks are good."""
-    if _chars(own, labels):
-        return False
+def _let_length_decide(own: list[Block], labels: dict[int, str]) -> None:
+    """Where more text has few stop words than has many, the page's language has no list of them,
+    and all that is neither short nor linked is taken for running text."""
+    if _chars(own, labels, ("plain", "long")) > _chars(own, labels, ("good", "near")):
+        for b in own:
+            if labels[id(b)] == "plain":
+                labels[id(b)] = "long"
+
+
+def _around(blocks: list[Block]) -> list[Part]:
+    """All parts that hold any of the blocks, each after the one around it."""
+    found: dict[Part, None] = {}
+    for b in blocks:
+        way = []
+        part: Part | None = b.part
+        while part is not None and part not in found:
+            way.append(part)
+            part = part.around
+        found.update(dict.fromkeys(reversed(way)))
+    return list(found)
+
+
+def _largest_main(parts: list[Part], own: list[Block], labels: dict[int, str]) -> tuple[Part | None, int]:
+    """The article with the most running text, and its code points."""
+    chars = dict.fromkeys(parts, 0)
     for b in own:
-        if len(b.text) > SHORT_CHARS and not _is_linked(b):
-            labels[id(b)] = "good"
-    return True
+        if labels[id(b)] in _RUNNING:
+            chars[b.part] += len(b.text)
+    for part in reversed(parts):
+        if part.around is not None:
+            chars[part.around] += chars[part]
+    mains = [p for p in parts if p.name in _MAIN]
+    largest = max(mains, key=lambda p: chars[p], default=None)
+    return largest, chars[largest] if largest else 0
 
 
 def _set_named_apart(own: list[Block], labels: dict[int, str]) -> list[Block]:
@@ -230,29 +391,35 @@ def _set_named_apart(own: list[Block], labels: dict[int, str]) -> list[Block]:
     Such a name counts for nothing around the largest article, if that has more running text than
     all that stands in no such part, and nowhere if running text stands in such parts alone.
     """
-    if not any(p.named for b in own for p in b.parts):
+    parts = _around(own)
+    if not any(p.named for p in parts):
         return own
-    outside = [b for b in own if not any(p.named for p in b.parts)]
-    mains: dict[int, list[Block]] = {}
-    for b in own:
-        for p in b.parts:
-            if p.name in _MAIN:
-                mains.setdefault(id(p), []).append(b)
-    freed: set[int] = set()
-    if mains:
-        largest = max(mains, key=lambda i: _chars(mains[i], labels))
-        ids = {id(b) for b in mains[largest]}
-        rest = [b for b in outside if id(b) not in ids]
-        if _chars(mains[largest], labels) > _chars(rest, labels):
-            around = mains[largest][0].parts
-            freed = {id(p) for p in around[: [id(p) for p in around].index(largest)]}
-    kept = [b for b in own if not any(p.named and id(p) not in freed for p in b.parts)]
-    if not _chars([b for b in kept if not b.hints()], labels) and _chars(own, labels):
+    largest, chars = _largest_main(parts, own, labels)
+
+    def inherited(holds: Callable[[Part], bool]) -> dict[Part | None, bool]:
+        found: dict[Part | None, bool] = {None: False}
+        for p in parts:
+            found[p] = holds(p) or found[p.around]
+        return found
+
+    named = inherited(lambda p: p.named)
+    freed: set[Part] = set()
+    if largest:
+        inside = inherited(lambda p: p is largest)
+        rest = [b for b in own if not named[b.part] and not inside[b.part]]
+        if chars > _chars(rest, labels):
+            around = largest.around
+            while around is not None:
+                freed.add(around)
+                around = around.around
+    set_apart = inherited(lambda p: p.named and p not in freed)
+    kept = [b for b in own if not set_apart[b.part]]
+    if not _chars([b for b in kept if not b.hints], labels) and _chars(own, labels):
         return own
     return kept
 
 
-def _drop_hinted(own: list[Block], labels: dict[int, str], known: bool) -> list[Block]:
+def _drop_hinted(own: list[Block], labels: dict[int, str]) -> list[Block]:
     """``own`` without blocks whose part has a hint, unless their densities say good.
 
     A hint under which long running text stands that makes half of the page tells of the layout,
@@ -260,12 +427,12 @@ def _drop_hinted(own: list[Block], labels: dict[int, str], known: bool) -> list[
     """
     under: dict[str, int] = {}
     for b in own:
-        if labels[id(b)] in ("good", "near"):
-            for w in b.hints():
+        if labels[id(b)] in _RUNNING:
+            for w in b.hints:
                 under[w] = under.get(w, 0) + len(b.text)
     half = sum(len(b.text) for b in own if not _is_linked(b)) / 2
     void = {w for w, n in under.items() if n >= half and n > LONG_CHARS}
-    return [b for b in own if not b.hints() - void or (known and labels[id(b)] == "good")]
+    return [b for b in own if not b.hints - void or labels[id(b)] == "good"]
 
 
 def classify(blocks: list[Block]) -> None:
@@ -274,17 +441,17 @@ def classify(blocks: list[Block]) -> None:
     First pass: link density, length and density of stop words decide, but not in menus, forms
     and the like; names of classes, ids and roles count where the densities don't say otherwise.
     If articles hold most of the running text, only their blocks can be good, and are graded better
-    by one; else all blocks are judged alike. Second pass: undecided blocks take
-    the label of the nearest decided ones before and after. Where these differ, or the nearest
-    differ in kind, a rather good one is good and a short one is not, but a heading before a good
-    block is. Blocks outside the article, and set apart in it, are no neighbours of those inside.
+    by one; else all blocks are judged alike, rather good ones as good if no better ones are there.
+    Second pass: undecided blocks take the label of the nearest decided ones before and after. Where
+    these differ, a rather good one is good and another is not, but a heading before a good block
+    is. Blocks outside the article, and set apart in it, are no neighbours of those inside.
     """
     for b in blocks:
         b.good = False
     own = [b for b in blocks if not b.is_apart]
     by_id = {id(b): _by_density(b) for b in own}
-    known = not _let_length_decide(own, by_id)
-    own = _drop_hinted(_set_named_apart(own, by_id), by_id, known)
+    _let_length_decide(own, by_id)
+    own = _drop_hinted(_set_named_apart(own, by_id), by_id)
     _let_length_decide(own, by_id)
     inside = [b for b in own if b.in_main]
     if inside and 2 * _chars(inside, by_id) >= _chars(own, by_id):
@@ -294,7 +461,16 @@ def classify(blocks: list[Block]) -> None:
         in_play = {id(b) for b in own}
         own = blocks
         labels = [by_id[id(b)] if id(b) in in_play else "bad" for b in own]
-    decided = [None if x in ("near", "short") else x == "good" for x in labels]
+        if not {"good", "long"} & set(labels):  # no long paragraph: the best there is
+            labels = ["good" if x == "near" else x for x in labels]
+    for b, good in zip(own, inherited(labels, [b.name in _HEADINGS for b in own]), strict=True):
+        b.good = good
+
+
+def inherited(labels: list[str], headings: list[bool]) -> list[bool]:
+    """The second pass: whether each block is good, undecided ones by their nearest decided
+    neighbours; where no block is decided, all are good."""
+    decided = [None if x in ("near", "short", "plain") else x != "bad" for x in labels]
     before: list[bool | None] = []
     for x in decided:
         before.append(x if x is not None else before[-1] if before else None)
@@ -302,13 +478,16 @@ def classify(blocks: list[Block]) -> None:
     for x in reversed(decided):
         after.append(x if x is not None else after[-1] if after else None)
     after.reverse()
-    for k, b in enumerate(own):
-        if decided[k] is not None:
-            b.good = decided[k]
-            continue
-        near = {x for x in (before[k], after[k]) if x is not None}
-        heading = b.name in _HEADINGS and after[k] is True
-        b.good = True if not near else near == {True} or (len(near) == 2 and (labels[k] == "near" or heading))
+    out = []
+    for own, left, right, label, heading in zip(decided, before, after, labels, headings, strict=True):
+        near = {x for x in (left, right) if x is not None}
+        if own is not None:
+            out.append(own)
+        elif len(near) == 2:
+            out.append(label == "near" or (heading and right is True))
+        else:
+            out.append(near != {False})
+    return out
 
 
 def main_text(html: str) -> str:
