@@ -45,11 +45,13 @@ def with_columns(
     columns: dict[str, T.DataType],
     compute: Callable[[], Callable[[list[str], pa.RecordBatch], list]],
     text: str = "text",
+    chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """``docs`` with ``columns`` added, or put in the place of columns of the same names.
 
     ``compute()`` runs once in each task and gives a function from the texts of a slice (and the
     slice itself) to one list or Arrow array of values per column. Other columns pass unchanged.
+    A slice has at most ``chars`` code points of text, or one row.
     """
     fields = [f for f in docs.schema.fields if f.name not in columns]
     schema = T.StructType(fields + [T.StructField(n, t) for n, t in columns.items()])
@@ -59,7 +61,7 @@ def with_columns(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, text, chars):
                 added = [
                     v if isinstance(v, pa.Array) else pa.array(v, kind)
                     for v, kind in zip(work(texts, part), kinds, strict=True)

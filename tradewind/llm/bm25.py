@@ -14,7 +14,7 @@ K1, B = 1.2, 0.75
 #: Entries per block; each block of a term's list knows its largest score.
 BLOCK = 4
 #: Block maxima, and sums of them, that are laid out at a time for bounds over many passages.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 19
 
 
 @dataclass

@@ -30,6 +30,9 @@ LEAK_WORDS = 5
 #: Bytes of item text whose index goes to every task at a time; more items make more passes.
 ITEM_BYTES = 8 << 20
 
+#: Code points of text that a task searches at a time.
+SLICE_CHARS = 500_000
+
 #: ASCII characters that are neither letters nor digits become spaces, as do those listed below.
 _TO_SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _PUNCTUATION = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u303f]+")
@@ -218,7 +221,7 @@ def contaminated(
             detector = None
             for batch in batches:
                 detector = detector or Detector(*sent.value, least_score, least_overlap)
-                for rows, texts in slices(batch, "text"):
+                for rows, texts in slices(batch, "text", SLICE_CHARS):
                     ids = rows.column(0).to_pylist()
                     found = detector.found(texts)
                     yield pa.RecordBatch.from_arrays(
@@ -273,5 +276,6 @@ def flagged(
 
     docs = docs.drop(column)
     for k, sent in enumerate(_sent(items, item_bytes)):
-        docs = with_columns(docs, {column: T.BooleanType()}, passed(sent, k == 0))
+        work = passed(sent, k == 0)
+        docs = with_columns(docs, {column: T.BooleanType()}, work, chars=SLICE_CHARS)
     return docs
