@@ -16,7 +16,8 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from datetime import UTC, datetime
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,6 +34,10 @@ DIRECTORY_BYTES = 32 << 20
 LEAST_REVISIT = 1000
 #: Bytes read at a time from an archive.
 READ_BYTES = 4 << 20
+#: Compressed bytes of records that one task reads, about.
+PART_BYTES = 16 << 20
+#: Keys that one task looks up, about.
+PART_KEYS = 50_000
 
 _CAPTURES = (
     "page_id long, url string, key string, file string, offset long, length long"
@@ -55,24 +60,39 @@ def capture_key(url: str | None, page_id: int | None) -> str:
     return f"{','.join(reversed(host.split('.')))}){rest} {number}"
 
 
-def _record(kind: str, url: str, page_id, digest: str, size: int, payload: bytes, refers) -> bytes:
+def target_uri(url: str | None) -> str | None:
+    """``url`` as a header field can hold it: all but URI characters percent-encoded."""
+    return quote(url, safe="%/:?#[]@!$&'()*+,;=~") if url else None
+
+
+def _record(row: dict, captured: str) -> bytes:
+    """A page's record: an HTTP response with the payload, or for a revisit its head alone."""
+    revisit = row["refers"] is not None
+    payload = b"" if revisit else row["html"].encode()
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+    block = f"{http}Content-Length: {row['size']}\r\n\r\n".encode() + payload
+    digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
     fields = [
-        ("WARC-Type", kind),
+        ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
-        ("WARC-Target-URI", url),
-        ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
-        ("Content-Type", "text/html; charset=utf-8"),
-        ("Content-Length", str(len(payload))),
-        ("X-Payload-Length", str(size)),
-        ("X-Page-ID", "" if page_id is None else str(page_id)),
+        ("WARC-Date", captured),
+        ("WARC-Target-URI", target_uri(row["url"])),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Length", len(block)),
+        ("X-Payload-Length", row["size"]),
+        ("X-Page-ID", row["page_id"]),
+        ("X-Page-URL", json.dumps(row["url"])),  # as it was given
     ]
-    if kind == "revisit":
+    if revisit:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("X-Refers-To-Page", str(refers)),
+            ("WARC-Refers-To-Target-URI", target_uri(row["refers_url"])),
+            ("WARC-Refers-To-Date", captured),
+            ("X-Refers-To-Page", row["refers"]),
         ]
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields)
-    return f"WARC/1.1\r\n{head}\r\n".encode() + payload + b"\r\n\r\n"
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
+    return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
 def _parse(record: bytes) -> dict:
@@ -82,17 +102,17 @@ def _parse(record: bytes) -> dict:
         raise ValueError("not a WARC record")
     fields = dict(line.split(": ", 1) for line in lines[1:])
     size = int(fields["Content-Length"])
-    payload = rest[:size]
+    payload = rest[:size].partition(b"\r\n\r\n")[2]
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    if len(payload) != size or rest[size:] != b"\r\n\r\n":
+    if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("a record of another length than it says")
     response = fields["WARC-Type"] == "response"
     if response and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError("a payload of another digest than its record says")
-    page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page")
+    page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
     return {
         "page_id": int(page) if page else None,
-        "url": json.loads(fields["WARC-Target-URI"]),
+        "url": json.loads(fields["X-Page-URL"]),
         "record_type": fields["WARC-Type"],
         "payload_digest": digest,
         "payload_bytes": int(fields["X-Payload-Length"]),
@@ -118,8 +138,8 @@ class Archive:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, url, html, size, digest, refers``: a page that repeats a payload of ``least`` bytes
-    refers to the largest ``page_id`` that has it.
+    """``page_id, url, html, size, digest, refers, refers_url``: a page that repeats a payload of
+    ``least`` bytes refers to the largest ``page_id`` that has it, and to a URL of that page.
 
     Of equal rows with that ``page_id`` all stay responses. Sizes and digests are grouped without
     the pages; only repeated ones are joined back.
@@ -132,21 +152,32 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     repeated = (
         sized.where(F.col("size") >= least)
         .groupBy("digest", "size")
-        .agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+        .agg(F.max("page_id").alias("first"), F.count("*").alias("n"), F.max_by("url", "page_id").alias("first_url"))
         .where("n > 1")
         .drop("n")
     )
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return sized.join(repeated, ["digest", "size"], "left").withColumn("refers", refers).drop("first")
+    repeats = ~F.col("page_id").eqNullSafe(F.col("first"))
+    return (
+        sized.join(repeated, ["digest", "size"], "left")
+        .withColumn("refers", F.when(repeats, F.col("first")))
+        .withColumn("refers_url", F.when(repeats, F.col("first_url")))
+        .drop("first", "first_url")
+    )
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
+def write_archives(
+    pages: DataFrame, folder: str, least: int = LEAST_REVISIT, captured: datetime | None = None
+) -> DataFrame:
     """Writes a record per page into archives under ``folder``; the captures, as a written table.
 
+    ``captured`` is the date of all records, by default now.
+
     A task writes its archive under a name of its own, so a task that runs again leaves no
     mixed file; only archives that the captures name count.
     """
 
+    date = (captured or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _open(folder)
         store.create_dir(path, recursive=True)
@@ -156,17 +187,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
                 out = out or store.open_output_stream(f"{path}/{name}", compression=None)
-                revisit = row["refers"] is not None
-                record = _record(
-                    "revisit" if revisit else "response",
-                    json.dumps(row["url"]),
-                    row["page_id"],
-                    row["digest"],
-                    row["size"],
-                    b"" if revisit else row["html"].encode(),
-                    row["refers"],
-                )
-                member = gzip.compress(record, 6, mtime=0)
+                member = gzip.compress(_record(row, date), 6, mtime=0)
                 out.write(member)
                 rows.append(
                     {
@@ -263,7 +284,8 @@ def lookup(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
     spark = keys.sparkSession
     size = directory.agg(F.sum(F.length("first") + F.length("last") + 64)).first()[0] or 0
     parts = int(size // DIRECTORY_BYTES) + 1
-    wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    tasks = 1 + keys.count() // PART_KEYS
+    wanted = keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     found = None
     for part in range(parts):
         own = directory.where(F.pmod(F.xxhash64("file"), F.lit(parts)) == part).orderBy("first", "last")
@@ -305,7 +327,8 @@ def lookup(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
 def read_records(places: DataFrame, folder: str) -> DataFrame:
     """The records at these places, read by range. Payloads are checked against their digests.
 
-    Places are dealt by range of file and offset, so that a task reads stretches of few archives.
+    Places are written first: their lengths tell how many tasks the reading takes. They are dealt
+    by range of file and offset, so that a task reads stretches of few archives.
     """
     kinds = (
         "page_id long, url string, record_type string, payload_digest string, "
@@ -333,8 +356,10 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
 
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(run, kinds)
+    places = written(places)
+    tasks = 1 + (places.agg(F.sum("length")).first()[0] or 0) // PART_BYTES
+    dealt = places.repartitionByRange(tasks, "file", "offset")
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, kinds)
 
 
 _RECORD_SCHEMA = pa.schema(
