@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import log
@@ -27,11 +28,16 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """A license's label, a notice that states it, and the phrase the notice can't do without."""
+    """A license's label, a notice that states it, and the phrase the notice can't do without.
+
+    ``unless`` is the label of a license whose notice holds this one: beside it, this one says
+    nothing of its own.
+    """
 
     label: str
     notice: str
     key: str
+    unless: str = ""
 
 
 #: Phrases each of whose places counts, with their labels.
@@ -41,88 +47,88 @@ BASE = (
     ("cc-by-nc", "cc by nc"),
 )
 
+#: How the licenses are called, version included, by label.
+NAMES = {
+    "mit": ("mit license", "mit x11 license", "expat license", "terms of the mit license"),
+    "apache-2": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0"),
+    "gpl-2": ("general public license version 2", "general public license v2", "gpl version 2", "gpl v2", "gplv2", "gpl 2 0"),
+    "gpl-3": ("general public license version 3", "general public license v3", "gpl version 3", "gpl v3", "gplv3", "gpl 3 0"),
+    "lgpl-2.1": ("lesser general public license version 2 1", "lesser general public license v2 1", "lgpl version 2 1", "lgpl v2 1", "lgplv2 1", "lgpl 2 1"),
+    "lgpl-3": ("lesser general public license version 3", "lesser general public license v3", "lgpl version 3", "lgpl v3", "lgplv3", "lgpl 3 0"),
+    "agpl-3": ("affero general public license version 3", "affero general public license v3", "agpl version 3", "agpl v3", "agplv3", "agpl 3 0"),
+    "bsd-2": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "two clause bsd license"),
+    "bsd-3": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "three clause bsd license"),
+    "mpl-2": ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"),
+    "isc": ("isc license",),
+    "zlib": ("zlib license", "zlib libpng license"),
+    "unlicense": ("unlicense",),
+    "epl-2": ("eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license 2 0", "epl 2 0"),
+    "bsl-1": ("boost software license version 1 0", "boost software license 1 0"),
+    "cc0-1": ("cc0 1 0", "creative commons zero 1 0"),
+    "cc-by": ("cc by 4 0", "cc by 3 0", "creative commons attribution 4 0", "creative commons attribution 3 0"),
+    "cc-by-sa": ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"),
+    "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs"),
+    "wtfpl": ("do what the fuck you want to public license", "wtfpl"),
+}
+#: The identifiers of the SPDX list, as words, by label.
+IDENTIFIERS = {
+    "mit": "mit", "apache-2": "apache 2 0", "gpl-2": "gpl 2 0", "gpl-3": "gpl 3 0", "lgpl-2.1": "lgpl 2 1",
+    "lgpl-3": "lgpl 3 0", "agpl-3": "agpl 3 0", "bsd-2": "bsd 2 clause", "bsd-3": "bsd 3 clause",
+    "mpl-2": "mpl 2 0", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "epl-2": "epl 2 0",
+    "bsl-1": "bsl 1 0", "cc0-1": "cc0 1 0", "cc-by": "cc by 4 0", "cc-by-sa": "cc by sa 4 0",
+    "cc-by-nc": "cc by nc 4 0", "cc-by-nd": "cc by nd 4 0", "wtfpl": "wtfpl",
+}
+#: How a work says what it is licensed under.
+STATEMENTS = ("licensed under", "released under", "distributed under", "available under", "published under",
+              "covered by", "under the terms of", "dedicated to the public domain under")
+_GNU_KINDS = {"gpl": "", "lgpl": "lesser", "agpl": "affero"}
+_OF_GNU = ("gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3")
+
+
+def _gnu_header(name: str, version: str) -> tuple[str, str]:
+    key = (
+        f"gnu {name} as published by the free software foundation either version {version} of the license"
+    )
+    return f"it under the terms of the {key} or at your option any later version", key
+
+
 #: Sentences of public license notices.
-TEMPLATES = (
-    Template("mit", "released under the mit license", "the mit license"),
+NOTICES = (
     Template(
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software "
         "and associated documentation files the software to deal in the software without restriction",
         "permission is hereby granted free of charge to any person obtaining a copy",
     ),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     Template(
         "apache-2",
         "you may not use this file except in compliance with the license you may obtain a copy of the "
         "license at http www apache org licenses license 2 0",
         "www apache org licenses license 2 0",
     ),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template(
-        "cc-by-nc",
-        "licensed under a creative commons attribution noncommercial 4 0 international license",
-        "creative commons attribution noncommercial",
-    ),
-    Template("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    Template(
-        "cc-by",
-        "licensed under a creative commons attribution 4 0 international license",
-        "creative commons attribution 4 0",
-    ),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template(
-        "cc-by-sa",
-        "licensed under a creative commons attribution sharealike 4 0 international license",
-        "creative commons attribution sharealike",
-    ),
-    Template("cc0-1", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
-    Template(
-        "gpl-3",
-        "this work is licensed under the gnu general public license version 3",
-        "gnu general public license version 3",
-    ),
-    Template(
-        "gpl-3",
-        "under the terms of the gnu general public license as published by the free software "
-        "foundation either version 3 of the license or at your option any later version",
-        "either version 3 of the license",
-    ),
-    Template(
-        "gpl-2",
-        "this work is licensed under the gnu general public license version 2",
-        "gnu general public license version 2",
-    ),
-    Template(
-        "lgpl-3",
-        "licensed under the gnu lesser general public license version 3",
-        "gnu lesser general public license version 3",
-    ),
-    Template(
-        "lgpl-2.1",
-        "licensed under the gnu lesser general public license version 2 1",
-        "gnu lesser general public license version 2 1",
-    ),
-    Template(
-        "agpl-3",
-        "licensed under the gnu affero general public license version 3",
-        "gnu affero general public license version 3",
-    ),
+    Template("gpl-2", *_gnu_header("general public license", "2")),
+    Template("gpl-3", *_gnu_header("general public license", "3")),
+    Template("lgpl-2.1", *_gnu_header("lesser general public license", "2 1")),
+    Template("lgpl-3", *_gnu_header("lesser general public license", "3")),
+    Template("agpl-3", *_gnu_header("affero general public license", "3")),
     Template(
         "bsd-3",
-        "neither the name of the copyright holder nor the names of its contributors may be used to "
-        "endorse or promote products derived from this software without specific prior written permission",
+        "may be used to endorse or promote products derived from this software without specific prior "
+        "written permission",
         "may be used to endorse or promote products derived from this software",
     ),
     Template(
-        "bsd",
+        "bsd-2",
         "redistribution and use in source and binary forms with or without modification are permitted "
         "provided that the following conditions are met",
-        "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        unless="bsd-3",
     ),
     Template(
         "mpl-2",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
-        "mozilla public license v 2 0",
+        "subject to the terms of the mozilla public license v 2 0",
     ),
     Template(
         "isc",
@@ -130,17 +136,46 @@ TEMPLATES = (
         "fee is hereby granted",
         "permission to use copy modify and or distribute this software for any purpose",
     ),
+    Template(
+        "zlib",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being "
+        "the original software",
+        "altered source versions must be plainly marked as such",
+    ),
     Template(
         "unlicense",
         "this is free and unencumbered software released into the public domain",
         "free and unencumbered software released into the public domain",
     ),
-    Template("epl-2", "under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
-    Template("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
     Template(
-        "wtfpl", "do what the fuck you want to public license", "do what the fuck you want to public license"
+        "bsl-1",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of "
+        "the software and accompanying documentation covered by this license",
+        "free of charge to any person or organization obtaining a copy",
     ),
-)
+)
+
+
+def _stated() -> Iterator[Template]:
+    """Statements of every license by each of its names, and its identifier line."""
+    for label, names in NAMES.items():
+        for name in names:
+            own = [name, f"gnu {name}"] if label in _OF_GNU else [name]
+            for called in own:
+                for said in STATEMENTS:
+                    for article in ("the ", "a ", ""):
+                        key = f"{said} {article}{called}"
+                        yield Template(label, f"this work is {said} the {called}", key)
+    for label, words in IDENTIFIERS.items():
+        key = f"spdx license identifier {words}"
+        yield Template(label, key, key)
+        if label in _OF_GNU:  # its title, as "GNU General Public License v3.0"
+            kind, _, version = words.partition(" ")
+            title = f"gnu {_GNU_KINDS[kind]} general public license v{version}".replace("  ", " ")
+            yield Template(label, title, title)
+
+
+TEMPLATES = (*NOTICES, *_stated())
 
 #: Words of a key phrase, the rarest first, that are looked up.
 ANCHORS = 3
@@ -155,6 +190,29 @@ def _places(words: list[bytes], phrase: list[bytes], starts: Iterable[int]) -> l
     return [s for s in starts if s >= 0 and words[s : s + n] == phrase]
 
 
+def _in_order(notice: list[bytes], near: list[bytes], rarity: dict[bytes, float]) -> float:
+    """The most that words of ``notice`` can weigh which stand in ``near`` in the same order."""
+    best = [0.0] * (len(near) + 1)
+    for word in notice:
+        before = 0.0
+        for k, other in enumerate(near, 1):
+            above = best[k]
+            best[k] = max(above, best[k - 1], before + rarity[word] if word == other else 0.0)
+            before = above
+    return best[-1]
+
+
+@dataclass(frozen=True)
+class Notice:
+    """A notice that was found: where its key phrase stands, and its share by rarity."""
+
+    start: int
+    end: int
+    label: str
+    share: float
+    unless: str = ""
+
+
 class LicenseIndex:
     """Postings ``word -> (phrase or notice, place)`` for the rarest words of each."""
 
@@ -165,56 +223,87 @@ class LicenseIndex:
             return log((n_docs + 1) / (spread.get(word.decode(), 0) + 0.5))
 
         self.base = [(label, words_of(phrase)) for label, phrase in BASE]
-        self.templates = [(t.label, words_of(t.notice), words_of(t.key)) for t in templates]
-        self.rarity = {w: rarity(w) for _, *own in self.templates for ws in own for w in ws}
+        self.templates = [(t, words_of(t.notice), words_of(t.key)) for t in templates]
+        self.rarity = {w: max(1e-9, rarity(w)) for _, *own in self.templates for ws in own for w in ws}
         self.base_at: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, phrase) in enumerate(self.base):
             rarest = max(range(len(phrase)), key=lambda i: (rarity(phrase[i]), i))
             self.base_at.setdefault(phrase[rarest], []).append((k, rarest))
-        self.notice_at: dict[bytes, list[tuple[int, int]]] = {}
-        self.ranked: list[frozenset[bytes]] = []
-        for k, (_, notice, key) in enumerate(self.templates):
+        self.notice_at: dict[bytes, list[tuple[int, list[int]]]] = {}
+        self.anchors: list[frozenset[bytes]] = []
+        gate = set(self.base_at)
+        for k, (_, _, key) in enumerate(self.templates):
             # The key phrase can't be missing, so its rarest words find every notice.
             ranked = sorted(set(key), key=lambda w: (-self.rarity[w], w))[:ANCHORS]
-            self.ranked.append(frozenset(ranked))
-            (first, *_) = _places(notice, key, range(len(notice)))
-            for i, word in enumerate(key):
-                if word in ranked:
-                    self.notice_at.setdefault(word, []).append((k, first + i))
-        self.anchors = frozenset(self.base_at) | frozenset(self.notice_at)
-
-    def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, str, float]]]:
-        """The number of words, the base phrases' places, and the notices' ``(place, label, share)``."""
+            self.anchors.append(frozenset(ranked))
+            gate.add(ranked[0])
+            for word in ranked:
+                places = [i for i, w in enumerate(key) if w == word]
+                self.notice_at.setdefault(word, []).append((k, places))
+        #: A text without any of these holds no phrase and no notice.
+        self.gate = frozenset(gate)
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[Notice]]:
+        """The number of words, the base phrases' places, and the notices."""
         words = words_of(text)
-        if self.anchors.isdisjoint(words):
+        if self.gate.isdisjoint(words):
             return len(words), [], []
-        base: list[tuple[int, str]] = []
-        votes: dict[tuple[int, int], set[bytes]] = {}
+        at: dict[bytes, list[int]] = {}
         for i, word in enumerate(words):
-            if word not in self.anchors:
-                continue
-            for k, offset in self.base_at.get(word, ()):
+            if word in self.notice_at or word in self.base_at:
+                at.setdefault(word, []).append(i)
+        base: list[tuple[int, str]] = []
+        for word, found in self.base_at.items():
+            for k, offset in found:
                 label, phrase = self.base[k]
-                base += [(s, label) for s in _places(words, phrase, (i - offset,))]
-            for k, offset in self.notice_at.get(word, ()):
-                votes.setdefault((k, i - offset), set()).add(word)
-        return len(words), sorted(base), self._verified(words, votes)
-
-    def _verified(self, words: list[bytes], votes: dict) -> list[tuple[int, str, float]]:
+                base += [(s, label) for s in _places(words, phrase, (i - offset for i in at.get(word, ())))]
+        return len(words), sorted(base), self._told(self._verified(words, self._candidates(at)))
+
+    def _candidates(self, at: dict[bytes, list[int]]) -> Iterator[tuple[int, set[int]]]:
+        """Templates and where their key phrases may begin: the text's license words, the rarest
+        first, are looked up, and their postings intersected by relative position."""
+        own = sorted((w for w in at if w in self.notice_at), key=lambda w: (-self.rarity[w], w))
+        starts: dict[int, set[int]] = {}
+        seen: Counter[int] = Counter()
+        for word in own:
+            for k, offsets in self.notice_at[word]:
+                if k in starts and not starts[k]:
+                    continue
+                here = {i - o for i in at[word] for o in offsets}
+                starts[k] = starts[k] & here if k in starts else here
+                seen[k] += 1
+        for k, found in starts.items():
+            if found and seen[k] == len(self.anchors[k]):
+                yield k, found
+
+    def _verified(self, words: list[bytes], candidates: Iterable[tuple[int, set[int]]]) -> list[Notice]:
         found = []
-        for (k, start), anchors in votes.items():
-            label, notice, key = self.templates[k]
-            if anchors < self.ranked[k]:  # postings must agree on where the notice begins
-                continue
-            low, high = max(0, start - DRIFT), start + len(notice) + DRIFT
-            if not _places(words, key, range(low, max(low, high - len(key) + 1))):
-                continue
-            near = set(words[low:high])
-            whole = sum(self.rarity[w] for w in set(notice))
-            share = sum(self.rarity[w] for w in set(notice) & near) / whole if whole > 0 else 1.0
-            if share >= LEAST_SHARE:
-                found.append((max(0, start), label, min(1.0, max(0.0, share))))
-        return sorted(found)
+        for k, starts in candidates:
+            template, notice, key = self.templates[k]
+            # Statements put another article into the key phrase than the notice has.
+            within = (_places(notice, key, range(len(notice))) or [max(0, len(notice) - len(key))])[0]
+            whole = sum(self.rarity[w] for w in notice)
+            for start in _places(words, key, starts):
+                low = max(0, start - within - DRIFT)
+                high = start + max(len(notice) - within, len(key)) + DRIFT
+                share = _in_order(notice, words[low:high], self.rarity) / whole
+                if share >= LEAST_SHARE:
+                    share = min(1.0, round(share, 12))
+                    found.append(Notice(start, start + len(key), template.label, share, template.unless))
+        return found
+
+    def _told(self, found: list[Notice]) -> list[Notice]:
+        """The notices without those that stand within another's key phrase, that say the same at
+        the same place, or that another license's notice holds."""
+        labels = {n.label for n in found}
+        found.sort(key=lambda n: (n.start, -n.end, -n.share, n.label))
+        out: list[Notice] = []
+        reach = 0
+        for n in found:
+            if n.unless not in labels and n.end > reach:
+                out.append(n)
+                reach = n.end
+        return out
 
 
 def word_spread(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> DataFrame:
@@ -261,15 +350,16 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
             for value in texts:
                 n, base, notices = index.scan(value)
                 own = {label for _, label in base}
+                own_notices = {n.label for n in notices}
                 row = (
                     n,
                     len(base),
                     base[0][0] if base else None,
                     base[-1][0] if base else None,
                     ",".join(sorted(own)),
-                    ",".join(sorted(own | {label for _, label, _ in notices})),
-                    max((share for *_, share in notices), default=0.0),
-                    [{"word": s, "label": x, "share": y} for s, x, y in notices],
+                    ",".join(sorted(own | own_notices)),
+                    max((n.share for n in notices), default=0.0),
+                    [{"word": n.start, "label": n.label, "share": n.share} for n in notices],
                 )
                 for column, value_ in zip(out, row, strict=True):
                     column.append(value_)
