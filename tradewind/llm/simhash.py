@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.llm.batches import unused, with_columns
 from tradewind.scratch import written
 
-#: Members of a bucket's tree; larger buckets are cut into trees and blocks of queries.
+#: Members of a shard's tree, at most; larger shards are cut.
 TREE_MEMBERS = 4096
-#: Fingerprints of a bucket to aim at, on average.
-BUCKET = 64
+#: Members of a tree to aim at, on average.
+SHARD = 1024
+#: Times that a shard is cut by further bits.
+LEVELS = 3
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
 
@@ -134,55 +135,92 @@ def _links(keys: np.ndarray, rows: dict[str, np.ndarray], radius: int) -> tuple:
     return values[linked], values[label[linked]]
 
 
-def _blocks(radius: int, n: int) -> list[list[tuple[int, int]]]:
-    """Bit ranges per table: two fingerprints within the radius agree on all ranges of one table.
+def _split(bits: list[int], n: int) -> list[list[int]]:
+    """``bits`` in ``n`` runs of about one length."""
+    return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
 
-    Of ``radius + k`` ranges, at least k hold no differing bit. k grows with the number of
-    fingerprints until buckets are small on average.
+
+def _mask(bits: list[int]) -> int:
+    value = sum(1 << b for b in bits)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _tables(radius: int, n: int) -> list[list[int]]:
+    """Bits per table: two fingerprints within the radius agree on all bits of one table.
+
+    Of ``radius + k`` runs of bits, at least k hold no differing bit. k grows with the number of
+    fingerprints until trees are small enough on average.
     """
     k = 1
-    while n >> (64 * k // (radius + k)) > BUCKET and k < 4:
+    while n >> (64 * k // (radius + k)) > SHARD and k < 4:
         k += 1
-    m = radius + k
-    cuts = [64 * i // m for i in range(m + 1)]
-    return [[(cuts[i], cuts[i + 1]) for i in some] for some in combinations(range(m), k)]
+    runs = _split(list(range(64)), radius + k)
+    return [sorted(b for run in some for b in run) for some in combinations(runs, k)]
 
 
-def near_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
-    """``(a, b)``: links between different fingerprints (column ``fp``) that connect all those at
-    most ``radius`` bits apart. Each table's buckets are shards with BK-trees of bounded size."""
-    tables = _blocks(radius, n)
-    assert len(tables) == comb(radius + len(tables[0]), len(tables[0]))
+def _finer(tables: list[list[int]], radius: int) -> list[list[int]]:
+    """Tables that cut the shards of others: what agrees on a table's bits and lies within the
+    radius also agrees on one of ``radius + 1`` runs of the bits that are left."""
+    out = []
+    for bits in tables:
+        left = [b for b in range(64) if b not in set(bits)]
+        out += [sorted([*bits, *run]) for run in _split(left, radius + 1)]
+    return out
 
-    def key(ranges: list[tuple[int, int]]) -> Column:
-        mask = sum(((1 << (b - a)) - 1) << a for a, b in ranges)
-        return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    keyed = prints.select(
-        "fp",
-        F.posexplode(F.array(*[key(t) for t in tables])).alias("t", "key"),
-    )
-    large = (
-        keyed.groupBy("t", "key")
-        .count()
-        .where(F.col("count") > TREE_MEMBERS)
-        .select("t", "key", F.ceil(F.col("count") / TREE_MEMBERS).cast("int").alias("parts"))
-    )
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    spread = (
-        keyed.join(large, ["t", "key"], "left")
-        .fillna(1, ["parts"])
-        .withColumn("part", part)
-        # A bucket in parts: every part's tree meets every later part's queries, and its own.
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            F.xxhash64("t", "key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
+def _shards(prints: DataFrame, n: int, radius: int) -> DataFrame:
+    """``cell``, ``fp``, and whether a row belongs to the cell's tree and to its queries.
+
+    A shard is what agrees on a table's bits. Shards of more than ``TREE_MEMBERS`` fingerprints are
+    cut by further bits, ``LEVELS`` times at most, each time into ``radius + 1`` tables of much
+    smaller shards: rows grow in proportion to the members, not to their pairs. Only what is still
+    too large then, of fingerprints alike in nearly all bits, is cut into parts that meet pairwise.
+    """
+    tables = _tables(radius, n)
+    rows, width, found = prints.select("fp"), 0, None
+
+    def keyed(rows: DataFrame, first: int, tables: list[list[int]]) -> DataFrame:
+        """Each row under the tables that cut its shard: all at first, else its own."""
+        each = F.array(*[F.lit(_mask(t)) for t in tables])
+        of = F.sequence(F.lit(0), F.lit(len(tables) - 1))
+        if first:
+            of = F.sequence(F.col("t") * first, F.col("t") * first + (first - 1))
+        dealt = rows.select("fp", F.explode(of).alias("t"))
+        return dealt.select("fp", "t", F.col("fp").bitwiseAND(F.get(each, "t")).alias("key"))
+
+    for level in range(LEVELS + 1):
+        own = keyed(rows, width, tables)
+        large = written(
+            own.groupBy("t", "key").count().where(F.col("count") > TREE_MEMBERS)
+        )
+        cell = F.xxhash64(F.lit(level), "t", "key").alias("cell")
+        if large.isEmpty():
+            small = own.select(cell, "fp", F.lit(True).alias("tree"), F.lit(True).alias("ask"))
+            return small if found is None else found.unionByName(small)
+        small = own.join(large, ["t", "key"], "left_anti")
+        small = small.select(cell, "fp", F.lit(True).alias("tree"), F.lit(True).alias("ask"))
+        found = small if found is None else found.unionByName(small)
+        rows = written(own.join(large, ["t", "key"]))
+        if level < LEVELS:
+            tables, width = _finer(tables, radius), radius + 1
+    parts = F.ceil(F.col("count") / TREE_MEMBERS).cast("int")
+    part = F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part")
+    met = rows.select("t", "key", "fp", part, F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    pair = F.least("part", "other"), F.greatest("part", "other")
+    return found.unionByName(
+        met.select(
+            F.xxhash64(F.lit(LEVELS + 1), "t", "key", *pair).alias("cell"),
             "fp",
             (F.col("part") <= F.col("other")).alias("tree"),
             (F.col("part") >= F.col("other")).alias("ask"),
         )
     )
 
+
+def near_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
+    """``(a, b)``: links between different fingerprints (column ``fp``) that connect all those at
+    most ``radius`` bits apart, found in the BK-trees of the shards that these must share."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_cells(batches):
             a, b = _links(rows["cell"], rows, radius)
@@ -190,9 +228,8 @@ def near_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
                 [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
             )
 
-    return (
-        spread.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a long, b long")
-    ).distinct()
+    cells = _shards(prints, n, radius).repartition("cell").sortWithinPartitions("cell", "fp")
+    return cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def _whole_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
