@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
@@ -26,19 +28,26 @@ _STRETCH = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
 class _Words(dict):
-    """The ids of stretches, encoded as they are asked for."""
+    """The ids of stretches as bytes (32-bit integers), encoded as they are asked for."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self.model.stream(word)))
+        #: Stretches whose ids don't decode to them; all others are proven to.
+        self.changed: set[str] = set()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.model.within(word) if len(word) <= self.model.window else None
+        if ids is None:
+            ids = tuple(chain.from_iterable(self.model.stream(word)))
+            if b"".join(map(self.model.bytes_of, ids)) != word.encode():
+                self.changed.add(word)
+        packed = array("i", ids).tobytes()
         if len(word) <= LONG:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = packed
+        return packed
 
 
 class Model:
@@ -171,6 +180,27 @@ class Model:
                     found = True
         yield self._between(text, committed, n, last)
 
+    def within(self, text: str) -> tuple[int, ...] | None:
+        """The ids of a stretch no longer than the window, as :meth:`stream` gives them: nothing can
+        be certain before its end. They are pieces found in it, so they decode to it; None if some
+        character is in no piece."""
+        n = len(text)
+        last: list[int | None] = [None] * (n + 1)
+        last[0] = -1
+        meet = self._meet.get
+        for end, (size, right) in self._ends.iter(text):
+            if last[end + 1] is None and (left := last[end + 1 - size]) is not None:
+                apart = meet(left << 32 | right)
+                if self.meets(left, right) if apart is None else apart:
+                    last[end + 1] = right
+        out: list[int] = []
+        while n > 0:
+            if (piece := last[n]) is None:
+                return None
+            out.append(piece)
+            n -= self._sizes[piece]
+        return tuple(reversed(out))
+
     def _common(self, boundaries: list[int], last: dict[int, int], committed: int) -> int:
         paths = set(boundaries)
         while len(paths) > 1:
@@ -192,10 +222,24 @@ class Model:
 
     def encode(self, text: str) -> list[int]:
         """The ids that the library gives, without begin and end."""
+        return np.frombuffer(self.checked(text)[0], np.int32).tolist()
+
+    def checked(self, text: str) -> tuple[bytes, bool]:
+        """The ids of ``text`` as 32-bit integers, and whether they decode to it.
+
+        A stretch's ids are decoded when it is first encoded, so the text's need not be again: those
+        of proven stretches give the text back, but for the sign that stands for a space.
+        """
         if not text:
-            return []
+            return b"", True
         stretches = _STRETCH.findall(SPACE + text.replace(" ", SPACE))
-        return list(chain.from_iterable(map(self._words.__getitem__, stretches)))
+        packed = b"".join(map(self._words.__getitem__, stretches))
+        if self._words.changed or int.from_bytes(packed[:4], sys.byteorder) in self.byte_of:
+            return packed, self.decode(np.frombuffer(packed, np.int32).tolist()) == text
+        return packed, SPACE not in text
+
+    def bytes_of(self, i: int) -> bytes:
+        return self._bytes[i]
 
     def _piece_bytes(self, i: int) -> bytes:
         if i == self.unknown:
@@ -238,11 +282,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         def work(texts: list[str], _: pa.RecordBatch) -> list:
             offsets, flat, same = [0], [], []
             for value in texts:
-                ids = model.encode(value)
-                same.append(model.decode(ids) == value)
-                flat.append(np.array(ids, np.int32))
-                offsets.append(offsets[-1] + len(ids))
-            values = pa.array(np.concatenate(flat))
+                packed, lossless = model.checked(value)
+                same.append(lossless)
+                flat.append(packed)
+                offsets.append(offsets[-1] + len(packed) // 4)
+            values = pa.array(np.frombuffer(b"".join(flat), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             return [lists, np.diff(offsets).tolist(), same]
 
