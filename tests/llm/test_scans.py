@@ -221,3 +221,58 @@ def test_very_long_values(guesser, value):
     found = guess_spans(f"password: {value} end", [], guesser)
     assert time.perf_counter() - began < 20
     assert len(found) == (value[:2] != "aa") and all(f[3] <= 60 for f in found)
+
+
+# Tokens and pieces
+
+
+def test_one_very_long_word_keeps_to_the_memory(monkeypatch):
+    """The transducer starts anew within a word, from the state that it has reached."""
+    from tokenizers import Tokenizer
+
+    from tradewind.llm import token_counts
+
+    rng = random.Random(2)
+    word = "".join(rng.choices(string.ascii_letters, k=60_000))
+    path = token_counts.default_path()
+    wanted = len(Tokenizer.from_file(path).encode(word, add_special_tokens=False).ids)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 2_000)
+    monkeypatch.setattr(token_counts, "STRETCH", 512)
+    merger = token_counts.Merger(path)
+    assert merger.count(word.encode()) == wanted
+    assert len(merger._moves) <= 4_000 + 512 and len(merger._states) <= 4_000 + 514
+    assert merger.count(b"hello") == merger.count(b"hello") == 1
+
+
+def test_decode_of_messy_tables(spark):
+    from tradewind.llm import pieces
+
+    schema = "doc_id long, ids array<int>, text int, n_ids int"
+    ids = pieces.load(pieces.default_path()).encode("a bé \U0001f600")
+    rows = [(1, ids, 0, 0), (1, ids, 0, 0), (None, None, 0, 0), (2, [], 0, 0), (3, [None, *ids, None], 0, 0)]
+    table = spark.createDataFrame(rows, schema)
+    found = pieces.decode(table)
+    assert found.columns == ["doc_id", "ids", "n_ids", "text"]
+    assert sorted((str(r.doc_id), r.text) for r in found.collect()) == [
+        ("1", "a bé \U0001f600"), ("1", "a bé \U0001f600"), ("2", ""), ("3", "a bé \U0001f600"), ("None", ""),
+    ]
+    assert pieces.decode(table.limit(0)).collect() == []
+
+
+def test_stretches_of_all_lengths_have_the_librarys_ids(monkeypatch):
+    """Short stretches, long ones, characters without a piece, and the sign for a space."""
+    import sentencepiece
+
+    from tradewind.llm import pieces
+
+    path = pieces.default_path()
+    model = pieces.Model(path)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(12)
+    signs = ["a", "the", "ing", " ", "  ", "é", "▁", "\U0001f600", "中", "\n", "zq", "1", "ก", "x" * 30]
+    for _ in range(400):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 40)))
+        packed, lossless = model.checked(text)
+        ids = model.encode(text)
+        assert ids == library.encode(text) and len(packed) == 4 * len(ids)
+        assert lossless == (model.decode(ids) == text)

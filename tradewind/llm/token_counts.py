@@ -20,6 +20,8 @@ from tradewind.llm.batches import with_columns
 CHUNK = 2048
 #: Words and transitions that a task remembers; when so many are held, it starts anew.
 REMEMBERED = 400_000
+#: Bytes of a word between looks at how much is remembered.
+STRETCH = 1 << 16
 
 # The splitter's input classes. Letters that take part in "'s 't 'm 'd 're 've 'll" have their own.
 SPACE, WHITE, NUMBER, QUOTE, OTHER, LETTER, ONE, R, V, E, L, END = range(12)
@@ -188,13 +190,18 @@ class Merger:
         known = self.known.get(word)
         if known is not None:
             return known
-        if len(self.known) + len(self._moves) >= 2 * REMEMBERED:
-            self._reset()
         state = total = 0
-        moves = self._moves.get
-        for byte in word:
-            state, change = moves(state << 8 | byte) or self._compile(state, byte)
-            total += change
+        for start in range(0, len(word), STRETCH):
+            if len(self.known) + len(self._moves) >= 2 * REMEMBERED:
+                reached = self._states[state]
+                self._reset()
+                state = self._number.setdefault(reached, len(self._states))
+                if state:
+                    self._states.append(reached)
+            moves = self._moves.get
+            for byte in word[start : start + STRETCH]:
+                state, change = moves(state << 8 | byte) or self._compile(state, byte)
+                total += change
         if len(word) <= 64:
             self.known[word] = total
         return total
