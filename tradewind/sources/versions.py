@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,9 +145,13 @@ class Commit:
         listed.coalesce(1).write.parquet(f"{self.directory}/versions/{listing}")
         system, folder = _versions_folder(self.spark, self.directory)
         pointer = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:08d}")
+        conflict = VersionConflict(f"version {number} of {self.directory} was published meanwhile")
         if system.exists(pointer):
-            raise VersionConflict(f"version {number} of {self.directory} was published meanwhile")
-        out = system.create(pointer, False)  # an error if the file is there by now
+            raise conflict
+        try:
+            out = system.create(pointer, False)  # an error if the file is there by now
+        except Py4JJavaError as error:
+            raise (conflict if system.exists(pointer) else error) from error
         out.writeBytes(listing)
         out.close()
         return Version(self.spark, self.directory, number, listing)
