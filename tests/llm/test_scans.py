@@ -276,3 +276,13 @@ def test_stretches_of_all_lengths_have_the_librarys_ids(monkeypatch):
         ids = model.encode(text)
         assert ids == library.encode(text) and len(packed) == 4 * len(ids)
         assert lossless == (model.decode(ids) == text)
+
+
+def test_a_long_text_full_of_license_words():
+    """Words that every notice has are not looked up for notices whose rarer words are missing."""
+    spread = {w: n for n, w in enumerate("boost gnu zlib mit general public version under the of license".split(), 1)}
+    index = LicenseIndex(spread, 1000)
+    text = "the license of the public under the version 2 of this license " * 100_000
+    began = time.perf_counter()
+    assert labels(index, text + HEADERS["gpl-2"] + text) == {"gpl-2"}
+    assert time.perf_counter() - began < 20

@@ -229,17 +229,19 @@ class LicenseIndex:
         for k, (_, phrase) in enumerate(self.base):
             rarest = max(range(len(phrase)), key=lambda i: (rarity(phrase[i]), i))
             self.base_at.setdefault(phrase[rarest], []).append((k, rarest))
-        self.notice_at: dict[bytes, list[tuple[int, list[int]]]] = {}
-        self.anchors: list[frozenset[bytes]] = []
+        #: For each word: the notices that are looked up by it, as which of their words (the rarest
+        #: is 0), and where it stands in their key phrases.
+        self.notice_at: dict[bytes, list[tuple[int, int, list[int]]]] = {}
+        self.n_anchors: list[int] = []
         gate = set(self.base_at)
         for k, (_, _, key) in enumerate(self.templates):
             # The key phrase can't be missing, so its rarest words find every notice.
             ranked = sorted(set(key), key=lambda w: (-self.rarity[w], w))[:ANCHORS]
-            self.anchors.append(frozenset(ranked))
+            self.n_anchors.append(len(ranked))
             gate.add(ranked[0])
-            for word in ranked:
+            for n, word in enumerate(ranked):
                 places = [i for i, w in enumerate(key) if w == word]
-                self.notice_at.setdefault(word, []).append((k, places))
+                self.notice_at.setdefault(word, []).append((k, n, places))
         #: A text without any of these holds no phrase and no notice.
         self.gate = frozenset(gate)
 
@@ -266,14 +268,15 @@ class LicenseIndex:
         starts: dict[int, set[int]] = {}
         seen: Counter[int] = Counter()
         for word in own:
-            for k, offsets in self.notice_at[word]:
-                if k in starts and not starts[k]:
-                    continue
-                here = {i - o for i in at[word] for o in offsets}
-                starts[k] = starts[k] & here if k in starts else here
+            here = set(at[word])
+            for k, n, offsets in self.notice_at[word]:
+                if n == 0:
+                    starts[k] = {i - o for i in here for o in offsets}
+                elif starts.get(k):  # rarer words of the notice have left few places
+                    starts[k] = {s for s in starts[k] if any(s + o in here for o in offsets)}
                 seen[k] += 1
         for k, found in starts.items():
-            if found and seen[k] == len(self.anchors[k]):
+            if found and seen[k] == self.n_anchors[k]:
                 yield k, found
 
     def _verified(self, words: list[bytes], candidates: Iterable[tuple[int, set[int]]]) -> list[Notice]:
