@@ -80,6 +80,7 @@ def test_the_catalog_lists_what_a_version_holds(spark, tmp_path):
     later = Commit(spark, directory, version)
     later.write("u", spark.range(3))  # never published
     register_tables(latest_version(spark, directory), schemas, "listed")
+    spark.range(5).createOrReplaceTempView("u")
     listing = rows(catalog_listing(spark, "listed"))
     # A partition column is listed with the columns that say where a row is stored.
     assert listing == [("e", 1, "id", "bigint", 0), ("t", 1, "id", "bigint", 10), ("t", 2, "s", "string", 10), ("u", 1, "id", "bigint", 4)]

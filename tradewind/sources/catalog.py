@@ -53,7 +53,8 @@ def catalog_listing(spark: SparkSession, database: str) -> DataFrame:
     """Tables of ``database`` in alphabetical order and their columns in declared order, with
     their types and the rows that the catalog's statistics know of. No table is read."""
     listed = []
-    for table in sorted(t.name for t in spark.catalog.listTables(database)):
+    stored = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]  # no views
+    for table in sorted(stored):
         described = spark.sql(f"DESCRIBE TABLE EXTENDED `{database}`.`{table}` AS JSON").first()[0]
         about = json.loads(described)
         rows = about.get("statistics", {}).get("num_rows")
