@@ -118,6 +118,42 @@ def test_sample_keeps_to_its_bound(spark):
     assert Counter(r.good for r in sample) == {True: 5, False: 5}
 
 
+def test_every_labelled_row_is_learnt(spark):
+    n = 14_400  # more than 10,000 of the label that most have
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 50, ' the') AS text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 100 = 0, 0, 1) AS quality")
+    kept = [i for i in range(n) if not held_out(i)]
+    sample = pairwise.labelled_sample(docs, labels)
+    assert Counter(r.good for r in sample.select("good").collect()) == Counter(i % 100 > 0 for i in kept)
+
+
+@pytest.mark.parametrize(("n_good", "n_bad", "block_rows"), [(23, 7, 5), (3, 40, 4), (9, 9, 100), (1, 6, 2)])
+def test_blocks_hold_every_row_and_give_the_fit(spark, n_good, n_bad, block_rows):
+    rng = random.Random(n_good)
+    ids = [i for i in range(200) if not held_out(i)][: n_good + n_bad]
+    texts = [(i, " ".join(rng.choices(["the", "a|", "B!", "word,", "12", "é.\n"], k=rng.randrange(1, 60)))) for i in ids]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(n < n_good)) for n, i in enumerate(ids)], "doc_id long, quality int")
+    rows = pairwise.written(pairwise.labelled_sample(docs, labels))
+    placed = pairwise.written(pairwise.partition_rows(rows, "good", "h", "x"))
+    numbered = pairwise.dense_numbers(placed)
+    packed = [r.rows for r in pairwise._blocks(numbered, n_good, n_bad, block_rows).collect()]
+    blocks = list(pairwise._unpacked([pairwise.pa.RecordBatch.from_pydict({"rows": pairwise.pa.array(packed, "binary")})]))
+    assert len(blocks) == -(-max(n_good, n_bad) // block_rows)
+    assert all(len(b.good) and len(b.bad) and len(b.good) + len(b.bad) <= 2 * block_rows + 1 for b in blocks)
+    known = Counter(tuple(r.x) for r in rows.collect())
+    assert Counter(tuple(x) for b in blocks for x in b.owned().tolist()) == known
+    # What Spark sums gives the model that one process finds from the same pairs.
+    found = pairwise.fit_ranker(docs, labels, block_rows=block_rows)
+    everything = np.array([list(x) for x, n in known.items() for _ in range(n)])
+    assert found.mean == pytest.approx(everything.mean(axis=0), abs=1e-9)
+    differences = np.vstack([b.differences(found.mean, found.scale) for b in blocks])
+    assert len(differences) == pairwise.PAIRS * max(n_good, n_bad)
+    assert found.weights == pytest.approx(pairwise.fit_pairs(differences), abs=1e-6)
+    cut = np.quantile(found.raw(everything), n_bad / (n_good + n_bad))
+    assert found.at_cut == pytest.approx(cut, abs=1e-6)
+
+
 # Divergence
 
 
