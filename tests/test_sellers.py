@@ -65,6 +65,24 @@ def test_numbers_beyond_one_bitmap(spark, tmp_path):
     ]
 
 
+def test_a_few_orders_take_little_room(spark):
+    """A seller's orders of a month take a row for each at most, not a whole bitmap."""
+    numbered = spark.range(1000).selectExpr(
+        "CAST(id AS string) AS order_id", "date'2018-01-01' AS month", "id * 32768 AS number"
+    )
+    items = spark.range(5000).selectExpr(
+        "if(id < 4000, CAST(id % 1000 AS string), NULL) AS order_id",
+        "if(id >= 4990, 'n', CAST(id % 100 AS string)) AS seller_id",
+        "CAST(1 AS decimal(12,2)) AS price",
+    )
+    months = ops.seller_months(items, numbered)
+    assert months.schema["orders"].dataType.typeName() == "long"
+    assert months.where("orders IS NOT NULL").count() == 1000
+    totals = {r.seller_id: (r.orders, r.revenue) for r in ops.seller_totals(months).collect()}
+    assert totals["n"] == (0, Decimal("10.00")) and totals["7"] == (10, Decimal("50.00"))
+    assert sum(n for n, _ in totals.values()) == 1000
+
+
 def test_the_catalog_lists_what_a_version_holds(spark, tmp_path):
     directory = str(tmp_path / "d")
     schemas = {}

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tradewind.functions import amount, month_of, partition_rows, top_k
 from tradewind.model import TOP_ROWS
 
+#: Numbers in a word of a bitmap.
+_WORD_BITS = 64
+
 
 def placed_orders(order_items: DataFrame, orders: DataFrame) -> DataFrame:
     """The orders that items name, with their ``month``, laid out to be numbered by purchase time
@@ -25,18 +28,23 @@ def placed_orders(order_items: DataFrame, orders: DataFrame) -> DataFrame:
 
 def seller_months(order_items: DataFrame, numbered_orders: DataFrame) -> DataFrame:
     """Each seller's orders and revenue by month: the orders as bitmaps of their numbers, one for
-    each ``bucket`` of 32,768 numbers that any of them falls into.
+    each ``bucket`` of 32,768 numbers that any of them falls into, held in words of 64 numbers.
 
-    Bitmaps of several rows are united by ``bitmap_or_agg``, so an order counts once however many
-    of its items, or rows of this table, name it. Tasks unite their own before the shuffle.
+    Only the words that hold an order are rows, so that a seller of few orders a month takes a
+    row for each and one of many a row for up to 64. Words of several rows are united by
+    ``bit_or``, so an order counts once however many of its items, or rows of this table, name
+    it. Tasks unite their own before the shuffle.
     """
     per_order = order_items.groupBy("seller_id", "order_id").agg(F.sum("price").alias("price"))
     numbered = per_order.join(numbered_orders.select("order_id", "month", "number"), "order_id", "left")
-    bit = F.col("number") + 1  # buckets of bitmaps begin at 1
+    number = F.col("number")
     return numbered.groupBy(
-        "seller_id", "month", F.bitmap_bucket_number(bit).alias("bucket")
+        "seller_id",
+        "month",
+        F.bitmap_bucket_number(number + 1).alias("bucket"),  # buckets of bitmaps begin at 1
+        (F.bitmap_bit_position(number + 1) / _WORD_BITS).cast("int").alias("word"),
     ).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("orders"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (number % _WORD_BITS).cast("int"))).alias("orders"),
         F.sum("price").alias("revenue"),
     )
 
@@ -44,11 +52,11 @@ def seller_months(order_items: DataFrame, numbered_orders: DataFrame) -> DataFra
 def seller_totals(months: DataFrame) -> DataFrame:
     """Distinct orders and revenue per seller over all rows of :func:`seller_months` given, be
     they of one month, of some or of all."""
-    per_bucket = months.groupBy("seller_id", "bucket").agg(
-        F.bitmap_count(F.bitmap_or_agg("orders")).alias("orders"), F.sum("revenue").alias("revenue")
+    per_word = months.groupBy("seller_id", "bucket", "word").agg(
+        F.bit_count(F.bit_or("orders")).alias("orders"), F.sum("revenue").alias("revenue")
     )
-    return per_bucket.groupBy("seller_id").agg(
-        F.sum("orders").alias("orders"), amount(F.sum("revenue")).alias("revenue")
+    return per_word.groupBy("seller_id").agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"), amount(F.sum("revenue")).alias("revenue")
     )
 
 
