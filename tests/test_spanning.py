@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,27 @@ def test_many_tasks_read_one_file(spark, tmp_path):
     assert found == in_order(read_csv(spark, str(path), reviews, multi_line=True).collect())
 
 
+@pytest.mark.parametrize("size", [400, 1 << 27])
+@pytest.mark.parametrize("rows", [1, 3, 64])
+def test_records_go_on_from_batch_to_batch(spark, tmp_path, rows, size):
+    path = hostile(tmp_path / "feed", 3)
+    expected = in_order(read_csv(spark, path, schema(), multi_line=True).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        with split_size(spark, size):
+            assert in_order(read_spanning_csv(spark, path, schema(), NULL_MARK).collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_task_orders_the_lines_of_a_block(spark, tmp_path):
+    path = hostile(tmp_path / "feed", 1)
+    found = read_spanning_csv(spark, path, schema(), NULL_MARK)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [line for line in plan if "Window [" in line]
+    assert windows and not any(re.search(r"\b(at|line|value)#", line) for line in windows)
+
+
 def test_a_record_longer_than_blocks(spark, tmp_path):
     path = tmp_path / "l.csv"
     long = "\n".join("y" * 50 for _ in range(200))

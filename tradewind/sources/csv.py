@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.model import TABLES, Tables
-from tradewind.sources.spanning import read_spanning_csv, records, rejected_records
+from tradewind.sources.spanning import numbered_records, read_spanning_csv, rejected_records
 
 
 def feed_file(table: str, prefix: str = "", suffix: str = "") -> str:
@@ -119,7 +119,8 @@ def feed_inventory(
     for name in TABLES:
         path = f"{directory}/{feed_file(name, prefix, suffix)}"
         try:
-            rows = records(spark, path).agg(F.count("*").alias("records"))
+            found, _ = numbered_records(spark, path)
+            rows = found.agg(F.count("*").alias("records"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

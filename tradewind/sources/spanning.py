@@ -1,13 +1,20 @@
 """CSV files whose records span lines, read in splits.
 
 A line break belongs to a value exactly if an odd number of quotes stands before it in its file.
-Every block of a file numbers its lines and counts its quotes on its own; from what the blocks come
-to, each block learns whether it begins inside quotes and, if so, where the record at hand began.
-Lines are then put together to records, which Spark's CSV parser reads one by one.
+Every block of a file counts its lines and quotes on its own; from what the blocks come to, each
+block learns whether it begins inside quotes and, if so, where the record at hand began. Lines with
+an odd number of quotes then tell which lines a block shares with its neighbours: only these are
+shuffled. All others are put together to records where they are read, in order, a batch at a time.
+Spark's CSV parser reads the records one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,43 +23,36 @@ from pyspark.sql import types as T
 _QUOTED = "\u0002"
 
 
-def _numbered(spark: SparkSession, path: str, *columns: Column) -> DataFrame:
-    """Lines with their number in their block and ``within``: whether an odd number of quotes of
-    the block stands before the line. A block is one split, so no task orders more than that."""
+def _lines(text: DataFrame) -> DataFrame:
+    """Lines with their file and block; ``at`` rises by one from each line of a block to the next,
+    and ``odd`` tells whether the line holds an odd number of quotes."""
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),  # rises along a block's lines
-            quotes.alias("quotes"),
-            F.endswith("value", F.lit("\r")).alias("returns"),
-            *columns,
-        )
-    )
-    order = Window.partitionBy("file", "block").orderBy("at")
-    return (
-        lines.withColumn("line", F.row_number().over(order).cast("long"))
-        .withColumn("within", (F.sum("quotes").over(order) - F.col("quotes")) % 2 == 1)
-        .withColumn("odd", F.col("quotes") % 2 == 1)
-        .drop("at", "quotes")
+    return text.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        (quotes % 2 == 1).alias("odd"),
+        "value",
     )
 
 
-def _blocks(numbered: DataFrame) -> DataFrame:
-    """For each block of a file: how many lines stand before it, whether it begins inside quotes
-    (``inside``) and, if so, the line of the file on which the record at hand began (``from_line``);
-    and whether the file's lines end in a carriage return too, as its first line tells (``crlf``).
+def _blocks(lines: DataFrame) -> DataFrame:
+    """For each block of a file: how many lines stand before it, where its first line and its
+    first and last ``odd`` ones are, whether it begins (``inside``) and ends (``open``) inside
+    quotes, and the lines of the file on which a record began that it goes on with (``from_line``)
+    or leaves open (``to_line``); the number of the file, and whether the file's lines end in a
+    carriage return too, as its first line tells (``crlf``).
+
+    One row for each split, as the list of files that Spark plans a scan with.
     """
-    blocks = numbered.groupBy("file", "block").agg(
+    odd = F.when(F.col("odd"), F.col("at"))
+    blocks = lines.groupBy("file", "block").agg(
         F.count("*").alias("lines"),
         F.count_if("odd").alias("odd_lines"),
-        # The last line that begins a record, if the block begins outside or inside quotes.
-        F.max(F.when(~F.col("within"), F.col("line"))).alias("last_outside"),
-        F.max(F.when(F.col("within"), F.col("line"))).alias("last_inside"),
-        F.bool_or(F.col("returns") & (F.col("block") == 0) & (F.col("line") == 1)).alias("crlf"),
+        F.min("at").alias("first"),
+        F.min(odd).alias("first_odd"),
+        F.max(odd).alias("last_odd"),
+        F.min_by(F.endswith("value", F.lit("\r")), "at").alias("returns"),
     )
     whole = Window.partitionBy("file")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,44 +60,86 @@ def _blocks(numbered: DataFrame) -> DataFrame:
     return (
         blocks.withColumn("lines_before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
         .withColumn("inside", F.coalesce(F.sum("odd_lines").over(before), F.lit(0)) % 2 == 1)
-        .withColumn("last", F.expr("lines_before + if(inside, last_inside, last_outside)"))
-        .withColumn("from_line", F.last("last", ignorenulls=True).over(before))
+        .withColumn("open", F.col("inside") != (F.col("odd_lines") % 2 == 1))
+        .withColumn("to_line", F.expr("if(open, lines_before + last_odd - first + 1, NULL)"))
+        .withColumn("from_line", F.last("to_line", ignorenulls=True).over(before))
         .withColumn("closed", F.sum("odd_lines").over(whole) % 2 == 0)
         .withColumn("inside", F.when(F.col("closed"), F.col("inside")).otherwise(F.raise_error(unclosed).cast("boolean")))
-        .withColumn("crlf", F.bool_or("crlf").over(whole))
-        .select("file", "block", "lines_before", "inside", "from_line", "crlf")
+        .withColumn("crlf", F.bool_or(F.col("returns") & (F.col("block") == 0)).over(whole))
+        .withColumn("file_number", F.dense_rank().over(Window.orderBy("file")))
+        .drop("lines", "returns", "closed")
     )
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the files at ``path``: ``file``, the ``line`` on which each begins (from 1),
-    and ``record``. Headers and empty lines are left out.
-
-    Two scans: one of line ends and quotes alone, one of the texts. A file that ends inside quotes
-    fails the query. Blank characters and line breaks within quotes stay as they are, but where
-    lines end in CR LF, such pairs within quotes become LF, as Spark's own reader has it.
+def _stitcher() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts lines (``file_number``, ``line``, ``odd``, ``value``) that come in order, and whose
+    quotes are closed at the end of each block, together to records.
+
+    A function of its own in each task: it reaches machines that don't have this package."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = []  # batches of lines of a record that isn't closed yet
+        for batch in batches:
+            begun.append(batch)
+            if len(begun) > 1 and not pc.any(batch.column("odd")).as_py():
+                continue
+            lines = pa.Table.from_batches(begun).combine_chunks()
+            odd = lines["odd"].to_numpy().astype(np.int64)
+            starts = np.flatnonzero((np.cumsum(odd) - odd) % 2 == 0)
+            end = len(odd)
+            begun = []
+            if odd.sum() % 2:
+                end, starts = int(starts[-1]), starts[:-1]
+                begun = lines.slice(end).to_batches()
+            if not len(starts):
+                continue
+            values = pa.concat_arrays(lines["value"].chunks)
+            ends = pa.array(np.append(starts, end), pa.int32())
+            records = pc.binary_join(pa.ListArray.from_arrays(ends, values), "\n")
+            first = lines.select(["file_number", "line"]).take(pa.array(starts)).combine_chunks()
+            columns = [pa.concat_arrays(c.chunks) for c in first.columns]
+            yield pa.RecordBatch.from_arrays([*columns, records], names=["file_number", "line", "record"])
+
+    return run
+
+
+def numbered_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records of the files at ``path`` (``file_number``, the ``line`` on which each begins,
+    from 1, and ``record``), and the files (``file_number``, ``file``). Headers and empty lines
+    are left out.
+
+    Four scans, one of line ends and quotes alone; lines that a block shares with others are
+    shuffled, and no task holds more than a batch of lines or a record. A file that ends inside
+    quotes fails the query. Blank characters and line breaks within quotes stay as they are, but
+    where lines end in CR LF, such pairs within quotes become LF, as Spark's own reader has it.
     """
-    blocks = _blocks(_numbered(spark, path))
+    text = spark.read.option("lineSep", "\n").text(path)
+    blocks = _blocks(_lines(text))
+    head = F.col("inside") & (F.col("at") <= F.coalesce("first_odd", "at"))
+    tail = F.col("open") & F.coalesce(F.col("at") >= F.col("last_odd"), F.lit(False))
     lines = (
-        _numbered(spark, path, F.col("value"))
-        .join(blocks, ["file", "block"])
-        .withColumn("line", F.col("lines_before") + F.col("line"))
-        .withColumn("begins", F.col("within") == F.col("inside"))
+        _lines(text)
+        .join(F.broadcast(blocks), ["file", "block"])
+        .withColumn("line", F.expr("lines_before + at - first + 1"))
+        .withColumn("start", F.when(head, F.col("from_line")).when(tail, F.col("to_line")))
         .withColumn("value", F.when(F.col("crlf"), F.regexp_replace("value", r"\r\z", "")).otherwise(F.col("value")))
     )
-    # A line that neither begins nor ends inside quotes is a record of its own.
-    alone = F.col("begins") & ~F.col("odd")
-    order = Window.partitionBy("file", "block").orderBy("line")
-    begun = F.last(F.when(F.col("begins"), F.col("line")), ignorenulls=True).over(order)
-    joined = (
-        lines.where(~alone)
-        .withColumn("start", F.coalesce(begun, "from_line"))
-        .groupBy("file", "start")
+    own = lines.where("start IS NULL")
+    # Without a line of odd quotes, every line of a block is a record.
+    single = own.where("odd_lines = 0").select("file_number", "line", F.col("value").alias("record"))
+    stitched = (
+        own.where("odd_lines > 0")
+        .select("file_number", "line", "odd", "value")
+        .mapInArrow(_stitcher(), "file_number int, line bigint, record string")
+    )
+    shared = (
+        lines.where("start IS NOT NULL")
+        .groupBy("file_number", "start")
         .agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("lines"))
-        .select("file", F.col("start").alias("line"), F.array_join("lines.value", "\n").alias("record"))
+        .select("file_number", F.col("start").alias("line"), F.array_join("lines.value", "\n").alias("record"))
     )
-    single = lines.where(alone).select("file", "line", F.col("value").alias("record"))
-    return single.unionByName(joined).where("line > 1 AND record <> ''")
+    found = single.unionByName(stitched).unionByName(shared).where("line > 1 AND record <> ''")
+    return found, blocks.select("file_number", "file").distinct()
 
 
 def _problem(record: Column, null_mark: str) -> Column:
@@ -129,7 +171,8 @@ def read_spanning_csv(
     problem = _problem(record, null_mark)
     refused = F.raise_error(F.concat(problem, F.lit(": "), record)).cast("string")
     sound = F.when(problem.isNotNull(), refused).otherwise(record)
-    found = records(spark, path).select(_row(sound, schema, null_mark, mode="FAILFAST").alias("row"))
+    found, _ = numbered_records(spark, path)
+    found = found.select(_row(sound, schema, null_mark, mode="FAILFAST").alias("row"))
     return found.select("row.*")
 
 
@@ -142,8 +185,7 @@ def rejected_records(
     wider = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
     row = _row(F.col("record"), wider, null_mark, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
     misfit = F.when(row[bad].isNotNull(), F.lit("does not fit the schema"))
-    return (
-        records(spark, path)
-        .withColumn("reason", F.coalesce(_problem(F.col("record"), null_mark), misfit))
-        .where(F.col("reason").isNotNull())
-    )
+    found, files = numbered_records(spark, path)
+    refused = found.withColumn("reason", F.coalesce(_problem(F.col("record"), null_mark), misfit))
+    refused = refused.where(F.col("reason").isNotNull())
+    return refused.join(F.broadcast(files), "file_number").select("file", "line", "record", "reason")
