@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tradewind.model import TABLES
 from tradewind.operators import DataQualityError
 from tradewind.plans import refresh_dataset
-from tradewind.sources import read_csv, read_dataset, read_spanning_csv, rejected_rows
+from tradewind.sources import feed_inventory, read_csv, read_dataset, read_spanning_csv, rejected_rows
 from tradewind.sources.csv import NULL_MARK
 
 
@@ -190,3 +190,15 @@ def test_a_sound_feed_has_no_rejected_rows(spark, tmp_path):
     rows = {"customers": 'c1,u1,01037,"são\npaulo",SP\n\n', "sellers": "s1,,,\n"}
     directory = feed(tmp_path / "feed", **rows)
     assert rejected_rows(spark, directory).where(F.col("reason") != "").collect() == []
+
+
+def test_the_inventory_counts_records_without_dealing_out_lines(spark, tmp_path):
+    rows = BAD | {"sellers": "\n\ns1,,,\n"}
+    directory = feed(tmp_path / "feed", **rows)
+    with split_size(spark, 70):
+        found = feed_inventory(spark, directory)
+        counts = {r.table_name: r.records for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert counts["customers"] == 3 and counts["order_reviews"] == 2 and counts["sellers"] == 1
+    assert counts["orders"] == 0
+    assert not re.search(r"windowspecdefinition\([^)]*\b(at|line)#", plan)

@@ -119,8 +119,7 @@ def feed_inventory(
     for name in TABLES:
         path = f"{directory}/{feed_file(name, prefix, suffix)}"
         try:
-            found, _ = numbered_records(spark, path)
-            rows = found.agg(F.count("*").alias("records"))
+            rows = numbered_records(spark, path)[0].agg(F.count("*").alias("records"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
