@@ -202,3 +202,11 @@ def test_the_inventory_counts_records_without_dealing_out_lines(spark, tmp_path)
     assert counts["customers"] == 3 and counts["order_reviews"] == 2 and counts["sellers"] == 1
     assert counts["orders"] == 0
     assert not re.search(r"windowspecdefinition\([^)]*\b(at|line)#", plan)
+
+
+def test_rejected_rows_are_found_where_they_are_read(spark, tmp_path):
+    directory = feed(tmp_path / "feed", **BAD)
+    found = rejected_rows(spark, directory)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\([^)]*\b(at|line)#", plan)
+    assert found.count() == 3
