@@ -137,6 +137,44 @@ def test_rows_lie_in_the_part_of_their_key(spark, stored):
     assert version.read("order_items", schema, []).collect() == []
 
 
+@pytest.mark.parametrize("name", ["order_items", "order_payments"])
+def test_rows_of_an_order_lie_in_one_part(spark, tmp_path, name):
+    """A task that folds the stored rows by order then meets most of an order's rows."""
+    number = TABLES[name].key[1]
+    staged = [{"order_id": f"o{i}", number: n} for i in range(40) for n in range(5)]
+    commit = Commit(spark, str(tmp_path / "data"))
+    store_table(commit, name, table(spark, name, *staged))
+    version = commit.publish()
+    parts = {}
+    for part in version_parts(version, name):
+        for (order,) in rows(version.read(name, TABLES[name].schema, [part]).select("order_id").distinct()):
+            parts.setdefault(order, []).append(part)
+    assert len(parts) == 40 and all(len(found) == 1 for found in parts.values())
+    assert len(version_parts(version, name)) > 10
+
+
+def version_parts(version, name):
+    return {part for table_name, part, _ in version.files if table_name == name}
+
+
+def test_an_append_finds_rows_in_parts_by_the_whole_key(spark, tmp_path):
+    """Parts of datasets stored before the parts of items went by order."""
+    directory = str(tmp_path / "data")
+    tables = base_tables(spark)
+    key = TABLES["order_items"].key
+    whole = F.pmod(F.xxhash64(*key), F.lit(KEY_PARTS)).cast("int")
+    commit = Commit(spark, directory)
+    for name in ("products", "sellers", "orders"):
+        store_table(commit, name, tables[name])
+    commit.write("order_items", tables["order_items"].withColumn(KEY_PART, whole), key, KEY_PART)
+    commit.publish()
+    before = items(directory, spark)
+    batch = table(spark, "order_items", item("o1", "7.00", product="p", seller="s"), item("o2", "9.00", product="p", seller="s"))
+    for _ in range(2):
+        append_new(batch, "order_items", directory)
+        assert items(directory, spark) == sorted([*before, ("o1", 1, Decimal("7.00"))])
+
+
 # Values by month
 
 

@@ -25,6 +25,7 @@ class Table:
     sort_by: tuple[str, ...] = ()  # order of the rows within each stored file
     spans_lines: bool = False  # holds free text, so that records of a file may span lines
     key_parts: int = 0  # partitions of the stored rows by a hash of the key, for appends
+    part_by: tuple[str, ...] = ()  # the columns of the key that are hashed, if not all
 
 
 @dataclass(frozen=True)
@@ -111,6 +112,7 @@ TABLES: dict[str, Table] = {
         ),
         ("order_id", "order_item_id"),
         key_parts=KEY_PARTS,
+        part_by=("order_id",),
     ),
     "order_payments": Table(
         _schema(
@@ -122,6 +124,7 @@ TABLES: dict[str, Table] = {
         ),
         ("order_id", "payment_sequential"),
         key_parts=KEY_PARTS,
+        part_by=("order_id",),
     ),
     "order_reviews": Table(
         _schema(

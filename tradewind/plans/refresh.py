@@ -47,9 +47,14 @@ def audit(tables: Tables) -> None:
 
 
 def key_part(name: str) -> Column:
-    """The partition that a row of table ``name`` is stored in: a hash of its key."""
+    """The partition that a row of table ``name`` is stored in: a hash of its key, or of the part
+    of it that the model names. The latter are numbered from ``key_parts`` on: lower numbers are
+    parts by the whole key, as such tables were stored in before."""
     table = TABLES[name]
-    return F.pmod(F.xxhash64(*table.key), F.lit(table.key_parts)).cast("int").alias(KEY_PART)
+    number = F.pmod(F.xxhash64(*(table.part_by or table.key)), F.lit(table.key_parts))
+    if table.part_by:
+        number += table.key_parts
+    return number.cast("int").alias(KEY_PART)
 
 
 def store_table(commit: Commit, name: str, df: DataFrame) -> DataFrame:
@@ -145,7 +150,10 @@ def append_new(batch: DataFrame, table: str, directory: str) -> Version:
     batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in model.schema.fields])
     parts = None
     if model.key_parts:  # at most that many values
-        parts = [f"{KEY_PART}={r[0]}" for r in batch.select(key_part(table)).distinct().collect()]
+        numbers = [r[0] for r in batch.select(key_part(table)).distinct().collect()]
+        if model.part_by:
+            numbers += range(model.key_parts)
+        parts = [f"{KEY_PART}={n}" for n in numbers]
     stored = base.read(table, model.schema, parts)
     commit = Commit(spark, directory, base)
     new = store_table(commit, table, ops.insert_if_absent(batch, stored, model.key))
